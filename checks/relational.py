@@ -150,9 +150,10 @@ def label_events(spark, sf):
 
 
 @query(sg.with_sql(sg.EV, sg.DICT) + """
-SELECT event_id, idx FROM ev LEFT JOIN voc ON token = syscall_name""")
+SELECT event_id, coalesce(idx, -1) AS idx FROM ev LEFT JOIN voc ON token = syscall_name""")
 def vocab_index(spark, sf):
-    return sg.VOCAB.with_index(ev(spark, sf), "syscall_name", "idx").select("event_id", "idx")
+    indexed = sg.VOCAB.with_index(ev(spark, sf), "syscall_name", "idx")
+    return indexed.select("event_id", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
 @query(sg.with_sql(sg.EV, sg.DICT) + """

@@ -237,9 +237,11 @@ def latency(spark, sf):
     return iv.detection_latency(bursts, scored_windows(spark, sf))
 
 
-@query(",".join([SCORED, BURSTS, LATENCY]) + " SELECT session_id, event_id, onset_ts, technique, alarm_ts, round(latency_ms, 3) AS latency_ms FROM lms")
+@query(",".join([SCORED, BURSTS, LATENCY]) + " SELECT session_id, event_id, onset_ts, technique, coalesce(alarm_ts, -1) AS alarm_ts, round(latency_ms, 3) AS latency_ms FROM lms")
 def asof_forward(spark, sf):
-    return latency(spark, sf).withColumn("latency_ms", F.round("latency_ms", 3))
+    return latency(spark, sf).withColumns(
+        {"latency_ms": F.round("latency_ms", 3), "alarm_ts": F.coalesce("alarm_ts", F.lit(-1))}
+    )
 
 
 @query(",".join([SCORED, BURSTS, LATENCY]) + """

@@ -209,17 +209,19 @@ tlines AS (
   FROM ev
 )"""
 
-_K = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+
+def _k():
+    return F.regexp_extract("props", r"(\d+)", 1).cast("int")
 
 
 def rule_lines(ev: DataFrame) -> DataFrame:
     """Rule alerts as JSON text: broken lines, lines without a rule, without a time."""
-    rule = F.concat(F.lit('"rule":"rule'), (_K % 7).cast("string"), F.lit('"'))
+    rule = F.concat(F.lit('"rule":"rule'), (_k() % 7).cast("string"), F.lit('"'))
     time = F.concat(F.lit('"output_fields":{"evt.time":'), F.col("timestamp_ns").cast("string"), F.lit("}"))
     line = (
         F.when(F.col("event_id") % 10 == 0, F.lit('{"rule": broken'))
-        .when(_K % 10 == 0, F.concat(F.lit("{"), time, F.lit("}")))
-        .when(_K % 10 == 1, F.concat(F.lit("{"), rule, F.lit("}")))
+        .when(_k() % 10 == 0, F.concat(F.lit("{"), time, F.lit("}")))
+        .when(_k() % 10 == 1, F.concat(F.lit("{"), rule, F.lit("}")))
         .otherwise(F.concat(F.lit("{"), rule, F.lit(","), time, F.lit("}")))
     )
     return ev.select("event_id", line.alias("value"))
@@ -254,12 +256,12 @@ def attributed_rule_alerts(ev: DataFrame) -> DataFrame:
 
 def signature_lines(ev: DataFrame) -> DataFrame:
     """Detections mixed with raw events, null properties and broken lines."""
-    sid = F.concat(F.lit('"signatureID":"SIG-'), (_K % 7).cast("string"), F.lit('"'))
-    name = F.concat(F.lit('"signatureName":"name'), (_K % 7).cast("string"), F.lit('"'))
+    sid = F.concat(F.lit('"signatureID":"SIG-'), (_k() % 7).cast("string"), F.lit('"'))
+    name = F.concat(F.lit('"signatureName":"name'), (_k() % 7).cast("string"), F.lit('"'))
     props = (
-        F.when(_K % 10 == 0, F.lit("null"))
-        .when(_K % 10 == 1, F.concat(F.lit("{"), sid, F.lit("}")))
-        .when(_K % 10 == 2, F.lit('{"signatureID":""}'))
+        F.when(_k() % 10 == 0, F.lit("null"))
+        .when(_k() % 10 == 1, F.concat(F.lit("{"), sid, F.lit("}")))
+        .when(_k() % 10 == 2, F.lit('{"signatureID":""}'))
         .otherwise(F.concat(F.lit("{"), sid, F.lit(","), name, F.lit("}")))
     )
     line = F.concat(

@@ -47,7 +47,8 @@ def _grower(seed: int):
                 nodes[at] = (tree, at, -1, 0.0, -1, -1, depth + _mean_path(len(idx)))
                 return at
             f = int(rng.choice(usable))
-            cut = float(rng.uniform(low[f], high[f]))
+            # Rounding may give the upper end itself, which would leave one side empty.
+            cut = min(float(rng.uniform(low[f], high[f])), float(np.nextafter(high[f], low[f])))
             goes_left = x[idx, f] <= cut
             left, right = split(idx[goes_left], depth + 1), split(idx[~goes_left], depth + 1)
             nodes[at] = (tree, at, f, cut, left, right, 0.0)
