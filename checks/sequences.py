@@ -13,6 +13,7 @@ from windrow.operators import reports as rp
 from windrow.operators import windows as wn
 from windrow.operators.ordered import ordered_scan
 from windrow.schema import EVENT_ORDER
+from windrow.storage import materialize
 
 QUERIES, ORACLE = {}, {}
 HOUR = 3_600_000_000_000
@@ -197,8 +198,9 @@ scored AS (
 )"""
 
 
-def scored_windows(spark, sf):
-    n = numbered(spark, sf, carry=("label", "technique"), timeline=True)
+def scored_windows(spark, sf, events=None):
+    events = labeled(spark, sf, timeline=True) if events is None else events
+    n = wn.number_events(events, sg.VOCAB, keys=sg.KEYS, carry=["label", "technique"])
     w = wn.bag_windows(n, sg.VOCAB, keys=sg.KEYS, window=sg.W, stride=sg.S, min_attack_frac=sg.FRAC, techniques=True)
     critical = [F.coalesce(F.try_element_at("bag", F.lit(i)), F.lit(0)) for i in (1, 2)]
     p = w.withColumn("probability", (critical[0] + critical[1]) / F.lit(float(sg.W)))
@@ -233,8 +235,9 @@ lms AS (SELECT *, (alarm_ts - onset_ts) / 1000000.0 AS latency_ms FROM lat)"""
 
 
 def latency(spark, sf):
-    bursts = iv.attack_bursts(labeled(spark, sf, timeline=True), sg.GAP_NS)
-    return iv.detection_latency(bursts, scored_windows(spark, sf))
+    events = labeled(spark, sf, timeline=True)
+    bursts = iv.attack_bursts(events, sg.GAP_NS)
+    return iv.detection_latency(bursts, scored_windows(spark, sf, events))
 
 
 @query(",".join([SCORED, BURSTS, LATENCY]) + " SELECT session_id, event_id, onset_ts, technique, coalesce(alarm_ts, -1) AS alarm_ts, round(latency_ms, 3) AS latency_ms FROM lms")
@@ -317,7 +320,7 @@ def document_frequency(spark, sf):
 
 
 def weighted(spark, sf):
-    w = bags(spark, sf)
+    w = materialize(bags(spark, sf), "windows")
     return Idf.fit(w, sg.VOCAB.n_features(2)).transform(w)
 
 

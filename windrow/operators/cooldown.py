@@ -101,6 +101,8 @@ def fired_alerts(
     ) if len(order) > 1 else anomalies.select(*keys, F.col(clock).alias("t"), F.struct(*rest).alias("row"))
     if chunks is None:
         chunks = min(MAX_CHUNKS, math.ceil(anomalies.count() / ROWS_PER_CHUNK))
+    if chunks > 1:
+        rows = materialize(rows, "cooldown-rows")
     cut = cut_into_chunks(rows, ["t"], chunks)
     types = {f.name: f for f in cut.schema.fields}
     key_fields = [types[k] for k in keys]

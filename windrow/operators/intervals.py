@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.scalars import drop_comms, event_label, int_div, wall_ns
 from windrow.operators.ordered import next_at_or_after, ordered_scan
@@ -14,6 +16,12 @@ from windrow.storage import BROADCAST_ROWS
 from windrow.vocabulary import UNATTRIBUTED
 
 MIN_BINS = 4096
+_SPANS = T.ArrayType(
+    T.StructType(
+        [T.StructField("ordinal", T.LongType()), T.StructField("start_ns", T.LongType()),
+         T.StructField("end_ns", T.LongType()), T.StructField("technique", T.StringType())]
+    )
+)
 
 
 def overlapping_intervals(timeline: DataFrame, keys: list[str] = (), chunks: int | None = None) -> DataFrame:
@@ -33,20 +41,27 @@ def require_disjoint(timeline: DataFrame, keys: list[str] = (), chunks: int | No
         raise ValueError(f"timeline intervals overlap at {found['technique']} ({found['start_ns']})")
 
 
-def local_if_small(timeline: DataFrame) -> tuple[DataFrame, int | None]:
-    """The timeline with its row count if that is within the broadcast bound.
+def rows_if_small(timeline: DataFrame) -> list[Row] | None:
+    """The timeline's rows if their number is within the broadcast bound.
 
-    Reads at most one row more than the bound; a small timeline then stands in
-    the plan by itself, so it is not derived again for every use.
+    Reads at most one row more than the bound.
     """
     rows = timeline.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return timeline, None
-    return timeline.sparkSession.createDataFrame(rows, timeline.schema), len(rows)
+    return rows if len(rows) <= BROADCAST_ROWS else None
+
+
+def _bin_width(n: int, covered: float) -> int:
+    """Wide enough that ``n`` intervals fall into at most ``3 n + MIN_BINS`` bins."""
+    return max(1, math.ceil(covered / max(MIN_BINS, n)))
+
+
+def _bin(t: Column, width: int) -> Column:
+    return int_div(t - F.pmod(t, F.lit(width)), width)
 
 
 def first_interval(
-    rows: DataFrame, time_ns: Column, timeline: DataFrame, *, row_id: str, out: str = "technique", keys: list[str] = ()
+    rows: DataFrame, time_ns: Column, timeline: DataFrame | list[Row], *, row_id: str, out: str = "technique",
+    keys: list[str] = (),
 ) -> DataFrame:
     """Add the technique of the first interval (file order) holding ``time_ns``.
 
@@ -57,31 +72,20 @@ def first_interval(
     A larger one is joined row by row and reduced per ``row_id``.
     """
     keys = list(keys)
-    timeline, small = local_if_small(timeline)
-    length = F.col("end_ns") - F.col("start_ns")
-    spans = timeline.where("end_ns >= start_ns")
-    stats = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(length.cast("double")).alias("covered")).first()
-    width = max(1, math.ceil((stats["covered"] or 0.0) / max(MIN_BINS, stats["n"])))
-
-    def bin_of(t):
-        return F.floor(t / width) if width == 1 else int_div(t - F.pmod(t, F.lit(width)), width)
-
-    binned = spans.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start_ns")), bin_of(F.col("end_ns")))))
-    timed = rows.withColumn("_t", time_ns).withColumn("_bin", bin_of(F.col("_t")))
+    small = timeline if isinstance(timeline, list) else rows_if_small(timeline)
     if small is not None:
-        one = F.struct("ordinal", "start_ns", "end_ns", "technique")
-        by_bin = binned.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list(one)).alias("_spans"))
-        held = F.filter("_spans", lambda s: F.col("_t").between(s["start_ns"], s["end_ns"]))
-        return (
-            timed.join(F.broadcast(by_bin), [*keys, "_bin"], "left")
-            .withColumn(out, F.get(held, F.lit(0))["technique"])
-            .drop("_bin", "_t", "_spans")
-        )
-    spans = binned.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_b"),
+        return _with_broadcast_bins(rows, time_ns, small, out, keys)
+    spans = timeline.where("end_ns >= start_ns")
+    length = (F.col("end_ns") - F.col("start_ns")).cast("double")
+    stats = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("covered")).first()
+    width = _bin_width(stats["n"], stats["covered"] or 0.0)
+    bins = F.sequence(_bin(F.col("start_ns"), width), _bin(F.col("end_ns"), width))
+    spans = spans.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(bins).alias("_b"),
         F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"), F.col("ordinal").alias("_o"),
         F.col("technique").alias("_found"),
     )
+    timed = rows.withColumn("_t", time_ns).withColumn("_bin", _bin(F.col("_t"), width))
     same = (timed["_bin"] == spans["_b"]) & timed["_t"].between(spans["_s"], spans["_e"])
     for k in keys:
         same = same & (timed[k] == spans[f"_k_{k}"])
@@ -89,6 +93,26 @@ def first_interval(
     return timed.drop("_bin", "_t").join(best, row_id, "left")
 
 
+def _with_broadcast_bins(rows: DataFrame, time_ns: Column, spans: list[Row], out: str, keys: list[str]) -> DataFrame:
+    spans = [s for s in spans if s["end_ns"] >= s["start_ns"]]
+    width = _bin_width(len(spans), sum(s["end_ns"] - s["start_ns"] for s in spans))
+    bins = defaultdict(list)
+    for s in spans:
+        for b in range(s["start_ns"] // width, s["end_ns"] // width + 1):
+            bins[(*[s[k] for k in keys], b)].append((s["ordinal"], s["start_ns"], s["end_ns"], s["technique"]))
+    schema = T.StructType(
+        [*[rows.schema[k] for k in keys], T.StructField("_bin", T.LongType()), T.StructField("_spans", _SPANS)]
+    )
+    table = rows.sparkSession.createDataFrame([(*at, sorted(held)) for at, held in bins.items()], schema)
+    timed = rows.withColumn("_t", time_ns).withColumn("_bin", _bin(F.col("_t"), width))
+    held = F.filter("_spans", lambda s: F.col("_t").between(s["start_ns"], s["end_ns"]))
+    return (
+        timed.join(F.broadcast(table), [*keys, "_bin"], "left")
+        .withColumn(out, F.get(held, F.lit(0))["technique"])
+        .drop("_bin", "_t", "_spans")
+    )
+
+
 def label_events(
     events: DataFrame, attack_cgroup, timeline: DataFrame | None, *, human_time: str = "timestamp_human",
     row_id: str = "event_id", check: bool = True,
@@ -102,18 +126,23 @@ def label_events(
     labeled = events.withColumn("label", event_label(F.col("cgroup_id"), attack_cgroup))
     if timeline is None:
         return labeled.withColumn("technique", F.lit(""))
-    timeline, small = local_if_small(timeline)
-    if small == 0:
-        return labeled.withColumn("technique", F.lit(""))
-    if check:
-        require_disjoint(timeline, chunks=None if small is None else 1)
     # Timeline bounds are kept to the microsecond, as the wall clock of events is.
     micros = timeline.withColumns(
         {c: F.bround(F.col(c).cast("decimal(20,0)") / 1000, 0).cast("long") * 1000 for c in ("start_ns", "end_ns")}
     )
+    small = rows_if_small(micros)
+    if small == []:
+        return labeled.withColumn("technique", F.lit(""))
+    if check and small is None:
+        require_disjoint(micros)
+    elif check:
+        ordered = sorted(small, key=lambda s: (s["start_ns"], s["end_ns"]))
+        for before, after in zip(ordered, ordered[1:]):
+            if after["start_ns"] <= before["end_ns"]:
+                raise ValueError(f"timeline intervals overlap at {after['technique']} ({after['start_ns']})")
     # Only attack rows look the timeline up; the others get a NULL time.
     t = F.when(F.col("label") == 1, wall_ns(F.col(human_time)))
-    found = first_interval(labeled, t, micros, row_id=row_id, out="technique")
+    found = first_interval(labeled, t, micros if small is None else small, row_id=row_id, out="technique")
     return found.withColumn(
         "technique",
         F.when(F.col("label") == 1, F.coalesce("technique", F.lit(UNATTRIBUTED))).otherwise(F.lit("")),

@@ -18,21 +18,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.storage import input_bytes
+from windrow.storage import input_bytes, materialize, repeats_work
 
 CHUNK = "_chunk"
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
 MAX_CHUNKS = 4096
 # Bounds are fitted on a sample once the input is estimated above this size.
-BOUNDS_BYTES = 4 << 30
+BOUNDS_BYTES = 64 << 20
 
 
 def default_chunks(df: DataFrame) -> int:
-    """Chunks for ``df``: by its estimated size, at most two per shuffle partition."""
+    """Chunks for ``df``: by its estimated size, at most four per shuffle partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
     wanted = math.ceil(size / CHUNK_BYTES) if size is not None else MAX_CHUNKS
-    return max(1, min(wanted, 2 * partitions, MAX_CHUNKS))
+    return max(1, min(wanted, 4 * partitions, MAX_CHUNKS))
+
+
+def readable_twice(df: DataFrame, chunks: int | None) -> tuple[DataFrame, int]:
+    """``df`` ready for several passes, and its number of chunks.
+
+    Cutting into chunks reads the rows for the bounds, the table of chunks and
+    the result. A plain scan is read again; a plan with shuffles is written once.
+    """
+    wanted = default_chunks(df) if chunks is None else chunks
+    if wanted > 1 and not df.isStreaming and repeats_work(df):
+        df = materialize(df, "ordered")
+        wanted = default_chunks(df) if chunks is None else chunks
+    return df, wanted
 
 
 def _levels(df: DataFrame, order: list[str]) -> list[Column]:
@@ -56,7 +69,10 @@ def _bounds(df: DataFrame, level: Column, chunks: int) -> list[float]:
     size = input_bytes(df)
     if size is None or size > BOUNDS_BYTES:
         fraction = min(1.0, BOUNDS_BYTES / size) if size else 0.01
-        values = values.sample(fraction, seed=7).repartition(64)
+        values = values.sample(fraction, seed=7)
+        if fraction < 0.01:
+            # A thin sample of very many tasks: merge it in a few before the last one.
+            values = values.repartition(64)
     shares = [i / chunks for i in range(1, chunks)]
     row = values.agg(F.percentile_approx("v", shares, min(10_000, 20 * chunks)).alias("q")).first()
     return [float(v) for v in (row["q"] or [])]
@@ -119,7 +135,7 @@ def ordered_scan(
     the same columns, so the rows do not move again.
     """
     lags, sums, totals = lags or {}, sums or {}, totals or {}
-    chunks = default_chunks(df) if chunks is None else chunks
+    df, chunks = readable_twice(df, chunks)
     df = cut_into_chunks(df, order, chunks)
     part = [*keys, CHUNK]
     inside = Window.partitionBy(*part).orderBy(*order)
@@ -195,16 +211,15 @@ def next_at_or_after(
         right.select(*keys, F.col(right_time).alias("_t"), F.lit(1).alias("_side")),
         allowMissingColumns=True,
     )
+    both, chunks = readable_twice(both, chunks)
     both = cut_into_chunks(both, ["_t", "_side"], chunks)
     part = [*keys, CHUNK]
     found = F.when(F.col("_side") == 1, F.col("_t"))
     ahead = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     later = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    here = both.withColumn("_here", F.min(found).over(ahead)).where("_side = 0")
+    if chunks <= 1:
+        return here.select(*keys, "_row.*", F.col("_here").alias(out))
     firsts = both.groupBy(*part).agg(F.min(found).alias("_first"))
     carried = firsts.select(*part, F.min("_first").over(later).alias("_later"))
-    return (
-        both.withColumn("_here", F.min(found).over(ahead))
-        .where("_side = 0")
-        .join(carried, part, "left")
-        .select(*keys, "_row.*", F.coalesce("_here", "_later").alias(out))
-    )
+    return here.join(carried, part, "left").select(*keys, "_row.*", F.coalesce("_here", "_later").alias(out))

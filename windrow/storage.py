@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,15 @@ def input_bytes(df: DataFrame) -> int | None:
     return sum(known) if known else None
 
 
+def repeats_work(df: DataFrame) -> bool:
+    """True when reading ``df`` twice would redo shuffles or Python work, not just a scan."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except AttributeError:
+        return True
+    return re.search(r"\b(Aggregate|Window|RepartitionByExpression|Distinct|Sort|\w*InPandas|\w*InArrow)\b", plan) is not None
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed dimension as a plan literal, so Catalyst knows how small it is."""
     columns = [part.strip().split(" ", 1) for part in schema.split(",")]
@@ -61,8 +71,3 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
         F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns)]) for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows (reads no more than that)."""
-    return df.limit(rows + 1).count() <= rows
