@@ -215,8 +215,9 @@ def next_at_or_after(
     both = cut_into_chunks(both, ["_t", "_side"], chunks)
     part = [*keys, CHUNK]
     found = F.when(F.col("_side") == 1, F.col("_t"))
-    ahead = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, so that the frames grow: one ending at the last row is recomputed per row.
+    ahead = Window.partitionBy(*part).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     here = both.withColumn("_here", F.min(found).over(ahead)).where("_side = 0")
     if chunks <= 1:
         return here.select(*keys, "_row.*", F.col("_here").alias(out))
