@@ -69,7 +69,8 @@ def first_interval(
     wide enough that the binned table has at most three rows per interval plus a
     constant, and rows meet them by an equi join on the bin. A timeline of
     checked size travels as one array per bin, so rows neither move nor multiply.
-    A larger one is joined row by row and reduced per ``row_id``.
+    A larger one is joined row by row and reduced per ``row_id``, which must be
+    unique and stored (not computed anew on each read).
     """
     keys = list(keys)
     small = timeline if isinstance(timeline, list) else rows_if_small(timeline)

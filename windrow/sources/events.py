@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +83,3 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)

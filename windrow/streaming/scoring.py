@@ -123,6 +123,8 @@ class StreamWindows:
         self.carry = [c for c in carry if c not in (*keys, *order)]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        # The size of a batch is not known beforehand: cut it for all shuffle tasks.
+        chunks = self.chunks or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys, phase = self.keys, live_phase(self.window, self.stride)
         cols = [*keys, *self.order, *self.carry]
         new = self.vocab.with_index(batch, "syscall_name", "token").select(
@@ -132,7 +134,7 @@ class StreamWindows:
         scanned = ordered_scan(
             kept.unionByName(new), keys, ["_new", *self.order], seq="_place", total="_rows", lags={"prev_token": "token"},
             # The first kept event of a key carries its position in the stream.
-            totals={"_from": F.col("_base"), "_held": 1 - F.col("_new")}, chunks=self.chunks, keep_chunk=True,
+            totals={"_from": F.col("_base"), "_held": 1 - F.col("_new")}, chunks=chunks, keep_chunk=True,
         )
         numbered = scanned.withColumns(
             {
@@ -140,7 +142,7 @@ class StreamWindows:
                 "n_total": F.col("_from") + F.col("_rows"),
                 "fresh": F.col("_from") + F.col("_held"),
             }
-        )
+        ).persist()  # read for the windows, their closing events and the kept tail
         shape = dict(keys=keys, window=self.window, stride=self.stride, phase=phase)
         windows = bag_windows(numbered, self.vocab, ngram=self.ngram, fresh="fresh", **shape)
         closing = close_times(numbered.where("seq >= fresh"), carry=["event_id", *self.carry], **shape)
@@ -156,6 +158,7 @@ class StreamWindows:
             ),
             batch_id,
         )
+        numbered.unpersist()
 
 
 # --- probabilities and alerts ----------------------------------------------------------
