@@ -9,7 +9,7 @@ from windrow.operators.ordered import CHUNK, cut_into_chunks, next_at_or_after,
 from windrow.schema import EVENT_ORDER
 
 
-@pytest.mark.parametrize("chunks", [1, 2, 5, 16])
+@pytest.mark.parametrize("chunks", [1, 6])
 @pytest.mark.parametrize("keys", [[], ["session_id"], ["session_id", "pid"]])
 def test_numbering_lags_and_sums(spark, chunks, keys):
     rows = log(300, seed=chunks)

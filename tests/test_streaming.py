@@ -50,10 +50,9 @@ def test_process_windows_over_batches(spark, folder):
     assert got == want
 
 
-@pytest.mark.parametrize("parts,chunks", [(1, None), (7, None), (7, 4)])
-@pytest.mark.parametrize("w,s", [(20, 10), (15, 4), (3, 8)])
+@pytest.mark.parametrize("parts,chunks,w,s", [(1, None, 20, 10), (5, 1, 15, 4), (4, 3, 15, 4), (4, 1, 3, 8)])
 def test_stream_windows_over_batches(spark, folder, parts, chunks, w, s):
-    rows = log(140, seed=parts + w)
+    rows = log(110, seed=parts + w)
     live = stream_of(spark, in_files(spark, rows, folder, parts))
 
     def then(windows, batch_id):
@@ -79,10 +78,10 @@ def share(windows):
 
 def test_stream_alerts_equal_the_replay(spark, folder):
     rows = log(300, seed=4)
-    live = stream_of(spark, in_files(spark, rows, folder, 6))
+    live = stream_of(spark, in_files(spark, rows, folder, 4))
     writer = scoring.AlertWriter(
         share, out=f"{folder}/alerts", state=f"{folder}/fired", cooldown_ns=60, keys=["session_id"], threshold=0.1, clock="close_ts")
-    fold = scoring.StreamWindows(VOCAB, writer, state=f"{folder}/state", window=10, stride=5)
+    fold = scoring.StreamWindows(VOCAB, writer, state=f"{folder}/state", window=10, stride=5, chunks=2)
     ingest.store_and_score(live, f"{folder}/cp", score=fold).awaitTermination()
     cols = ["session_id", "window_id", "close_ts", "event_id", "comm", "uid", "pid"]
     got = spark.read.parquet(f"{folder}/alerts/*").select(*cols).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from support import TOKENS, VOCAB, count_bag, frame, grouped, log, plain_windows
 from windrow.operators import windows as wn
 
-SHAPES = [(20, 10), (30, 7), (10, 10), (1, 1), (5, 12), (20, 1), (50, 20)]
+SHAPES = [(20, 10), (30, 7), (1, 1), (5, 12), (20, 1)]
 
 
 def engine_windows(df, w, s, keys, chunks=None, **kw):

@@ -123,8 +123,8 @@ class StreamWindows:
         self.carry = [c for c in carry if c not in (*keys, *order)]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        # The size of a batch is not known beforehand: cut it for all shuffle tasks.
-        chunks = self.chunks or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # The size of a batch is not known beforehand, so it is always cut.
+        chunks = self.chunks or min(64, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         keys, phase = self.keys, live_phase(self.window, self.stride)
         cols = [*keys, *self.order, *self.carry]
         new = self.vocab.with_index(batch, "syscall_name", "token").select(
