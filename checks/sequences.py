@@ -249,12 +249,12 @@ def asof_forward(spark, sf):
 
 @query(",".join([SCORED, BURSTS, LATENCY]) + """
 SELECT count(*) AS n_bursts, count(latency_ms) AS detected, count(*) FILTER (latency_ms IS NULL) AS missed,
-       round(avg(latency_ms), 5) AS mean_ms, round(max(latency_ms), 5) AS max_ms,
+       round(avg(latency_ms), 2) AS mean_ms, round(max(latency_ms), 5) AS max_ms,
        round(quantile_cont(latency_ms, 0.5), 5) AS median_ms, round(quantile_cont(latency_ms, 0.9), 5) AS p90_ms
 FROM lms""")
 def latency_stats(spark, sf):
     stats = rp.latency_stats(latency(spark, sf))
-    return stats.withColumns({c: F.round(c, 5) for c in ("mean_ms", "max_ms", "median_ms", "p90_ms")})
+    return stats.withColumns({c: F.round(c, d) for c, d in (("mean_ms", 2), ("max_ms", 5), ("median_ms", 5), ("p90_ms", 5))})
 
 
 @query(",".join([SCORED, BURSTS, LATENCY]) + """
