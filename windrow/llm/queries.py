@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import sharding
+from windrow.llm import binary_ids, packing, sharding, token_counts
+from windrow.llm.common import write_path, written
 
 SHARDS = 8
 SHARD_SEED = 1
+END_ID = 2
 
 
 def table(spark, sf_dir, name):
@@ -79,5 +82,33 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM numbered JOIN placed ON row_number = id"""
 
 
-QUERIES = {"op1_feistel_shards": op1_feistel_shards}
+def op2_length_histogram(spark, sf_dir):
+    """Length histogram of all documents with its suffix sums."""
+    histogram = token_counts.length_histogram(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.length_curve(written(histogram, "lengths"))
+
+
+def op4_pack(spark, sf_dir):
+    """Every piece of every document with its place in sequences of 4,096 tokens."""
+    packed = packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, capacity=4096)
+    return packed.drop("ids")
+
+
+def op8_binary_ids(spark, sf_dir):
+    """Documents read back from the written set."""
+    path = write_path(spark, "ids")
+    binary_ids.write_ids(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    return binary_ids.read_ids(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_feistel_shards": op1_feistel_shards,
+    "op2_length_histogram": op2_length_histogram,
+    "op4_pack": op4_pack,
+    "op8_binary_ids": op8_binary_ids,
+}
 ORACLE = {"op1_feistel_shards": _op1_sql()}
