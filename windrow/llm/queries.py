@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, packing, sharding, token_counts
+from windrow.llm import binary_ids, decontamination, packing, sharding, token_counts
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -96,6 +96,33 @@ def op4_pack(spark, sf_dir):
     return packed.drop("ids")
 
 
+def op5_positional_index(spark, sf_dir):
+    """Benchmark windows found in every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+_OP5_WORDS = (
+    "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+)
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_OP5_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_OP5_WORDS} AS w FROM benchmark),
+cut AS (SELECT item, w, least(10, len(w)) AS need, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, need, array_to_string(w[s:s + need - 1], ' ') AS phrase FROM cut),
+places AS (
+  SELECT rid, need, p, array_to_string(w[p:p + need - 1], ' ') AS phrase
+  FROM (SELECT rid, w, need, unnest(range(1, len(w) - need + 2)) AS p FROM d, (SELECT DISTINCT need FROM windows))),
+met AS (SELECT rid, need, p, item FROM places JOIN windows USING (need, phrase)),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(p, p + need)) AS pos FROM met) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
+
+
 def op8_binary_ids(spark, sf_dir):
     """Documents read back from the written set."""
     path = write_path(spark, "ids")
@@ -109,6 +136,7 @@ QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_length_histogram": op2_length_histogram,
     "op4_pack": op4_pack,
+    "op5_positional_index": op5_positional_index,
     "op8_binary_ids": op8_binary_ids,
 }
-ORACLE = {"op1_feistel_shards": _op1_sql()}
+ORACLE = {"op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL}
