@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, decontamination, packing, sharding, token_counts
+from windrow.llm import binary_ids, decontamination, embedding_dedup, packing, sharding, token_counts
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -123,6 +123,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
 
 
+def op7_hyperplane_dedup(spark, sf_dir):
+    """Links and components of all vectors at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_binary_ids(spark, sf_dir):
     """Documents read back from the written set."""
     path = write_path(spark, "ids")
@@ -137,6 +142,7 @@ QUERIES = {
     "op2_length_histogram": op2_length_histogram,
     "op4_pack": op4_pack,
     "op5_positional_index": op5_positional_index,
+    "op7_hyperplane_dedup": op7_hyperplane_dedup,
     "op8_binary_ids": op8_binary_ids,
 }
 ORACLE = {"op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL}
