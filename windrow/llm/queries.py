@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, decontamination, embedding_dedup, packing, sharding, token_counts
+from windrow.llm import binary_ids, decontamination, embedding_dedup, language, packing, quality, sharding, token_counts
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -123,6 +123,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
 
 
+def held_out(doc_id):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learnable(doc_id):
+    """Documents that a language model may learn from; NULL ids are in no fold."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)
+
+
+def op6_language_mixture(spark, sf_dir):
+    """Language of every document, by a model of the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learnable("doc_id"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "languages", "shares").withColumn(
+        "held_out", held_out("doc_id"))
+
+
 def op7_hyperplane_dedup(spark, sf_dir):
     """Links and components of all vectors at a cosine of 0.9."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
@@ -137,12 +155,19 @@ def op8_binary_ids(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_importance_resampling(spark, sf_dir):
+    """Importance weight, Gumbel key and verdict of every document."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_length_histogram": op2_length_histogram,
     "op4_pack": op4_pack,
     "op5_positional_index": op5_positional_index,
+    "op6_language_mixture": op6_language_mixture,
     "op7_hyperplane_dedup": op7_hyperplane_dedup,
     "op8_binary_ids": op8_binary_ids,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 ORACLE = {"op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL}

@@ -56,7 +56,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     if not len(ends):
         return np.zeros(0, np.int64)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 class Encoder:
@@ -88,11 +90,27 @@ class Encoder:
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
+
+    def _forget_rare(self):
+        """Keep the words that were met at least twice, while they fill half the room at most."""
+        n = len(self.index)
+        kept = np.flatnonzero(self.hits[:n] >= 2)
+        if len(kept) > CACHED_WORDS // 2:
+            return self._forget()
+        words = list(self.index)
+        lengths = self.lengths[kept]
+        ids, hits = self.flat[ragged(self.starts[kept], lengths)], self.hits[kept]
+        self._forget()
+        if len(kept):
+            self._keep([words[i] for i in kept.tolist()], lengths, ids)
+            self.hits[:len(kept)] = hits
 
     def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         first, n = len(self.index), len(words)
         while len(self.starts) < first + n:
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.hits = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.lengths[first:first + n] = lengths
@@ -101,10 +119,15 @@ class Encoder:
         self.used += len(ids)
         self.index.update(zip(words, range(first, first + n)))
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words not met before; simple ones many at a time, with marks between them."""
+    def _learn(self, words: list[str], plain: bool = False) -> None:
+        """Encode words not met before; simple ones many at a time, with marks between them.
+
+        ``plain`` says that no word has white space but one space in front.
+        """
         if self.mark is None:
             joined, single = [], words
+        elif plain and self.mark == "\n":
+            joined, single = words, []
         else:
             bare = self.mark.strip(" ")
             joined, single = [], []
@@ -132,20 +155,22 @@ class Encoder:
             ids = [np.array(e.ids, np.int32) for e in encoded]
             self._keep(part, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
 
-    def _indices(self, words: list[str]) -> np.ndarray:
-        get = self.index.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, found) if i < 0)))
-            found = [self.index[w] for w in words]
-        return np.array(found, np.int64)
+    def _indices(self, words: list[str], plain: bool = False) -> np.ndarray:
+        """Places of the words; ``plain`` ones are all different and without inner white space."""
+        found = np.array([self.index.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            missing = [words[i] for i in new]
+            self._learn(missing if plain else list(dict.fromkeys(missing)), plain)
+            found[new] = [self.index[w] for w in missing]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (int32), and n+1 offsets of the texts in them."""
         ids, counts = [], []
         for part in slices(texts):
             if len(self.index) > CACHED_WORDS:
-                self._forget()
+                self._forget_rare()
             flat, per_text = self._encode_slice(part)
             ids.append(flat)
             counts.append(per_text)
@@ -176,9 +201,11 @@ class Encoder:
         # One number per (word, with or without the space before it).
         index = np.full((2, len(values)), -1, np.int64)
         for first in (0, 1):
-            needed = np.unique(codes[plain & (line_start == bool(first))])
+            used = np.zeros(len(values), bool)
+            used[codes[plain & (line_start == bool(first))]] = True
+            needed = np.flatnonzero(used)
             prefix = "" if first else " "
-            index[first, needed] = self._indices([prefix + values[i] for i in needed])
+            index[first, needed] = self._indices([prefix + values[i] for i in needed.tolist()], plain=True)
         newline = int(self._indices(["\n"])[0])
         # Line breaks inside a text are words of their own.
         breaks = np.ones(len(per_line), np.int64)
@@ -190,6 +217,8 @@ class Encoder:
         per_text = np.bincount(text_of_piece, minlength=n) + lines_per_text - 1
         if slow.any():
             sequence, per_text = self._replace_slow(texts, slow, sequence, per_text)
+        met = np.bincount(sequence)
+        self.hits[:len(met)] += met
         lengths = self.lengths[sequence]
         ids = self.flat[ragged(self.starts[sequence], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -224,9 +253,12 @@ def _plain(word: str) -> bool:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-WORD = np.zeros(256, bool)
-WORD[48:58] = WORD[97:123] = True
-WORD[128:] = True
+WORD = np.zeros(256, np.uint8)
+WORD[48:58] = WORD[97:123] = 1
+WORD[128:] = 1
+# Words and, as a class of their own, runs of ASCII punctuation.
+WORD_OR_MARKS = WORD.copy()
+WORD_OR_MARKS[33:127][WORD[33:127] == 0] = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -267,19 +299,23 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, keep=WORD) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (A-Z lower-cased, bytes in ``keep``), and n+1 offsets by text."""
+def word_hashes(texts: pa.Array, classes=WORD) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, A-Z lower-cased, and n+1 offsets of the texts in them.
+
+    A word is a run of bytes of one class other than 0.
+    """
     raw, offsets = text_bytes(texts)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     raw = LOWER[raw]
-    inside = keep[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | edge[1:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    kind = classes[raw]
+    cut = kind[1:] != kind[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(raw))]
+    cut[edges - 1] = True
+    begins = kind > 0
+    ends = begins.copy()
+    begins[1:] &= cut
+    ends[:-1] &= cut
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     up, down = _Powers.of(len(raw))
     sums = np.cumsum(BYTE_VALUES[raw] * up, dtype=np.uint64)
