@@ -6,16 +6,15 @@ apart, and a 256-row table of lengths and offsets decodes them in whole arrays.
 
 A written set is a folder in any store that Spark writes to:
 
-* ``blocks``: rows (part, block, docs, tokens, doc_ids, count_control, count_data, control, data);
-  documents ascend by doc_id within a block, blocks by (part, block). ``count_*`` code the number
+* ``blocks``: rows (range, block, docs, tokens, doc_ids, count_control, count_data, control, data);
+  documents ascend by doc_id within a block, blocks by (range, block). ``count_*`` code the number
   of ids of each document, ``control`` and ``data`` the ranks of all its ids.
 * ``ranks``: (rank, id).
-* ``index``: (part, block, start), ids in all blocks before.
+* ``index``: (range, block, start), ids in all blocks before.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from windrow.llm.common import discard, partition_offsets, ship, written
-from windrow.llm.tokens import encoder, text_column
+from windrow.llm.tokens import draw_key, encoder, scramble, text_column
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+# Ranges of doc ids by the quantiles of all ids; a partition of the shuffle holds a few whole ranges.
+RANGES_PER_PARTITION = 4
+SORTED = "range int, block int, docs int, tokens long, doc_ids array<long>, counts binary, width int, ids binary"
 BLOCK = (
-    "part int, block int, docs int, tokens long, doc_ids array<long>, count_control binary, count_data binary, "
+    "range int, block int, docs int, tokens long, doc_ids array<long>, count_control binary, count_data binary, "
     "control binary, data binary"
 )
 # By control byte: the four lengths, where each value starts within its group, and the group's bytes.
@@ -42,11 +44,20 @@ GROUP = LENGTHS.sum(axis=1)
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of whole numbers below 2**32."""
     values = np.ascontiguousarray(values, "<u4")
-    code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[:len(values)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    n = len(values)
+    length = np.ones(-(-n // 4) * 4, np.uint8)
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        length[:n] += values > top
+    four = (length - 1).reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    length = length[:n]
+    at = np.cumsum(length, dtype=np.int64) - length
+    data = np.zeros(int(at[-1]) + int(length[-1]) if n else 0, np.uint8)
+    data[at] = values & 0xFF
+    for byte in (1, 2, 3):
+        longer = np.flatnonzero(length > byte)
+        if len(longer):
+            data[at[longer] + byte] = values[longer] >> np.uint32(8 * byte) & np.uint32(0xFF)
     return control.tobytes(), data.tobytes()
 
 
@@ -65,103 +76,146 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Documents as little-endian 32-bit ids with the end id, and where each row was read."""
-    ship(docs.sparkSession)
+def _ranges(doc_ids: DataFrame, count: int) -> np.ndarray:
+    """``count`` - 1 quantiles of all doc ids, which steer balance only."""
+    if count < 2:
+        return np.zeros(0, np.int64)
+    shares = F.array(*[F.lit(i / count) for i in range(1, count)])
+    found = doc_ids.agg(F.percentile_approx("doc_id", shares, 50_000)).first()[0]
+    return np.array(found or [], np.int64)
+
+
+def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Blocks of documents with their ids, in ascending order of doc_id over (range, block).
+
+    Rows with one doc id are in an order drawn from where they were read; when an id fills several
+    quantiles its rows are dealt over those ranges by that draw.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _ranges(rows.select("doc_id"), partitions * RANGES_PER_PARTITION)
 
     def run(batches: Iterable[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer)
         for batch in batches:
             flat, offsets = coder.encode(text_column(batch.column(1)))
-            ids = np.insert(flat, offsets[1:], end_id).astype("<u4")
             n = batch.num_rows
-            ends = (offsets + np.arange(n + 1)) * 4
-            values = pa.Array.from_buffers(
-                pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
-            raw = memoryview(ids.tobytes())
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            width = 2 if max(end_id, int(flat.max(initial=0))) < 1 << 16 else 4
+            ends = offsets + np.arange(n + 1)
+            ids = np.empty(int(ends[-1]), f"<u{width}")
+            last = ends[1:] - 1
+            inner = np.ones(len(ids), bool)
+            inner[last] = False
+            ids[inner] = flat
+            ids[last] = end_id
+            known = np.asarray(batch.column(0).is_valid())
+            doc_id = np.asarray(batch.column(0).fill_null(0), np.int64)
+            draw = (scramble(np.arange(seen, seen + n, dtype=np.uint64) + draw_key(part)) >> np.uint64(33)).astype(np.int64)
+            low = np.where(known, np.searchsorted(bounds, doc_id, side="left"), 0)
+            high = np.where(known, np.searchsorted(bounds, doc_id, side="right"), 0)
+            at = low + (draw * (high - low + 1) >> 31)
+            raw = memoryview(ids).cast("B")
+            spans = [raw[width * a:width * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(crc, pa.int64()), pa.array(np.full(n, part, np.int32)),
-                pa.array(np.arange(seen, seen + n)), values.cast(pa.binary()),
-            ], names=["doc_id", "crc", "read_part", "read_row", "ids"])
+                pa.array(at.astype(np.int32)), batch.column(0), pa.array(draw), pa.array(np.full(n, part, np.int32)),
+                pa.array(np.arange(seen, seen + n)), pa.array(np.full(n, width, np.int32)), pa.array(spans, pa.binary()),
+            ], names=["range", "doc_id", "draw", "read_part", "read_row", "width", "ids"])
             seen += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, crc long, read_part int, read_row long, ids binary")
+    def gather(batches: Iterable[pa.RecordBatch]):
+        now, block, doc_ids, ids, size = None, 0, [], [], 0
+
+        def close():
+            wide = max(w for w, _ in ids)
+            parts = [np.frombuffer(x, f"<u{w}") for w, x in ids]
+            counts = np.array([len(x) for x in parts], "<u8")
+            whole = np.concatenate(parts).astype(f"<u{wide}")
+            return pa.RecordBatch.from_arrays([
+                pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([len(parts)], pa.int32()),
+                pa.array([len(whole)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
+                pa.array([counts.tobytes()], pa.binary()), pa.array([wide], pa.int32()), pa.array([whole.tobytes()], pa.binary()),
+            ], names=[c.split()[0] for c in SORTED.split(", ")])
+
+        for batch in batches:
+            for at, doc_id, width, row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if ids and (at != now or size >= BLOCK_TOKENS):
+                    yield close()
+                    block, doc_ids, ids, size = (block + 1 if at == now else 0), [], [], 0
+                now = at
+                doc_ids.append(doc_id)
+                ids.append((width, row))
+                size += len(row) // width
+        if ids:
+            yield close()
+
+    order = ["range", "doc_id", "draw", "read_part", "read_row"]
+    coded = rows.mapInArrow(
+        run, "range int, doc_id long, draw long, read_part int, read_row long, width int, ids binary")
+    ordered = coded.repartition(partitions, "range").sortWithinPartitions(*order)
+    return ordered.select("range", "doc_id", "width", "ids").mapInArrow(gather, SORTED)
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(blocks: DataFrame) -> DataFrame:
     """How often each id occurs in the whole corpus; tasks count before anything is shuffled."""
 
     def count(batches: Iterable[pa.RecordBatch]):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            if len(ids):
-                found = np.bincount(ids)
-                if len(found) > len(total):
-                    found[:len(total)] += total
-                    total = found
-                else:
-                    total[:len(found)] += found
+            for width, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"), minlength=len(total))
+                found[:len(total)] += total
+                total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode every text and write the set described above to ``path``.
 
     NULL and empty texts are the end id alone. Documents ascend by doc_id, NULL ids first; rows
-    with one id are ordered by checksum of their ids, then as read. Other columns are not read.
-    Files are sorted runs of a range shuffle whose key ends in the row's place, so a doc id
-    shared by many rows is spread too. An empty table gives an empty set.
+    with one id follow a draw from where they were read. Other columns are not read. An empty
+    table gives an empty set. Texts are encoded and shuffled once; the sorted ids are a table of
+    their own until they are counted and coded, and its shuffle files go when it is written.
     """
     spark = docs.sparkSession
-    tokens = written(token_table(docs, tokenizer, end_id), "tokens")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        blocks = written(sorted_ids(docs, tokenizer, end_id), "ids", compression="zstd")
+    finally:
+        spark.conf.set(cleanup, before)
     # One row per id of the tokenizer's vocabulary.
-    counted = id_counts(tokens).collect()
+    counted = id_counts(blocks).collect()
     ranked = sorted(counted, key=lambda r: (-r["n"], r["id"]))
     id_of = np.array([r["id"] for r in ranked], np.int64)
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(id_of)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
 
-    def blocks(batches: Iterable[pa.RecordBatch]):
-        part, block, ids, rows, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def close():
-            counts = np.array([len(x) // 4 for x in rows], np.int64)
-            count_control, count_data = encode_values(counts)
-            control, data = encode_values(rank_of[np.frombuffer(b"".join(rows), "<u4")])
-            return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(rows)], pa.int32()),
-                pa.array([int(counts.sum())], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                *[pa.array([x], pa.binary()) for x in (count_control, count_data, control, data)],
-            ], names=[c.split()[0] for c in BLOCK.split(", ")])
-
+    def code(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            for doc_id, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                rows.append(row)
-                size += len(row) // 4
-                if size >= BLOCK_TOKENS:
-                    yield close()
-                    block, ids, rows, size = block + 1, [], [], 0
-        if rows:
-            yield close()
+            counts = [encode_values(np.frombuffer(x, "<u8")) for x in batch.column(5).to_pylist()]
+            ids = [
+                encode_values(rank_of[np.frombuffer(raw.as_buffer(), f"<u{width}")])
+                for width, raw in zip(batch.column(6).to_pylist(), batch.column(7))
+            ]
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(i) for i in range(5)], *[pa.array([x[k] for x in pair], pa.binary()) for pair in (counts, ids) for k in (0, 1)],
+            ], names=[c.split()[0] for c in BLOCK.split(", ")])
 
-    order = ["doc_id", "crc", "read_part", "read_row"]
-    tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(
-        blocks, BLOCK).write.parquet(f"{path}/blocks")
-    discard(tokens)
-    made = spark.read.parquet(f"{path}/blocks").select("part", "block", "tokens")
-    parts = partition_offsets(made.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n")
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    made.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(parts, "part").select(
-        "part", "block", (F.col("before") + F.col("_in")).alias("start")).write.parquet(f"{path}/index")
+    blocks.mapInArrow(code, BLOCK).write.parquet(f"{path}/blocks", compression="zstd")
+    discard(blocks)
+    made = spark.read.parquet(f"{path}/blocks").select("range", "block", "tokens")
+    ranges = partition_offsets(made.groupBy("range").agg(F.sum("tokens").alias("n")), "range", "n")
+    inside = Window.partitionBy("range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    made.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(ranges, "range").select(
+        "range", "block", (F.col("before") + F.col("_in")).alias("start")).write.parquet(f"{path}/index")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -170,7 +224,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # One row per id of the vocabulary.
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     id_of = np.array([r["id"] for r in ranks], "<u4")
-    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["part", "block"])
+    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["range", "block"])
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -178,7 +232,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 counts = decode_values(row["count_control"], row["count_data"], row["docs"]).astype(np.int64)
                 ids = id_of[decode_values(row["control"], row["data"], row["tokens"])]
                 ends = np.cumsum(counts)
-                raw = ids.tobytes()
+                raw = memoryview(ids).cast("B")
                 spans = [raw[4 * a:4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - counts), pa.array(counts),

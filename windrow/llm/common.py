@@ -40,14 +40,14 @@ def write_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts the lineage at a table that outlives lost executors. ``discard`` removes it.
     """
     spark = df.sparkSession
     path = write_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

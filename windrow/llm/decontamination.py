@@ -190,6 +190,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns; NULL and empty texts stay."""
+    ph = phrases(items, width)
+    hit = written(phrase_runs(build_index(docs, ph.vocabulary), ph, width).select(*KEY).distinct(), "hits")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    k1, k2 = key_columns(F.col("row.text").cast("string"))
+    return packed.select("row", k1, k2).join(small(hit), KEY, "left_anti").select("row.*")
+
+
 def proximity_matches(index: DataFrame, ph: Phrases, width: int, slack: int) -> DataFrame:
     """Windows all of whose terms lie within ``slack`` words of an occurrence of their rarest term.
 

@@ -165,3 +165,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return with_computed(
         docs, [F.col("text").cast("string")], infer,
         "lang_pred string, score double, languages array<string>, shares array<double>")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """The rows of ``docs`` with a language that holds ``least_share`` of the text, with all their columns."""
+    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share)).select("row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, with_computed, written
-from windrow.llm.tokens import GOLDEN, WORD_OR_MARKS, scramble, slices, text_column, word_hashes
+from windrow.llm.tokens import GOLDEN, WORD_OR_MARKS, draw_key, scramble, slices, text_column, word_hashes
 from windrow.llm.topk import at_least, k_th
 
 FEATURES = 1 << 16
@@ -113,7 +113,7 @@ def weighted(docs: DataFrame, sample: DataFrame, model: Model, seed: int) -> Dat
         good = np.asarray(good.fill_null(False)).astype(np.float64)
         ties = np.asarray(tie, np.int64)
         weight = model.log_weights(text_column(text), good)
-        uniform = (scramble(ties.view(np.uint64) + np.uint64(seed) * GOLDEN) >> np.uint64(11)).astype(np.float64)
+        uniform = (scramble(ties.view(np.uint64) + draw_key(seed)) >> np.uint64(11)).astype(np.float64)
         gumbel = -np.log(-np.log((uniform + 0.5) / 2.0 ** 53))
         key = weight + gumbel
         return [pa.array(weight), pa.array(key), pa.array(_ordered_bits(key)), tie]

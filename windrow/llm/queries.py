@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, decontamination, embedding_dedup, language, packing, quality, sharding, token_counts
+from windrow.llm import binary_ids, decontamination, embedding_dedup, language, near_duplicates, packing, quality, sharding, token_counts
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -155,6 +155,11 @@ def op8_binary_ids(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_prob_minhash(spark, sf_dir):
+    """Class of every document at a similarity of 0.8 of five-word shingles, and the one that stays."""
+    return near_duplicates.deduplicate(table(spark, sf_dir, "documents"), similarity=0.8).drop("k1", "k2")
+
+
 def op10_importance_resampling(spark, sf_dir):
     """Importance weight, Gumbel key and verdict of every document."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -168,6 +173,7 @@ QUERIES = {
     "op6_language_mixture": op6_language_mixture,
     "op7_hyperplane_dedup": op7_hyperplane_dedup,
     "op8_binary_ids": op8_binary_ids,
+    "op9_prob_minhash": op9_prob_minhash,
     "op10_importance_resampling": op10_importance_resampling,
 }
 ORACLE = {"op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL}

@@ -271,6 +271,11 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def draw_key(i: int) -> np.uint64:
+    """The ``i``-th of a fixed sequence of 64-bit numbers."""
+    return np.uint64(i * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+
+
 BYTE_VALUES = scramble(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
