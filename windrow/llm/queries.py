@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, decontamination, embedding_dedup, language, near_duplicates, packing, quality, sharding, token_counts
+from windrow.llm import binary_ids, decontamination, embedding_dedup, language, near_duplicates, packing, pseudo_likelihood, quality, sharding, token_counts
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -89,6 +89,12 @@ def op2_length_histogram(spark, sf_dir):
     return token_counts.length_curve(written(histogram, "lengths"))
 
 
+def op3_pseudo_likelihood(spark, sf_dir):
+    """Pseudo-likelihood of every document."""
+    return pseudo_likelihood.score_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_pack(spark, sf_dir):
     """Every piece of every document with its place in sequences of 4,096 tokens."""
     packed = packing.pack(
@@ -168,6 +174,7 @@ def op10_importance_resampling(spark, sf_dir):
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_length_histogram": op2_length_histogram,
+    "op3_pseudo_likelihood": op3_pseudo_likelihood,
     "op4_pack": op4_pack,
     "op5_positional_index": op5_positional_index,
     "op6_language_mixture": op6_language_mixture,
