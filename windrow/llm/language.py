@@ -41,9 +41,11 @@ def word_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.insert(LOWER[raw], offsets[:-1], 32) if len(texts) else raw
     line = np.append(line, 32)
     inside = LETTERS[line]
-    line = np.where(inside, line, 32).astype(np.int64)
+    line = np.where(inside, line, np.uint8(32)).astype(np.uint32)
     middle = np.flatnonzero(inside)
-    grams = ((line[middle - 1] * 65_599 + line[middle]) * 65_599 + line[middle + 1]) * 0x9E3779B1 >> 13 & (GRAMS - 1)
+    two = line[:-1] * np.uint32(65_599) + line[1:]
+    three = (two[:-1] * np.uint32(65_599) + line[2:]) * np.uint32(0x9E3779B1)
+    grams = (three >> np.uint32(13) & np.uint32(GRAMS - 1))[middle - 1]
     first = np.flatnonzero(~inside[middle - 1])
     starts = offsets[:-1] + np.arange(len(texts))
     return grams, first, np.searchsorted(starts, middle[first], side="right") - 1
@@ -66,27 +68,66 @@ class Model:
         fit = np.log(np.maximum((like * share[of]).sum(axis=1), 1e-300))
         return share, np.bincount(of, fit, n)
 
+    @staticmethod
+    def _two(ratio, of, words):
+        """Share of the first of two languages, and the log likelihood over that of it alone; ``ratio``
+        is each word's likelihood under the second over that under the first."""
+        n = len(words)
+        share = np.full(n, 0.5)
+        for _ in range(ROUNDS):
+            mine = share[of]
+            share = np.bincount(of, mine / (mine + (1 - mine) * ratio), n) / np.maximum(words, 1)
+        mine = share[of]
+        return share, np.bincount(of, np.log(np.maximum(mine + (1 - mine) * ratio, 1e-300)), n)
+
     def infer(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the chosen languages of each text (0 for the others), and the number of words."""
+        """Shares of the chosen languages of each text (0 for the others), and the number of words.
+
+        The set grows from the best single language: by the language with the largest part of the
+        words' posteriors, then, where that paid, by one more of them at a time.
+        """
         n, width = len(texts), len(self.languages)
         grams, first, of = word_grams(texts)
+        shares = np.zeros((n, width))
         if not len(first):
-            return np.zeros((n, width)), np.zeros(n, np.int64)
-        log_like = np.add.reduceat(self.log_probability[grams], first, axis=0).astype(np.float64)
-        like = np.exp(np.maximum(log_like - log_like.max(axis=1, keepdims=True), -60))
+            return shares, np.zeros(n, np.int64)
+        log_like = np.add.reduceat(self.log_probability[grams], first, axis=0)
         words = np.bincount(of, minlength=n)
-        share, _ = self._mixture(like, of, n, np.ones((n, width)))
-        order = np.argsort(-share, axis=1, kind="stable")
-        best, value = share, np.full(n, -np.inf)
-        for size in range(1, min(MAX_SET, width) + 1):
-            allowed = np.zeros((n, width))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            part, fit = self._mixture(like, of, n, allowed)
-            fit = fit - PENALTY * (size - 1) * np.log(words + 1)
-            better = fit > value
-            best = np.where(better[:, None], part, best)
-            value = np.where(better, fit, value)
-        return best, words
+        alone = np.stack([np.bincount(of, log_like[:, i], n) for i in range(width)], axis=1)
+        best = alone.argmax(axis=1)
+        shares[np.arange(n), best] = 1.0
+        if width == 1:
+            return shares, words
+        like = np.exp(np.maximum(log_like - log_like.max(axis=1, keepdims=True), np.float32(-60)))
+        part = like / like.sum(axis=1, keepdims=True)
+        rank = np.stack([np.bincount(of, part[:, i], n) for i in range(width)], axis=1)
+        rank[np.arange(n), best] = np.inf
+        order = np.argsort(-rank, axis=1, kind="stable")
+        word = np.arange(len(of))
+        step = log_like[word, order[of, 1]] - log_like[word, best[of]]
+        share, gain = self._two(np.exp(np.clip(step, -60, 60).astype(np.float64)), of, words)
+        cost = PENALTY * np.log(words + 1)
+        wider = gain > cost
+        rows = np.flatnonzero(wider)
+        shares[rows, best[rows]], shares[rows, order[rows, 1]] = share[rows], 1 - share[rows]
+        value = alone[np.arange(n), best] + np.where(wider, gain - cost, 0)
+        floor = np.bincount(of, log_like.max(axis=1), n)
+        for size in range(3, min(MAX_SET, width) + 1):
+            if not len(rows):
+                break
+            sub = np.flatnonzero(wider[of])
+            place = np.zeros(n, np.int64)
+            place[rows] = np.arange(len(rows))
+            allowed = np.zeros((len(rows), width))
+            np.put_along_axis(allowed, order[rows, :size], 1.0, axis=1)
+            part, fit = self._mixture(like[sub].astype(np.float64), place[of[sub]], len(rows), allowed)
+            fit = fit + floor[rows] - (size - 1) * cost[rows]
+            better = fit > value[rows]
+            rows, part, fit = rows[better], part[better], fit[better]
+            shares[rows], value[rows] = part, fit
+            wider = np.zeros(n, bool)
+            wider[rows] = True
+        return shares, words
 
 
 def fit(docs: DataFrame, usable) -> Model:
