@@ -221,12 +221,9 @@ def signature_attribution(spark, sf):
 SELECT event_id, comm, 'known' AS kind FROM ev WHERE comm IN ('app3', 'app5', 'app7')
 UNION ALL SELECT event_id, comm, 'kept' FROM ev WHERE comm NOT IN ('app11')""")
 def semi_anti(spark, sf):
-    e = ev(spark, sf).select("event_id", "comm")
-    known = F.broadcast(small_table(spark, [(c,) for c in KNOWN], "comm string"))
-    dropped = F.broadcast(small_table(spark, [(c,) for c in sg.DENYLIST], "comm string"))
-    return e.join(known, "comm", "left_semi").withColumn("kind", F.lit("known")).unionByName(
-        e.join(dropped, "comm", "left_anti").withColumn("kind", F.lit("kept"))
-    )
+    known = small_table(spark, [(c,) for c in KNOWN], "comm string")
+    dropped = small_table(spark, [(c,) for c in sg.DENYLIST], "comm string")
+    return iv.semi_anti(ev(spark, sf).select("event_id", "comm"), known, dropped)
 
 
 @query(sg.with_sql(sg.EV) + """
@@ -239,9 +236,9 @@ def class_counts(spark, sf):
 
 
 @query(sg.with_sql(sg.EV) + """
-SELECT comm, count(*) AS n FROM ev WHERE comm IN ('app11', 'app3') GROUP BY comm""")
+SELECT comm, count(*) AS n FROM ev GROUP BY comm""")
 def value_counts(spark, sf):
-    return rp.value_counts(ev(spark, sf).where(F.col("comm").isin("app11", "app3")), "comm")
+    return rp.value_counts(ev(spark, sf), "comm")
 
 
 @query(sg.with_sql(sg.EV, sg.TIMELINE) + """

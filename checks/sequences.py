@@ -275,7 +275,7 @@ CARD = ",".join([SCORED, sg.RULE_LINES, sg.RULE_ALERTS, sg.OVERLAPPING]) + f""",
 names AS (SELECT unnest({sg._NAME_LIST}) AS technique, generate_subscripts({sg._NAME_LIST}, 1) - 1 AS ordinal),
 hit AS (SELECT technique, count(*) AS c FROM (
           SELECT (SELECT arg_min(o.technique, o.ordinal) FROM otl o WHERE a.time_ns BETWEEN o.start_ns AND o.end_ns) AS technique
-          FROM alerts_a a WHERE rule = 'rule2') GROUP BY technique),
+          FROM alerts_a a) GROUP BY technique),
 rec AS (SELECT technique, count(*) AS n, sum(pred) * 1.0 / count(*) AS recall FROM scored WHERE label = 1 GROUP BY technique),
 card AS (SELECT ordinal, technique, CASE WHEN coalesce(hit.c, 0) > 0 THEN 'yes' ELSE 'no' END AS tool_hit,
                 coalesce(rec.n, 0) AS n_windows, round(rec.recall, 6) AS recall, coalesce(rec.recall >= 0.5, false) AS model_hit
@@ -283,7 +283,7 @@ card AS (SELECT ordinal, technique, CASE WHEN coalesce(hit.c, 0) > 0 THEN 'yes'
 
 
 def scorecard(spark, sf):
-    alerts = sg.attributed_rule_alerts(sg.events_view(spark, sf)).where("rule = 'rule2'")
+    alerts = sg.attributed_rule_alerts(sg.events_view(spark, sf))
     return rp.technique_scorecard(alerts, rp.technique_recall(scored_windows(spark, sf)))
 
 

@@ -251,7 +251,7 @@ def attributed_rule_alerts(ev: DataFrame) -> DataFrame:
     from windrow.sources.feeds import parse_rule_alerts
 
     alerts = parse_rule_alerts(rule_lines(ev), "event_id")
-    return first_interval(alerts, F.col("time_ns"), overlapping_timeline(ev), row_id="event_id")
+    return first_interval(alerts, F.col("time_ns"), overlapping_timeline(ev))
 
 
 def signature_lines(ev: DataFrame) -> DataFrame:

@@ -24,6 +24,20 @@ def spark():
     yield session
 
 
+@pytest.fixture
+def setting(spark):
+    """Sets a session setting for one test."""
+    names = []
+
+    def put(name, value):
+        spark.conf.set(name, str(value))
+        names.append(name)
+
+    yield put
+    for name in names:
+        spark.conf.unset(name)
+
+
 @pytest.fixture
 def folder(tmp_path):
     return str(tmp_path)

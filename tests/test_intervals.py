@@ -15,20 +15,38 @@ def first_match(t, spans):
 
 
 @pytest.mark.parametrize("bound", [50_000, 0])
-def test_first_interval_small_and_large(spark, bound, monkeypatch):
-    monkeypatch.setattr(iv, "BROADCAST_ROWS", bound)
+def test_first_interval_small_and_large(spark, bound, setting):
+    setting("windrow.broadcast_rows", bound)
     rnd = random.Random(3)
     spans = [(i, f"t{i}", s, s + rnd.randint(0, 120)) for i, s in enumerate(rnd.sample(range(-200, 1500), 60))]
     rows = [(i, rnd.randint(-300, 1700) if i % 9 else None) for i in range(500)]
     found = iv.first_interval(
-        spark.createDataFrame(rows, "id int, t long"), F.col("t"), spark.createDataFrame(spans, TL), row_id="id")
+        spark.createDataFrame(rows, "id int, t long"), F.col("t"), spark.createDataFrame(spans, TL))
     assert {r["id"]: r["technique"] for r in found.collect()} == {i: first_match(t, spans) for i, t in rows}
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_rows_that_share_an_id_and_equal_intervals(spark, bound, setting):
+    setting("windrow.broadcast_rows", bound)
+    spans = [(i, f"t{i}", 100, 100_000) for i in range(2000)] + [(2000, "early", 10, 20)]
+    rows = spark.createDataFrame([(1, 15), (1, 5_000), (1, 100_001)], "id int, t long")
+    found = iv.first_interval(rows, F.col("t"), spark.createDataFrame(spans, TL)).collect()
+    assert {r["t"]: r["technique"] for r in found} == {15: "early", 5_000: "t0", 100_001: None}
+
+
+def test_capture_zone(spark):
+    hour = 3_600_000_000_000
+    spans = spark.createDataFrame([(0, "a", 10 * hour, 11 * hour)], TL)
+    rows = spark.createDataFrame([(0, 7, "1970-01-01 12:30:00")], "event_id long, cgroup_id long, w string")
+    rows = rows.withColumn("timestamp_human", F.col("w").cast("timestamp_ntz"))
+    assert iv.label_events(rows, 7, spans, capture_zone="+02:00").first()["technique"] == "a"
+    assert iv.label_events(rows, 7, spans).first()["technique"] == "unattributed"
+
+
 def test_bounds_belong_to_the_interval(spark):
     spans = spark.createDataFrame([(0, "a", 10, 20), (1, "b", 21, 30)], TL)
     rows = spark.createDataFrame([(i,) for i in (9, 10, 20, 21, 30, 31)], "t long")
-    found = iv.first_interval(rows, F.col("t"), spans, row_id="t").collect()
+    found = iv.first_interval(rows, F.col("t"), spans).collect()
     assert {r["t"]: r["technique"] for r in found} == {9: None, 10: "a", 20: "a", 21: "b", 30: "b", 31: None}
 
 

@@ -55,7 +55,7 @@ def test_one_sequence_never_meets_in_one_task(spark, folder):
 def test_interval_join_moves_no_rows(spark, folder):
     spans = spark.createDataFrame([(0, "a", 0, 10)], "ordinal long, technique string, start_ns long, end_ns long")
     events = on_disk(spark, folder)
-    p = plan(iv.first_interval(events, F.col("timestamp_ns"), spans, row_id="event_id"))
+    p = plan(iv.first_interval(events, F.col("timestamp_ns"), spans))
     assert "BroadcastHashJoin" in p and "NestedLoop" not in p
     left = p[p.index("BroadcastHashJoin"):p.index("BroadcastExchange")]
     assert "Exchange hashpartitioning" not in left

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.operators.ordered import CHUNK, MAX_CHUNKS, cut_into_chunks, next_at_or_after
+from windrow.operators.ordered import CHUNK, cut_into_chunks, next_at_or_after
 from windrow.schema import EVENT_ORDER
-from windrow.storage import materialize
+from windrow.storage import CHUNKS_SETTING, materialize, ship_package
 
 # Seconds between alerts of one process, and of the whole stream.
 PROCESS_COOLDOWN_NS = 2_000_000_000
@@ -69,16 +69,15 @@ def _fold(cooldown: int):
     return work
 
 
-def _true_entries(heads: DataFrame, keys: list[str], cooldown: int, chunks: int) -> DataFrame:
+def _true_entries(heads: DataFrame, keys: list[str], cooldown: int) -> DataFrame:
     """The entry of each chunk that the fold from the key's start really takes."""
     node = heads.withColumn("resume", F.col("exit") + cooldown)
     edges = next_at_or_after(node.select(*keys, "t", "resume"), heads.select(*keys, F.col("t").alias("entry_t")), keys, "resume", "entry_t", "to")
     pointers = materialize(edges.where("to IS NOT NULL").select(*keys, "t", "to"), "cooldown-links")
     first = heads.groupBy(*keys).agg(F.min("t").alias("t"))
     reached = materialize(first, "cooldown-reached")
-    for _ in range(math.ceil(math.log2(max(chunks, 2))) + 1):
-        if pointers.isEmpty():
-            break
+    # Each round doubles the distance a pointer spans, until none is left.
+    while not pointers.isEmpty():
         step = reached.join(pointers, [*keys, "t"]).select(*keys, F.col("to").alias("t"))
         reached = materialize(reached.unionByName(step).distinct(), "cooldown-reached")
         onward = pointers.select(*keys, F.col("t").alias("to"), F.col("to").alias("_then"))
@@ -92,17 +91,21 @@ def fired_alerts(
     anomalies: DataFrame, cooldown_ns: int, *, keys: list[str] = ("session_id",), order: list[str] = EVENT_ORDER,
     chunks: int | None = None,
 ) -> DataFrame:
-    """The anomalies that fire, with all their columns. ``order[0]`` is the clock."""
+    """The anomalies that fire, with all their columns. ``order[0]`` is the clock.
+
+    The input is evaluated once, into a table; the number of chunks follows from its rows.
+    """
+    ship_package(anomalies.sparkSession)
     keys, clock = list(keys), order[0]
     rest = [c for c in anomalies.columns if c not in (*keys, clock)]
     # Of anomalies at one instant only the first can fire.
     rows = anomalies.groupBy(*keys, F.col(clock).alias("t")).agg(
         F.min_by(F.struct(*rest), F.struct(*order[1:])).alias("row")
     ) if len(order) > 1 else anomalies.select(*keys, F.col(clock).alias("t"), F.struct(*rest).alias("row"))
+    rows = materialize(rows, "cooldown-rows")
     if chunks is None:
-        chunks = min(MAX_CHUNKS, math.ceil(anomalies.count() / ROWS_PER_CHUNK))
-    if chunks > 1:
-        rows = materialize(rows, "cooldown-rows")
+        forced = anomalies.sparkSession.conf.get(CHUNKS_SETTING, None)
+        chunks = int(forced) if forced else math.ceil(rows.count() / ROWS_PER_CHUNK)
     cut = cut_into_chunks(rows, ["t"], chunks)
     types = {f.name: f for f in cut.schema.fields}
     key_fields = [types[k] for k in keys]
@@ -117,7 +120,7 @@ def fired_alerts(
             cut.select(*keys, CHUNK, "t").groupBy(*keys, CHUNK).applyInPandas(_entries_and_exits(cooldown_ns, keys), schema),
             "cooldown-heads",
         )
-        entries = _true_entries(heads, keys, cooldown_ns, chunks)
+        entries = _true_entries(heads, keys, cooldown_ns)
     slim = cut.select(*keys, CHUNK, "t").join(entries, [*keys, CHUNK])
     schema = T.StructType([*key_fields, types[CHUNK], types["t"]])
     fired = slim.groupBy(*keys, CHUNK).applyInPandas(_fold(cooldown_ns), schema).drop(CHUNK)

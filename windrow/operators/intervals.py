@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.functions.scalars import drop_comms, event_label, int_div, wall_ns
+from windrow.functions.scalars import event_label, int_div, wall_ns
 from windrow.operators.ordered import next_at_or_after, ordered_scan
 from windrow.schema import EVENT_ORDER
-from windrow.storage import BROADCAST_ROWS
+from windrow.storage import broadcast_rows
 from windrow.vocabulary import UNATTRIBUTED
 
 MIN_BINS = 4096
@@ -46,8 +46,9 @@ def rows_if_small(timeline: DataFrame) -> list[Row] | None:
 
     Reads at most one row more than the bound.
     """
-    rows = timeline.limit(BROADCAST_ROWS + 1).collect()
-    return rows if len(rows) <= BROADCAST_ROWS else None
+    most = broadcast_rows(timeline.sparkSession)
+    rows = timeline.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
 
 
 def _bin_width(n: int, covered: float) -> int:
@@ -60,17 +61,16 @@ def _bin(t: Column, width: int) -> Column:
 
 
 def first_interval(
-    rows: DataFrame, time_ns: Column, timeline: DataFrame | list[Row], *, row_id: str, out: str = "technique",
-    keys: list[str] = (),
+    rows: DataFrame, time_ns: Column, timeline: DataFrame | list[Row], *, out: str = "technique", keys: list[str] = (),
 ) -> DataFrame:
     """Add the technique of the first interval (file order) holding ``time_ns``.
 
     Both ends are included; no match gives NULL. Intervals are laid over bins
     wide enough that the binned table has at most three rows per interval plus a
-    constant, and rows meet them by an equi join on the bin. A timeline of
-    checked size travels as one array per bin, so rows neither move nor multiply.
-    A larger one is joined row by row and reduced per ``row_id``, which must be
-    unique and stored (not computed anew on each read).
+    constant, and rows meet them by an equi join on the bin: one array of
+    intervals per bin, in file order, cut behind the first that covers the bin,
+    as none after it can come first. So rows do not multiply and need no id. A
+    timeline of checked size is broadcast, a larger one is shuffled.
     """
     keys = list(keys)
     small = timeline if isinstance(timeline, list) else rows_if_small(timeline)
@@ -81,34 +81,39 @@ def first_interval(
     stats = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("covered")).first()
     width = _bin_width(stats["n"], stats["covered"] or 0.0)
     bins = F.sequence(_bin(F.col("start_ns"), width), _bin(F.col("end_ns"), width))
-    spans = spans.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(bins).alias("_b"),
-        F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"), F.col("ordinal").alias("_o"),
-        F.col("technique").alias("_found"),
-    )
-    timed = rows.withColumn("_t", time_ns).withColumn("_bin", _bin(F.col("_t"), width))
-    same = (timed["_bin"] == spans["_b"]) & timed["_t"].between(spans["_s"], spans["_e"])
-    for k in keys:
-        same = same & (timed[k] == spans[f"_k_{k}"])
-    best = timed.join(spans, same).groupBy(row_id).agg(F.min_by("_found", "_o").alias(out))
-    return timed.drop("_bin", "_t").join(best, row_id, "left")
+    span = F.struct("ordinal", "start_ns", "end_ns", "technique")
+    laid = spans.select(*keys, F.explode(bins).alias("_bin"), span.alias("_span"))
+    low = F.col("_bin") * width
+    covers = (F.col("_span.start_ns") <= low) & (F.col("_span.end_ns") >= low + (width - 1))
+    # Of the intervals that cover a bin only the first counts, and only those before it besides.
+    first = laid.where(covers).groupBy(*keys, "_bin").agg(F.min("_span.ordinal").alias("_cover"))
+    useful = laid.join(first, [*keys, "_bin"], "left").where("_cover IS NULL OR _span.ordinal <= _cover")
+    table = useful.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list("_span")).alias("_spans"))
+    return _from_bins(rows, time_ns, table, width, out, keys)
 
 
 def _with_broadcast_bins(rows: DataFrame, time_ns: Column, spans: list[Row], out: str, keys: list[str]) -> DataFrame:
     spans = [s for s in spans if s["end_ns"] >= s["start_ns"]]
     width = _bin_width(len(spans), sum(s["end_ns"] - s["start_ns"] for s in spans))
     bins = defaultdict(list)
-    for s in spans:
+    for s in sorted(spans, key=lambda s: s["ordinal"]):
         for b in range(s["start_ns"] // width, s["end_ns"] // width + 1):
-            bins[(*[s[k] for k in keys], b)].append((s["ordinal"], s["start_ns"], s["end_ns"], s["technique"]))
+            held = bins[(*[s[k] for k in keys], b)]
+            covered = held and held[-1][1] <= b * width and held[-1][2] >= (b + 1) * width - 1
+            if not covered:
+                held.append((s["ordinal"], s["start_ns"], s["end_ns"], s["technique"]))
     schema = T.StructType(
         [*[rows.schema[k] for k in keys], T.StructField("_bin", T.LongType()), T.StructField("_spans", _SPANS)]
     )
     table = rows.sparkSession.createDataFrame([(*at, sorted(held)) for at, held in bins.items()], schema)
+    return _from_bins(rows, time_ns, F.broadcast(table), width, out, keys)
+
+
+def _from_bins(rows: DataFrame, time_ns: Column, table: DataFrame, width: int, out: str, keys: list[str]) -> DataFrame:
     timed = rows.withColumn("_t", time_ns).withColumn("_bin", _bin(F.col("_t"), width))
     held = F.filter("_spans", lambda s: F.col("_t").between(s["start_ns"], s["end_ns"]))
     return (
-        timed.join(F.broadcast(table), [*keys, "_bin"], "left")
+        timed.join(table, [*keys, "_bin"], "left")
         .withColumn(out, F.get(held, F.lit(0))["technique"])
         .drop("_bin", "_t", "_spans")
     )
@@ -116,13 +121,14 @@ def _with_broadcast_bins(rows: DataFrame, time_ns: Column, spans: list[Row], out
 
 def label_events(
     events: DataFrame, attack_cgroup, timeline: DataFrame | None, *, human_time: str = "timestamp_human",
-    row_id: str = "event_id", check: bool = True,
+    check: bool = True, capture_zone: str = "UTC",
 ) -> DataFrame:
     """Add ``label`` (scope) and ``technique`` (timeline) to raw events.
 
     Attack events outside every interval, or without a readable wall time, are
     ``unattributed``; normal events have technique ''. Without a timeline no
-    event has a technique.
+    event has a technique. ``capture_zone`` is the time zone of the host that
+    wrote the wall times; timeline bounds are seconds since 1970.
     """
     labeled = events.withColumn("label", event_label(F.col("cgroup_id"), attack_cgroup))
     if timeline is None:
@@ -142,8 +148,9 @@ def label_events(
             if after["start_ns"] <= before["end_ns"]:
                 raise ValueError(f"timeline intervals overlap at {after['technique']} ({after['start_ns']})")
     # Only attack rows look the timeline up; the others get a NULL time.
-    t = F.when(F.col("label") == 1, wall_ns(F.col(human_time)))
-    found = first_interval(labeled, t, micros if small is None else small, row_id=row_id, out="technique")
+    wall = F.to_utc_timestamp(F.col(human_time).cast("timestamp"), capture_zone)
+    t = F.when(F.col("label") == 1, wall_ns(wall))
+    found = first_interval(labeled, t, micros if small is None else small, out="technique")
     return found.withColumn(
         "technique",
         F.when(F.col("label") == 1, F.coalesce("technique", F.lit(UNATTRIBUTED))).otherwise(F.lit("")),
@@ -178,7 +185,11 @@ def detection_latency(
     return found.withColumn("latency_ms", (F.col("alarm_ts") - F.col("onset_ts")) / F.lit(1e6))
 
 
-def semi_anti(events: DataFrame, known: list[str], dropped: list[str]) -> DataFrame:
-    """Rows of known programs, and rows that survive the denylist, each flagged."""
-    kept = drop_comms(events, dropped)
-    return kept.withColumn("is_known", F.coalesce(F.col("comm").isin(list(known)), F.lit(False)))
+def semi_anti(events: DataFrame, known: DataFrame, dropped: DataFrame, on: str = "comm") -> DataFrame:
+    """Rows with a known ``on`` (kind ``known``), and rows whose ``on`` is not dropped (kind ``kept``)."""
+    def side(table: DataFrame, how: str, kind: str) -> DataFrame:
+        named = table.select(on).distinct()
+        few = named.limit(broadcast_rows(events.sparkSession) + 1).count() <= broadcast_rows(events.sparkSession)
+        return events.join(F.broadcast(named) if few else named, on, how).withColumn("kind", F.lit(kind))
+
+    return side(known, "left_semi", "known").unionByName(side(dropped, "left_anti", "kept"))

@@ -113,9 +113,11 @@ def ranking_quality(scored: DataFrame, keys: list[str] = (), chunks: int | None
     half of those beside it; average precision adds recall steps times precision.
     """
     keys = list(keys)
-    area = F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2))
-    step = F.sum(F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))
-    p, n = F.max("n_pos"), F.max("n_neg")
+    tp, cum_tp = F.col("tp").cast("double"), F.col("cum_tp").cast("double")
+    area = F.sum(F.col("fp") * (cum_tp - tp / 2))
+    step = F.sum(tp * cum_tp / (F.col("cum_tp") + F.col("cum_fp")))
+    # Products of counts leave the range of longs.
+    p, n = F.max("n_pos").cast("double"), F.max("n_neg").cast("double")
     return score_steps(scored, keys, chunks).groupBy(*keys).agg(
         F.when((p > 0) & (n > 0), area / (p * n)).otherwise(F.lit(float("nan"))).alias("auc"),
         ratio(step, p).alias("average_precision"),

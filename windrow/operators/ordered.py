@@ -18,21 +18,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.storage import input_bytes, materialize, repeats_work
+from windrow.storage import CHUNKS_SETTING, input_bytes, materialize, repeats_work
 
 CHUNK = "_chunk"
 CHUNK_BYTES = 4 << 20
-MAX_CHUNKS = 4096
-# Bounds are fitted on a sample once the input is estimated above this size.
+# The driver holds one bound per chunk; beyond it chunks grow with the data and their sorts spill.
+MAX_CHUNKS = 1 << 16
+# Bounds are fitted on a sample of about this size once the input is known to be larger.
 BOUNDS_BYTES = 64 << 20
 
 
 def default_chunks(df: DataFrame) -> int:
-    """Chunks for ``df``: by its estimated size, at most four per shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Chunks for ``df`` by its size alone; four per shuffle partition where the size is not known."""
+    conf = df.sparkSession.conf
+    forced = conf.get(CHUNKS_SETTING, None)
+    if forced:
+        return int(forced)
     size = input_bytes(df)
-    wanted = math.ceil(size / CHUNK_BYTES) if size is not None else MAX_CHUNKS
-    return max(1, min(wanted, 4 * partitions, MAX_CHUNKS))
+    if size is None:
+        return 4 * int(conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(math.ceil(size / CHUNK_BYTES), MAX_CHUNKS))
 
 
 def readable_twice(df: DataFrame, chunks: int | None) -> tuple[DataFrame, int]:
@@ -52,13 +57,27 @@ def _levels(df: DataFrame, order: list[str]) -> list[Column]:
     """Order columns as doubles whose lexicographic order is the row order.
 
     A long may not fit a double exactly, so it gives its rounded value and then
-    the difference to it.
+    the difference to it. NaN comes after every number. Text gives its first
+    bytes, twelve at most, and no column after it is used, as longer texts may differ.
     """
     levels = []
     for name in order:
-        as_double = F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            raw = F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+            for at in (1, 7):
+                digits = F.rpad(F.hex(F.substring(raw, at, 6)), 12, "0")
+                levels.append(F.conv(digits, 16, 10).cast("double"))
+            break
+        if isinstance(kind, T.DateType):
+            as_double = F.coalesce(F.unix_date(F.col(name)).cast("double"), F.lit(float("-inf")))
+        else:
+            as_double = F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            levels += [F.when(F.isnan(as_double), F.lit(float("inf"))).otherwise(as_double), F.isnan(as_double).cast("double")]
+            continue
         levels.append(as_double)
-        if isinstance(df.schema[name].dataType, T.LongType):
+        if isinstance(kind, T.LongType):
             rounded = F.col(name).cast("double").try_cast("long")
             levels.append(F.coalesce((F.col(name) - rounded).cast("double"), F.lit(0.0)))
     return levels
@@ -67,8 +86,8 @@ def _levels(df: DataFrame, order: list[str]) -> list[Column]:
 def _bounds(df: DataFrame, level: Column, chunks: int) -> list[float]:
     values = df.select(level.alias("v"))
     size = input_bytes(df)
-    if size is None or size > BOUNDS_BYTES:
-        fraction = min(1.0, BOUNDS_BYTES / size) if size else 0.01
+    if size is not None and size > BOUNDS_BYTES:
+        fraction = BOUNDS_BYTES / size
         values = values.sample(fraction, seed=7)
         if fraction < 0.01:
             # A thin sample of very many tasks: merge it in a few before the last one.

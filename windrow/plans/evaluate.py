@@ -108,7 +108,7 @@ def compare_with_rules(alerts: DataFrame, timeline: DataFrame, scored: DataFrame
     """Rule feed against the model: scorecard, totals, benign alarms and model FPR."""
     numbered = materialize(alerts.withColumn("_alert", F.monotonically_increasing_id()), "alerts")
     attributed = materialize(
-        iv.first_interval(numbered, F.col("time_ns"), timeline, row_id="_alert"), "rule-alerts"
+        iv.first_interval(numbered, F.col("time_ns"), timeline), "rule-alerts"
     )
     card = rp.technique_scorecard(attributed, rp.technique_recall(scored), list(techniques))
     benign = attributed.agg(F.count(F.when(F.col("technique").isNull(), 1)).alias("benign_alerts"))
@@ -119,7 +119,7 @@ def compare_with_signatures(alerts: DataFrame, timeline: DataFrame, attack_cgrou
     """Signature feed against the model; only detections inside the attack scope count as hits."""
     numbered = materialize(alerts.withColumn("_alert", F.monotonically_increasing_id()), "alerts")
     attributed = materialize(
-        iv.first_interval(numbered, F.col("time_ns"), timeline, row_id="_alert"), "signature-alerts"
+        iv.first_interval(numbered, F.col("time_ns"), timeline), "signature-alerts"
     )
     hits = rp.scoped_alerts(attributed, attack_cgroup)
     card = rp.technique_scorecard(hits, rp.technique_recall(scored), list(techniques))

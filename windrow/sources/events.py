@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.scalars import drop_comms
 from windrow.schema import EVENT_SCHEMA, LABELED_SCHEMA, TRAINING_COLUMNS
@@ -20,13 +21,47 @@ def _csv(spark: SparkSession, paths, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
 
 
+def _headers(spark: SparkSession, patterns: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line; one line of each file is read."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    conf = spark._jsc.hadoopConfiguration()
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in path.getFileSystem(conf).globStatus(path) or []:
+            name = status.getPath().toString()
+            first = spark.read.text(name).first()
+            columns = tuple(c.strip() for c in first["value"].split(",")) if first else ()
+            found.setdefault(columns, []).append(name)
+    return found
+
+
+def _by_name(spark: SparkSession, patterns: list[str], needed: list[str]) -> DataFrame:
+    """Captures read by the names in their headers; columns of later versions may be missing."""
+    kinds = {f.name: f.dataType for f in EVENT_SCHEMA.fields}
+    parts = []
+    found = _headers(spark, patterns)
+    if not found:
+        return _csv(spark, patterns, EVENT_SCHEMA)  # Spark says that no path matches
+    for columns, files in found.items():
+        missing = [c for c in needed if c not in columns]
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns])
+        df = _with_ids(_csv(spark, files, schema))
+        absent = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in columns}
+        parts.append(df.withColumns(absent).select(*kinds, "session_id", "event_id"))
+    return union_sessions(*parts)
+
+
 def read_events(spark: SparkSession, data_dir: str, exclude_comm=None) -> DataFrame:
     """All captures ``syscalls_*.csv`` of a folder, pruned to what training needs.
 
-    Fails when no file matches. ``exclude_comm`` drops process names.
+    Files may have different headers; ``tid`` falls back to ``pid``. Fails when no
+    file matches. ``exclude_comm`` drops process names.
     """
-    df = _csv(spark, f"{data_dir}/syscalls_*.csv", EVENT_SCHEMA)
-    return drop_comms(_with_ids(df).select(*TRAINING_COLUMNS, "tid", "session_id", "event_id"), exclude_comm)
+    df = _by_name(spark, [f"{data_dir}/syscalls_*.csv"], list(TRAINING_COLUMNS))
+    df = df.withColumn("tid", F.coalesce("tid", "pid"))
+    return drop_comms(df.select(*TRAINING_COLUMNS, "tid", "session_id", "event_id"), exclude_comm)
 
 
 def read_raw_captures(spark: SparkSession, patterns: list[str]) -> DataFrame:
@@ -34,13 +69,7 @@ def read_raw_captures(spark: SparkSession, patterns: list[str]) -> DataFrame:
 
     The header of each file is checked by reading one line of it.
     """
-    headers = spark.read.text(list(patterns)).select("value", "_metadata.file_path").where(
-        F.col("value").startswith("timestamp_ns,")
-    )
-    without = headers.where(~F.array_contains(F.split("value", ","), "cgroup_id")).select("file_path").first()
-    if without:
-        raise ValueError(f"{without['file_path']} has no cgroup_id column")
-    return _with_ids(_csv(spark, list(patterns), EVENT_SCHEMA))
+    return _by_name(spark, list(patterns), ["cgroup_id"])
 
 
 def read_labeled(spark: SparkSession, path, exclude_comm=TOOLCHAIN_COMMS) -> DataFrame:

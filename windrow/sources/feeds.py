@@ -9,7 +9,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.scalars import seconds_to_ns
@@ -26,21 +26,27 @@ _SIGNATURE_FEED = (
 def parse_timeline(lines: DataFrame) -> DataFrame:
     """Rows with exactly three tab-separated fields; bounds in nanoseconds.
 
-    ``lines`` needs ``value`` and ``ordinal`` (file order).
+    ``lines`` needs ``value`` and ``ordinal`` (file order). A bound that is no
+    number stops the job: an interval left out would misname its events.
     """
     parts = F.split("value", "\t")
-    return (
-        lines.where(F.size(parts) == 3)
-        .select(
-            F.col("ordinal").cast("long"),
-            parts[0].alias("technique"),
-            seconds_to_ns(parts[1]).alias("start_ns"),
-            seconds_to_ns(parts[2]).alias("end_ns"),
-        )
-        .where("start_ns IS NOT NULL AND end_ns IS NOT NULL")
+
+    def bound(text: Column) -> Column:
+        unreadable = F.raise_error(F.concat(F.lit("unreadable bound in timeline line: "), F.col("value")))
+        return F.coalesce(seconds_to_ns(text), unreadable.cast("long"))
+
+    return lines.where(F.size(parts) == 3).select(
+        F.col("ordinal").cast("long"), parts[0].alias("technique"),
+        bound(parts[1]).alias("start_ns"), bound(parts[2]).alias("end_ns"),
     )
 
 
+def _whole_number(text: Column) -> Column:
+    """A number as text, with fraction or exponent or without, cut to a whole one; NULL if unreadable."""
+    exact = F.coalesce(text.try_cast("decimal(38,9)"), text.try_cast("double").try_cast("decimal(38,9)"))
+    return F.coalesce(text.try_cast("long"), exact.try_cast("long"))
+
+
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     """Timeline file; a missing file gives an empty timeline and a warning."""
     try:
@@ -54,7 +60,7 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 def parse_rule_alerts(lines: DataFrame, *carry: str) -> DataFrame:
     """Rule feed: keeps lines that are JSON objects with a rule and an event time."""
     doc = F.from_json("value", _RULE_FEED, _STRICT_JSON)
-    time_ns = F.col("doc.output_fields")["evt.time"].try_cast("long")
+    time_ns = _whole_number(F.col("doc.output_fields")["evt.time"])
     return (
         lines.where(F.array_contains(F.json_object_keys("value"), "rule"))
         .withColumn("doc", doc)
@@ -73,7 +79,7 @@ def parse_signature_alerts(lines: DataFrame, *carry: str) -> DataFrame:
             *carry,
             props["signatureID"].alias("signature_id"),
             F.coalesce(props["signatureName"], props["signatureID"]).alias("signature_name"),
-            F.col("doc.timestamp").try_cast("long").alias("time_ns"),
+            _whole_number(F.col("doc.timestamp")).alias("time_ns"),
             F.col("doc.cgroupId").alias("cgroup_id"),
         )
         .where("signature_id <> '' AND time_ns IS NOT NULL")

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
-import re
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension of at most this many rows may be broadcast (a few MB at most).
 BROADCAST_ROWS = 50_000
+# Session settings that force the plans meant for large inputs onto small ones.
+CHUNKS_SETTING = "windrow.chunks"
+BROADCAST_SETTING = "windrow.broadcast_rows"
+
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def broadcast_rows(spark: SparkSession) -> int:
+    """Most rows of a table that may be broadcast."""
+    return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_ROWS)))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, so that workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_windrow_shipped", False):
+        return
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
+    path = os.path.join(tempfile.mkdtemp(prefix="windrow-code-"), "windrow_code.zip")
+    with open(path, "wb") as f:
+        f.write(archive.getvalue())
+    context.addPyFile(path)
+    context._windrow_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +72,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MOVES_ROWS = {"Aggregate", "Window", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Distinct", "Sort"}
+
+
 def input_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size of the tables ``df`` reads, None where it is not known.
+    """Catalyst's size of the tables ``df`` reads, None where any of them is not known.
 
     Leaves are added up because the estimate of a join multiplies its sides.
     """
@@ -51,17 +85,25 @@ def input_bytes(df: DataFrame) -> int | None:
         sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except AttributeError:
         return None
-    known = [size for size in sizes if size < 2**62]
-    return sum(known) if known else None
+    return sum(sizes) if all(size < 2**62 for size in sizes) else None
 
 
 def repeats_work(df: DataFrame) -> bool:
     """True when reading ``df`` twice would redo shuffles or Python work, not just a scan."""
     try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        nodes = [df._jdf.queryExecution().optimizedPlan()]
     except AttributeError:
         return True
-    return re.search(r"\b(Aggregate|Window|RepartitionByExpression|Distinct|Sort|\w*InPandas|\w*InArrow)\b", plan) is not None
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name in _MOVES_ROWS or any(part in name for part in ("Python", "Pandas", "Arrow")):
+            return True
+        if name == "Join" and "broadcast" not in node.hint().toString():
+            return True
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return False
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

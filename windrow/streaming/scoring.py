@@ -124,7 +124,7 @@ class StreamWindows:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # The size of a batch is not known beforehand, so it is always cut.
-        chunks = self.chunks or min(64, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        chunks = self.chunks or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys, phase = self.keys, live_phase(self.window, self.stride)
         cols = [*keys, *self.order, *self.carry]
         new = self.vocab.with_index(batch, "syscall_name", "token").select(
@@ -186,9 +186,10 @@ def name_top_features(alerts: DataFrame, vocab: Vocabulary, ngram: int, key: lis
 class AlertWriter:
     """Scores windows of a batch and writes the alerts that the cooldown lets through.
 
-    The last alert of every key is kept between batches and enters the next one
-    as an alert already fired. Time is event time, so a replay gives the same
-    alerts at any speed.
+    The time of the last alert of every key is kept between batches. Anomalies
+    less than the cooldown after it, or before it, cannot fire and are left out;
+    the others are folded by themselves. Time is event time, so a replay gives
+    the same alerts at any speed.
     """
 
     def __init__(
@@ -204,15 +205,16 @@ class AlertWriter:
         anomalies = scored.where(decide(F.col("probability"), self.threshold, strict=True) == 1)
         kept = T.StructType([*[scored.schema[k] for k in self.keys], T.StructField(self.clock, T.LongType())])
         last = self.state.before(windows, batch_id, kept)
-        both = anomalies.withColumn("_earlier", F.lit(False)).unionByName(
-            last.withColumn("_earlier", F.lit(True)), allowMissingColumns=True
-        )
-        fired = fired_alerts(both, self.cooldown, keys=self.keys, order=[self.clock, self.tie], chunks=self.chunks)
+        known = last.withColumnRenamed(self.clock, "_last")
+        free = anomalies.join(known, self.keys, "left").where(
+            F.col("_last").isNull() | (F.col(self.clock) >= F.col("_last") + self.cooldown)
+        ).drop("_last")
+        fired = fired_alerts(free, self.cooldown, keys=self.keys, order=[self.clock, self.tie], chunks=self.chunks)
         path = f"{self.out}/batch={batch_id}"
-        fired.write.mode("overwrite").parquet(f"{self.state.path}/fired-{batch_id}")
-        done = windows.sparkSession.read.schema(fired.schema).parquet(f"{self.state.path}/fired-{batch_id}")
-        done.where("NOT _earlier").drop("_earlier").write.mode("overwrite").parquet(path)
-        self.state.save(done.groupBy(*self.keys).agg(F.max(self.clock).alias(self.clock)), batch_id)
+        fired.write.mode("overwrite").parquet(path)
+        done = windows.sparkSession.read.schema(fired.schema).parquet(path)
+        times = done.select(*self.keys, self.clock).unionByName(last)
+        self.state.save(times.groupBy(*self.keys).agg(F.max(self.clock).alias(self.clock)), batch_id)
 
 
 def live_events(stream: DataFrame, exclude_comm=TRAINING_DENYLIST) -> DataFrame:
