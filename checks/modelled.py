@@ -262,3 +262,42 @@ def stream_alerts(spark, sf):
     live = scoring.live_events(stream(spark, sf), sg.DENYLIST)
     ingest.store_and_score(live, f"{run}/checkpoint", score=fold).awaitTermination()
     return spark.read.parquet(f"{run}/alerts/*").select("session_id", "window_id", "event_id", "close_ts")
+
+
+PROCESS_REPLAY = sg.with_sql(sg.SEQ).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+trig AS (SELECT session_id, pid, pseq AS end_seq, event_id, timestamp_ns AS t FROM seq
+         WHERE pseq >= 19 OR (pseq >= 2 AND syscall_name IN ('error', 'purchase'))),
+an AS (SELECT g.session_id, g.pid, g.end_seq, g.event_id, g.t FROM trig g
+       JOIN seq s ON s.session_id = g.session_id AND s.pid = g.pid AND s.pseq BETWEEN g.end_seq - 19 AND g.end_seq
+       GROUP BY ALL HAVING count(*) FILTER (s.syscall_name IN ('error', 'purchase')) / 20.0 > 0.3),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, pid, t ORDER BY event_id) AS r FROM an) WHERE r = 1),
+nxt AS (SELECT a.*, (SELECT min(n.t) FROM firsts n WHERE n.session_id = a.session_id AND n.pid = a.pid AND n.t >= a.t + {48 * HOUR}) AS nt
+        FROM firsts a),
+fired AS (SELECT session_id, pid, min(t) AS t FROM firsts GROUP BY session_id, pid
+          UNION ALL SELECT f.session_id, f.pid, n.nt FROM fired f
+          JOIN nxt n ON n.session_id = f.session_id AND n.pid = f.pid AND n.t = f.t WHERE n.nt IS NOT NULL)
+SELECT session_id, pid, end_seq, event_id, t AS close_ts FROM fired JOIN firsts USING (session_id, pid, t)"""
+RISKY = ["error", "purchase"]
+
+
+@query(PROCESS_REPLAY)
+def replay_process_alerts(spark, sf):
+    fired = scoring.replay_processes(
+        labeled(spark, sf), sg.VOCAB, critical_share(20), keys=sg.PID_KEYS, window=20, ngram=1, risky=RISKY,
+        cooldown_ns=48 * HOUR, threshold=0.3,
+    )
+    return fired.select("session_id", "pid", "end_seq", "event_id", "close_ts")
+
+
+@query(PROCESS_REPLAY)
+def stream_process_alerts(spark, sf):
+    """The same alerts, raised live."""
+    run = run_folder(spark)
+    writer = scoring.AlertWriter(
+        critical_share(20), out=f"{run}/alerts", state=f"{run}/fired", cooldown_ns=48 * HOUR, keys=sg.PID_KEYS, threshold=0.3,
+        clock="close_ts",
+    )
+    live = scoring.live_events(stream(spark, sf), sg.DENYLIST)
+    scoring.start_process_alerts(
+        live, sg.VOCAB, writer, f"{run}/checkpoint", keys=sg.PID_KEYS, window=20, ngram=1, risky=RISKY).awaitTermination()
+    return spark.read.parquet(f"{run}/alerts/*").select("session_id", "pid", "end_seq", "event_id", "close_ts")

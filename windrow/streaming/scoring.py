@@ -26,9 +26,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from windrow.functions.scalars import decide, drop_comms
 from windrow.functions.weights import raw_weights, vectorize
 from windrow.models.forest import Detector, score_forest
-from windrow.operators.cooldown import fired_alerts
+from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
 from windrow.operators.ordered import ordered_scan
-from windrow.operators.windows import bag_of, bag_windows, close_times, live_phase, top_features
+from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
 
@@ -229,8 +229,6 @@ def replay(
     stride: int, ngram: int, cooldown_ns: int, threshold: float = 0.5, chunks: int | None = None,
 ) -> DataFrame:
     """Alerts a live scorer of whole streams would have raised on these events."""
-    from windrow.operators.windows import number_events
-
     numbered = number_events(events, vocab, keys=keys, carry=["pid", "comm", "uid"], chunks=chunks)
     shape = dict(keys=keys, window=window, stride=stride, phase=live_phase(window, stride))
     windows = bag_windows(numbered, vocab, ngram=ngram, **shape).drop("label", "attack_events")
@@ -238,3 +236,38 @@ def replay(
     scored = score(windows.join(closing, [*keys, "window_id"]))
     anomalies = scored.where(decide(F.col("probability"), threshold, strict=True) == 1)
     return fired_alerts(anomalies, cooldown_ns, keys=keys, order=["close_ts", "event_id"], chunks=chunks)
+
+
+def replay_processes(
+    events: DataFrame, vocab: Vocabulary, score: Callable[[DataFrame], DataFrame], *, keys: list[str], window: int, ngram: int,
+    risky: list[str] = HIGH_RISK, least: int = 3, cooldown_ns: int = PROCESS_COOLDOWN_NS, threshold: float = 0.5,
+    chunks: int | None = None,
+) -> DataFrame:
+    """Alerts a live scorer of single processes would have raised: every full buffer, and risky calls before."""
+    numbered = number_events(events, vocab, keys=keys, carry=["comm", "uid"], chunks=chunks)
+    at = numbered.select(*keys, F.col("seq").alias("end_seq"), F.col("timestamp_ns").alias("close_ts"), "event_id", "comm", "uid")
+    full = bag_windows(numbered, vocab, keys=keys, window=window, stride=1, ngram=ngram).select(*keys, "end_seq", "bag")
+    high = [vocab.tokens.index(t) for t in risky if t in vocab.tokens]
+    early = early_windows(numbered, keys=keys, window=window, risky=high, least=least)
+    early = early.select(*keys, "end_seq", bag_of(F.col("tokens"), vocab, ngram).alias("bag"))
+    windows = full.unionByName(early).join(at, [*keys, "end_seq"]).withColumn("window_id", F.col("end_seq") - (window - 1))
+    anomalies = score(windows).where(decide(F.col("probability"), threshold, strict=True) == 1)
+    fired = fired_alerts(anomalies, cooldown_ns, keys=keys, order=["close_ts", "event_id"], chunks=chunks)
+    return name_top_features(fired, vocab, ngram, keys) if "weights" in fired.columns else fired
+
+
+def start_process_alerts(
+    stream: DataFrame, vocab: Vocabulary, writer: AlertWriter, checkpoint: str, *, keys: list[str], window: int, ngram: int,
+    risky: list[str] = HIGH_RISK, least: int = 3,
+):
+    """Start scoring each process's buffer live; ``writer`` keeps the cooldown of every process."""
+    windows = process_windows(stream, vocab, keys=keys, window=window, risky=risky, least=least)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        ready = token_bags(batch, vocab, ngram).withColumn("window_id", F.col("end_seq") - (window - 1))
+        writer(ready.withColumn("close_ts", F.col("timestamp_ns")), batch_id)
+
+    return (
+        windows.writeStream.foreachBatch(one_batch).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
