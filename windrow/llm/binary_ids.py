@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from windrow.llm.common import discard, partition_offsets, ship, written
-from windrow.llm.tokens import draw_key, encoder, scramble, text_column
+from windrow.llm.tokens import draw_key, encoded_slices, encoder, scramble
 
 BLOCK_TOKENS = 500_000
 # Ranges of doc ids by the quantiles of all ids; a partition of the shuffle holds a few whole ranges.
@@ -36,9 +36,9 @@ BLOCK = (
     "control binary, data binary"
 )
 # By control byte: the four lengths, where each value starts within its group, and the group's bytes.
-LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
-OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
-GROUP = LENGTHS.sum(axis=1)
+LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
+OFFSETS = (np.cumsum(LENGTHS, axis=1) - LENGTHS).astype(np.uint8)
+GROUP = LENGTHS.sum(axis=1).astype(np.int64)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -100,8 +100,7 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer)
-        for batch in batches:
-            flat, offsets = coder.encode(text_column(batch.column(1)))
+        for batch, flat, offsets in (x for b in batches for x in encoded_slices(coder, b, 1)):
             n = batch.num_rows
             width = 2 if max(end_id, int(flat.max(initial=0))) < 1 << 16 else 4
             ends = offsets + np.arange(n + 1)

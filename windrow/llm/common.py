@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.storage import shared_dir
-
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark context, so that workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_windrow_shipped", False):
-        return
-    archive = io.BytesIO()
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(PACKAGE):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
-    path = os.path.join(tempfile.mkdtemp(prefix="windrow-code-"), "windrow_code.zip")
-    with open(path, "wb") as f:
-        f.write(archive.getvalue())
-    context.addPyFile(path)
-    context._windrow_shipped = True
+from windrow.storage import ship_package as ship  # noqa: F401
 
 
 def write_path(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from windrow.llm.common import discard, ship, written
-from windrow.llm.tokens import encoder, ragged, text_column
+from windrow.llm.tokens import encoded_slices, encoder, ragged
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank_in_part long, ids binary"
@@ -105,8 +105,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep
     def cut(batches: Iterable[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         coder = encoder(tokenizer)
-        for batch in batches:
-            flat, offsets = coder.encode(text_column(batch.column(1)))
+        for batch, flat, offsets in (x for b in batches for x in encoded_slices(coder, b, 1)):
             ids = np.insert(flat, offsets[1:], end_id).astype("<u4")
             sizes = np.diff(offsets) + 1
             pieces = -(-sizes // capacity)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, written
-from windrow.llm.tokens import encoder, ragged, text_column
+from windrow.llm.tokens import encoded_slices, encoder, ragged
 
 SIDE = 2
 HIDDEN = 16
@@ -157,8 +157,7 @@ def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         coder = encoder(tokenizer)
-        for batch in batches:
-            flat, offsets = coder.encode(text_column(batch.column(1)))
+        for batch, flat, offsets in (x for b in batches for x in encoded_slices(coder, b, 1)):
             raw = memoryview(flat.astype("<u4")).cast("B")
             spans = [raw[4 * a:4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["doc_id", "ids"])

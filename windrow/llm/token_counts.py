@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import partition_offsets, ship
-from windrow.llm.tokens import encoder, text_column
+from windrow.llm.tokens import encoded_slices, encoder
 
 
 def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -28,8 +28,7 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]):
         coder = encoder(tokenizer)
-        for batch in batches:
-            _, offsets = coder.encode(text_column(batch.column(0)))
+        for _, _, offsets in (x for b in batches for x in encoded_slices(coder, b, 0)):
             lengths, docs_of = np.unique(np.diff(offsets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths), pa.array(docs_of)], names=["n_tokens", "docs"])
 

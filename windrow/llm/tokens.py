@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 SLICE_BYTES = 8_000_000
 CUT = re.compile(r"\s*\S+|\s+")
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -51,6 +51,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         start = stop
 
 
+def encoded_slices(coder: "Encoder", batch: pa.RecordBatch, column: int):
+    """Runs of a batch's rows with the ids of their texts and the offsets in them, a few MB at a time."""
+    at = 0
+    for part in slices(text_column(batch.column(column))):
+        flat, offsets = coder.encode(part)
+        yield batch.slice(at, len(part)), flat, offsets
+        at += len(part)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, one run after the other."""
     ends = np.cumsum(lengths)
