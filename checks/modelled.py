@@ -171,6 +171,22 @@ def stream_counters(spark, sf):
     return spark.read.parquet(f"{run}/counts/{q.lastProgress['batchId']}")
 
 
+@query(sg.with_sql(sg.EV) + """
+SELECT session_id, count(*) AS n_events, count(DISTINCT pid) AS unique_pids, count(DISTINCT uid) AS unique_uids FROM ev GROUP BY session_id""")
+def stream_exact_counters(spark, sf):
+    run = run_folder(spark)
+
+    def latest(batch, batch_id):
+        ingest.exact_counters(batch).write.mode("overwrite").parquet(f"{run}/counts/{batch_id}")
+
+    q = (
+        ingest.running_groups(stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(latest)
+        .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/counts/{q.lastProgress['batchId']}")
+
+
 def stream_process_windows(spark, sf):
     run = run_folder(spark)
     live = scoring.live_events(stream(spark, sf), sg.DENYLIST)

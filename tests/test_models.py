@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from windrow.functions.weights import Idf
 from windrow.models import forest as rf
-from windrow.models.isolation import train_isolation_forest
+from windrow.models.isolation import IsolationForest, train_isolation_forest
 from windrow.plans import evaluate as ev
 from windrow.plans import train as tr
 from windrow.streaming.scoring import detector_scores, replay
@@ -81,6 +81,12 @@ def test_train_save_load_and_replay(spark, sessions, folder):
         for d in (detector, loaded)
     ]
     assert fired[0] == fired[1] > 5
+    isolation.save(spark, f"{folder}/i")
+    tables = ev.evaluate_saved(spark, f"{folder}/m", f"{folder}/split", f"{folder}/i")
+    assert {r["model"] for r in tables["metrics"].collect()} == {"forest", "isolation"}
+    assert tables["metrics"].where("model = 'forest'").first()["f1"] > 0.7 and tables["classes"].count() == 10
+    facts = {r["name"]: r["value"] for r in tables["overview"].collect()}
+    assert (facts["window"], facts["stride"], facts["features"], facts["cv_f1"]) == (40.0, 10.0, 398.0, detector.cv_f1)
     normal = vectors.where("label = 0").withColumn("x", vector_to_array("features"))
     attack = vectors.where("label = 1").withColumn("x", vector_to_array("features"))
     means = [isolation.score(v).agg(F.avg("score")).first()[0] for v in (normal, attack)]
@@ -97,6 +103,24 @@ def test_isolation_offset_flags_the_contamination(spark):
     assert [r["pred"] for r in model.score(far).orderBy("id").collect()] == [1, 0]
 
 
+def test_isolation_with_text_keys_and_storage(spark, folder, setting):
+    setting("windrow.chunks", 4)
+    rnd = random.Random(1)
+    df = spark.createDataFrame([(f"capture_{i % 3}", i, [rnd.gauss(0, 1), rnd.gauss(0, 1)]) for i in range(90)], "session_id string, window_id long, x array<double>")
+    model = train_isolation_forest(df, ["session_id", "window_id"], trees=6, sample=64)
+    assert len(model.trees) == 6
+    model.save(spark, f"{folder}/m")
+    again = IsolationForest.load(spark, f"{folder}/m")
+    key = ["session_id", "window_id", "score", "pred"]
+    assert sorted(model.score(df).select(key).collect()) == sorted(again.score(df).select(key).collect())
+
+
+def test_window_search_inside_training(spark, sessions):
+    detector, _, _ = tr.train(sessions[0], window_sizes=[40], per_pid=False, trees=5, folds=2, min_attack_frac=0.1)
+    best = max(detector.tuning, key=lambda r: r["f1"])
+    assert len(detector.tuning) == 3 and (detector.window, detector.stride) == (best["window_size"], best["stride"])
+
+
 def test_one_class_data(spark, sessions):
     normal = sessions[0].where("label = 0")
     with pytest.raises(ValueError):

@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.operators.ordered import ordered_scan
 from windrow.operators.reports import percentiles
-from windrow.operators.sampling import sample_n
+from windrow.operators.sampling import hash_of, sample_n
+from windrow.storage import materialize, ship_package
 
 TREES, SAMPLE, CONTAMINATION = 200, 256, 0.05
 _NODES = "tree int, node int, feature int, cut double, left int, right int, length double"
@@ -96,17 +98,47 @@ class IsolationForest:
         ).drop("_raw")
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Nodes and offset as one small table, replacing what was there."""
+        rows = [
+            (i, n, *(float(t[c][n]) for c in ("feature", "cut", "left", "right", "length")))
+            for i, t in enumerate(self.trees) for n in range(len(t["feature"]))
+        ]
+        nodes = spark.createDataFrame(rows, "tree int, node int, feature double, cut double, left double, right double, length double")
+        nodes.withColumns({"expected": F.lit(self.expected), "offset": F.lit(self.offset)}).coalesce(1).write.mode(
+            "overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "IsolationForest":
+        nodes = spark.read.parquet(path).toPandas().sort_values(["tree", "node"])
+        trees = [
+            {c: g[c].to_numpy(dtype=kind) for c, kind in zip(("feature", "cut", "left", "right", "length"), (int, float, int, int, float))}
+            for _, g in nodes.groupby("tree")
+        ]
+        return cls(trees, float(nodes["expected"].iloc[0]), float(nodes["offset"].iloc[0]))
+
+
 def train_isolation_forest(
     normal: DataFrame, key: list[str], *, features: str = "x", trees: int = TREES, sample: int = SAMPLE,
     contamination: float = CONTAMINATION, seed: int = 42,
 ) -> IsolationForest:
-    """Fit on normal windows; the offset flags the ``contamination`` share of them."""
-    base = sample_n(normal.select(*key, F.col(features).alias("x")), key, trees * sample, seed)
-    spread = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    by_hash = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", *key), *key)
-    picked = spread.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= sample)
+    """Fit on normal windows; the offset flags the ``contamination`` share of them.
+
+    Sampled windows are ranked by hash once, and each tree takes the next ``sample`` ranks, from
+    the start again when they run out; so exactly trees x sample vectors are sent on.
+    """
+    spark = normal.sparkSession
+    ship_package(spark)
+    h = hash_of(seed, key)
+    digits = {"_h1": F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), "_h2": F.conv(F.substring(h, 16, 15), 16, 10).cast("long")}
+    base = materialize(
+        sample_n(normal.select(*key, F.col(features).alias("x")), key, trees * sample, seed).withColumns(digits), "isolation")
+    n = base.count()
+    size = min(sample, n)
+    ranked = ordered_scan(base, [], ["_h1", "_h2"], seq="_rank")
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("_rank") - t * size, F.lit(max(n, 1))) < size)
+    picked = ranked.select("x", "_rank", F.explode(mine).alias("tree"))
     grown = picked.groupBy("tree").applyInPandas(_grower(seed), _NODES).toPandas()
-    size = picked.where("tree = 0").count()
     built = [
         {c: g[c].to_numpy() for c in ("feature", "cut", "left", "right", "length")}
         for _, g in grown.sort_values(["tree", "node"]).groupby("tree")
@@ -114,6 +146,7 @@ def train_isolation_forest(
     model = IsolationForest(built, _mean_path(size) or 1.0)
     scored = model.score(normal.select(*key, F.col(features).alias("x"))).withColumn("_all", F.lit(1))
     # score is minus the sample score here, so its upper percentile is the offset.
+    scored = materialize(scored.select(*key, "score", "_all"), "isolation-scores")
     top = percentiles(scored, "score", {"p": 1 - contamination}, ["_all"], key).first()
     model.offset = -float(top["p"])
     return model

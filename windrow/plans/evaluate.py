@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.weights import Idf
-from windrow.models.forest import score_forest, train_forest
+from windrow.models.forest import Detector, score_forest, train_forest
+from windrow.models.isolation import IsolationForest
 from windrow.operators import intervals as iv
 from windrow.operators import metrics as mt
 from windrow.operators import reports as rp
 from windrow.operators.sampling import class_sizes, undersample
 from windrow.operators.windows import bag_windows, number_events, window_keys
 from windrow.plans.train import to_vectors
+from windrow.sources.events import read_split
 from windrow.storage import materialize
 from windrow.vocabulary import SYSCALL_VOCABULARY, TECHNIQUES, Vocabulary
 
@@ -124,3 +126,32 @@ def compare_with_signatures(alerts: DataFrame, timeline: DataFrame, attack_cgrou
     hits = rp.scoped_alerts(attributed, attack_cgroup)
     card = rp.technique_scorecard(hits, rp.technique_recall(scored), list(techniques))
     return card, rp.scorecard_totals(card), rp.signature_attribution(attributed, attack_cgroup)
+
+
+def evaluate_saved(spark: SparkSession, model_path: str, split_path: str, isolation_path: str | None = None) -> dict[str, DataFrame]:
+    """Report tables of a stored detector on its stored test windows.
+
+    ``metrics`` and ``classes`` have one row, or one per class, for each model: ``forest`` and, with a
+    path, ``isolation``. ``overview`` says how the detector was made and what it reaches.
+    """
+    detector = Detector.load(spark, model_path)
+    test = read_split(spark, split_path, "test")
+    scored = score_forest(detector.model, test).select("label", "probability", "pred").withColumn("model", F.lit("forest"))
+    if isolation_path:
+        from pyspark.ml.functions import vector_to_array
+
+        found = IsolationForest.load(spark, isolation_path).score(test.withColumn("x", vector_to_array("features")))
+        scored = scored.unionByName(
+            found.select("label", F.col("score").alias("probability"), "pred").withColumn("model", F.lit("isolation")))
+    scored = materialize(scored, "saved-scores")
+    metrics = mt.evaluate(scored, ["model"])
+    auc = metrics.where("model = 'forest'").first()
+    facts = [
+        ("window", detector.window), ("stride", detector.stride), ("ngram", detector.ngram), ("features", detector.n_features),
+        ("cv_f1", detector.cv_f1), ("auc", auc["auc"] if auc else None), ("f1", auc["f1"] if auc else None),
+    ]
+    facts = [(name, None if value is None else float(value)) for name, value in facts]
+    return {
+        "metrics": metrics, "classes": mt.class_report(scored, ["model"]), "sizes": rp.dataset_overview(read_split(spark, split_path)),
+        "overview": spark.createDataFrame(facts, "name string, value double"),
+    }

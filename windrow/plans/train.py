@@ -27,12 +27,24 @@ def train(
     ngram: int = 1, tfidf: bool = False, balance_ratio: float | None = None, min_attack: int = 1,
     min_attack_frac: float = 0.0, session_key: str | None = "session_id", tune_grid: dict | bool = False, folds: int = 5,
     trees: int = 200, with_isolation: bool = False, split_path: str | None = None, seed: int = 42,
+    window_sizes: list[int] | None = None,
 ):
     """Fit a detector; returns it, the windows with their split, and the isolation forest or None.
 
     Order of steps: balance, then split 80/20, then fit the
-    weights on the training part only.
+    weights on the training part only. With ``window_sizes`` window and stride are searched first,
+    and the detector keeps the search's table.
     """
+    tuning = None
+    if window_sizes:
+        results = materialize(
+            tune_windows(events, vocab, window_sizes, per_pid=per_pid, ngram=ngram, folds=folds, min_attack=min_attack,
+                         min_attack_frac=min_attack_frac, session_key=session_key, seed=seed), "tuning")
+        # At most three settings for each size asked for.
+        tuning = [r.asDict() for r in results.orderBy("ordinal").collect()]
+        if tuning:
+            best = best_window(results).first()
+            window, stride = best["window_size"], best["stride"]
     keys = window_keys(per_pid, session_key)
     key = [*keys, "window_id"]
     numbered = number_events(events, vocab, keys=keys, carry=["label"])
@@ -55,7 +67,7 @@ def train(
     params, f1, _ = max(results, key=lambda r: r[1])
     detector = Detector(
         model=model, tokens=list(vocab.tokens), critical=sorted(vocab.critical), window=window, stride=stride,
-        per_pid=per_pid, ngram=ngram, idf=idf, cv_f1=round(f1, 4), params=params,
+        per_pid=per_pid, ngram=ngram, idf=idf, cv_f1=round(f1, 4), params=params, tuning=tuning,
     )
     isolation = None
     if with_isolation:

@@ -52,3 +52,17 @@ def running_counters(stream: DataFrame, keys: list[str] = ("session_id",)) -> Da
 def running_names(stream: DataFrame, keys: list[str] = ("session_id",)) -> DataFrame:
     """Events per call name (update mode)."""
     return stream.groupBy(*keys, "syscall_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def running_groups(stream: DataFrame, keys: list[str] = ("session_id",)) -> DataFrame:
+    """Events per process and user, from which ``exact_counters`` are counted (complete mode).
+
+    State is one row per process and user of a session.
+    """
+    return stream.groupBy(*keys, "pid", "uid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_counters(groups: DataFrame, keys: list[str] = ("session_id",)) -> DataFrame:
+    """Events and exact numbers of processes and users, from one batch of ``running_groups``."""
+    return groups.groupBy(*keys).agg(
+        F.sum("n").alias("n_events"), F.count_distinct("pid").alias("unique_pids"), F.count_distinct("uid").alias("unique_uids"))
