@@ -7,7 +7,7 @@ from windrow.operators import cooldown, ordered, sampling
 from windrow.operators.metrics import ranking_quality
 from windrow.sources import events as src
 from windrow.sources import feeds
-from windrow.storage import input_bytes, repeats_work
+from windrow.storage import input_bytes, repeats_work, scratch, shared_dir
 from windrow.streaming.scoring import AlertWriter
 
 
@@ -118,3 +118,26 @@ def test_fractional_feed_times_and_unreadable_bounds(spark):
     bad = spark.createDataFrame([("t\t1\tnever", 0)], "value string, ordinal long")
     with pytest.raises(Exception, match="unreadable bound"):
         feeds.parse_timeline(bad).collect()
+
+
+def test_a_scope_leaves_no_tables(spark):
+    import os
+
+    before = set(os.listdir(shared_dir(spark)))
+    df = spark.createDataFrame([(1, 10 * i, 0, i) for i in range(50)], "session_id int, timestamp_ns long, tid long, event_id long")
+    with scratch(spark):
+        assert cooldown.fired_alerts(df, 25, keys=["session_id"], chunks=5).count() == 17
+        assert set(os.listdir(shared_dir(spark))) > before
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
+def test_old_stream_state_is_deleted(spark, folder):
+    import os
+
+    from windrow.streaming.scoring import Versions
+
+    state = Versions(f"{folder}/state")
+    for i in range(4):
+        state.save(spark.range(i), i)
+    assert sorted(os.listdir(f"{folder}/state")) == ["2", "3"]
+    assert state.before(spark.range(1), 4, "id long").count() == 3

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,14 +62,40 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPES: list[list[str]] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end.
+
+    Write or collect results inside: a DataFrame that is only returned may still read them.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used when several plans start from one expensive intermediate result; the
-    written table outlives lost executors, unlike cached blocks.
+    written table outlives lost executors, unlike cached blocks. Inside a
+    ``scratch`` scope it is deleted when the scope ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

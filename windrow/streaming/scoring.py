@@ -30,6 +30,7 @@ from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
 from windrow.operators.ordered import ordered_scan
 from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
+from windrow.storage import delete_path
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
 
 UNKNOWN_TOKEN = -1
@@ -89,7 +90,8 @@ def token_bags(windows: DataFrame, vocab: Vocabulary, ngram: int) -> DataFrame:
 class Versions:
     """Small state kept between batches: one folder per batch, written once.
 
-    Batch ``n`` reads what ``n - 1`` wrote, so a repeated batch sees the same state.
+    Batch ``n`` reads what ``n - 1`` wrote, so a repeated batch sees the same state;
+    what is older is deleted.
     """
 
     def __init__(self, path: str):
@@ -103,6 +105,8 @@ class Versions:
 
     def save(self, state: DataFrame, batch_id: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        if batch_id >= 2:
+            delete_path(state.sparkSession, f"{self.path}/{batch_id - 2}")
 
 
 class StreamWindows:
