@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.storage import shared_dir
+from windrow.storage import delete_path, shared_dir
 from windrow.storage import ship_package as ship  # noqa: F401
 
 
@@ -34,9 +34,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_written_at", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete_path(df.sparkSession, path)
 
 
 def key_columns(text) -> list:

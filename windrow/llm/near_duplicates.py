@@ -321,5 +321,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, weighted: bool = False
     per = found.groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid"))["rid"].alias("best"))
+    # A table of its own, so that the join is free to split a class with very many rows.
+    per = written(per, "classes")
     return found.join(per, "class").select(
         "doc_id", "class_id", "class_size", (F.col("rid") == F.col("best")).alias("kept"), "k1", "k2")
