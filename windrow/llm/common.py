@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.llm.tokens import release_encoders
 from windrow.storage import delete_path, shared_dir
 from windrow.storage import ship_package as ship  # noqa: F401
 
@@ -45,23 +46,27 @@ def key_columns(text) -> list:
     ]
 
 
-def with_computed(docs: DataFrame, inputs: list, fn, fields: str) -> DataFrame:
+def with_computed(docs: DataFrame, inputs: list, fn, fields: str, text: tuple[str, ...] = ("text",)) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) with the columns ``fn`` computes by batch.
 
-    ``fn`` gets the Arrow columns of ``inputs`` and returns Arrow arrays for ``fields``. The struct
-    keeps the table's own columns apart, whatever their names.
+    ``fn`` gets the text, which is read from its place in the struct, and the Arrow columns of
+    ``inputs``, and returns Arrow arrays for ``fields``. The struct keeps the table's own columns
+    apart, whatever their names.
     """
     ship(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     packed = docs.select(row, *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
     schema = f"row {packed.schema['row'].dataType.simpleString()}, {fields}"
     names = ["row", *[f.strip().split(" ")[0] for f in fields.split(",")]]
-
     count = len(inputs)
 
     def run(batches):
+        release_encoders()
         for batch in batches:
-            made = fn(*[batch.column(i + 1) for i in range(count)])
+            found = batch.column(0)
+            for name in text:
+                found = found.field(name)
+            made = fn(found, *[batch.column(i + 1) for i in range(count)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
     return packed.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, with_computed
-from windrow.llm.tokens import LOWER, slices, text_bytes, text_column
+from windrow.llm.tokens import LOWER, release_encoders, slices, text_bytes, text_column
 
 GRAMS = 1 << 16
 MAX_LANGUAGES = 256
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, usable) -> Model:
     ship(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1)
@@ -175,7 +176,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def infer(text):
-        missing = np.asarray(text.is_null())
         texts = text_column(text)
         pred, score, names, shares = [], [], [], []
         for part in slices(texts, 1_000_000):
@@ -193,7 +193,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(min(1.0, float(share[i, chosen[0]])))
                 names.append([model.languages[j] for j in chosen])
                 shares.append([float(share[i, j]) for j in chosen])
-        assert len(pred) == len(missing)
         return [
             pa.array(pred, pa.string()), pa.array(score, pa.float64()),
             pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
@@ -204,7 +203,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
             F.array().cast("array<string>").alias("languages"), F.array().cast("array<double>").alias("shares"))
     return with_computed(
-        docs, [F.col("text").cast("string")], infer,
+        docs, [], infer,
         "lang_pred string, score double, languages array<string>, shares array<double>")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from windrow.llm.common import discard, key_columns, ship, written
 from windrow.llm.components import connected_components
 from windrow.llm.groups import runs_of, single_column
-from windrow.llm.tokens import GOLDEN, draw_key, scramble, slices, text_column, word_hashes
+from windrow.llm.tokens import GOLDEN, draw_key, release_encoders, scramble, slices, text_column, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -92,11 +92,12 @@ def sign(docs: DataFrame, weighted: bool) -> DataFrame:
     text = F.col("text").cast("string")
 
     def run(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         part, seen = TaskContext.get().partitionId(), 0
         factors = scramble(np.arange(1, ROWS + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
         for batch in batches:
             bands, sigs = [], []
-            for piece in slices(text_column(batch.column(1)), 2_000_000):
+            for piece in slices(text_column(batch.column(1)), 1_000_000):
                 hashes, offsets = shingles(piece)
                 winner = signatures(hashes, offsets, weighted)
                 mixed = scramble(winner)
@@ -127,7 +128,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             sets = []
-            for piece in slices(text_column(batch.column(1)), 2_000_000):
+            for piece in slices(text_column(batch.column(1)), 1_000_000):
                 hashes, offsets = shingles(piece)
                 sets += [np.unique(hashes[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["v", "shingles"])

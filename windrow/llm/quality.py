@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, with_computed, written
-from windrow.llm.tokens import GOLDEN, WORD_OR_MARKS, draw_key, scramble, slices, text_column, word_hashes
+from windrow.llm.tokens import GOLDEN, WORD_OR_MARKS, draw_key, release_encoders, scramble, slices, text_column, word_hashes
 from windrow.llm.topk import at_least, k_th
 
 FEATURES = 1 << 16
@@ -47,7 +47,7 @@ class Model:
         """Log weight of each text, by models that do not count the text itself."""
         out = []
         at = 0
-        for part in slices(texts, 2_000_000):
+        for part in slices(texts, 1_000_000):
             n = len(part)
             mine = good[at:at + n]
             at += n
@@ -76,12 +76,13 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
     ship(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         total = np.zeros((2, FEATURES), np.int64)
         for batch in batches:
             texts = text_column(batch.column(0))
             good = np.asarray(batch.column(1).fill_null(False))
             at = 0
-            for part in slices(texts, 2_000_000):
+            for part in slices(texts, 1_000_000):
                 codes = features(part)
                 mine = good[at:at + len(part)][codes // FEATURES]
                 at += len(part)
@@ -106,26 +107,49 @@ def _ordered_bits(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def weighted(docs: DataFrame, sample: DataFrame, model: Model, seed: int) -> DataFrame:
-    """``row`` with log_weight, its Gumbel key, key_bits and tie (longs in the key's order)."""
+COMPUTED = "log_weight double, key double, key_bits long, tie long"
+
+
+def _scorer(model: Model, seed: int):
+    """Arrow arrays of ``COMPUTED`` for texts, whether they are labelled good, and ties."""
 
     def score(text, good, tie):
-        good = np.asarray(good.fill_null(False)).astype(np.float64)
         ties = np.asarray(tie, np.int64)
-        weight = model.log_weights(text_column(text), good)
+        weight = model.log_weights(text_column(text), np.asarray(good.fill_null(False)).astype(np.float64))
         uniform = (scramble(ties.view(np.uint64) + draw_key(seed)) >> np.uint64(11)).astype(np.float64)
-        gumbel = -np.log(-np.log((uniform + 0.5) / 2.0 ** 53))
-        key = weight + gumbel
+        key = weight - np.log(-np.log((uniform + 0.5) / 2.0 ** 53))
         return [pa.array(weight), pa.array(key), pa.array(_ordered_bits(key)), tie]
 
-    text = F.col("row.text").cast("string")
+    return score
+
+
+def _tie(doc_id, text):
+    return F.xxhash64(doc_id, text.cast("string"))
+
+
+def weights(docs: DataFrame, sample: DataFrame, model: Model, seed: int) -> DataFrame:
+    """doc_id, good, log_weight, its Gumbel key, key_bits and tie (longs in the key's order)."""
+    ship(docs.sparkSession)
+    score = _scorer(model, seed)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            made = score(batch.column(3), batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *made], names=["doc_id", "good", "log_weight", "key", "key_bits", "tie"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
+        F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left")
+    rows = rows.select("doc_id", "good", _tie(F.col("doc_id"), F.col("text")).alias("tie"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, good boolean, {COMPUTED}")
+
+
+def weighted_rows(docs: DataFrame, sample: DataFrame, model: Model, seed: int) -> DataFrame:
+    """``row.row`` (the document's columns) with ``COMPUTED``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(
-        F.broadcast(sample), F.col("row.doc_id") == F.col("labelled_id"), "left")
-    tie = F.xxhash64(F.col("row.doc_id"), text)
-    return with_computed(
-        packed.select("row", "good", "labelled_id"), [text, F.col("good"), tie], score,
-        "log_weight double, key double, key_bits long, tie long",
-    ).withColumn("row", F.struct(F.col("row.row").alias("row"), F.col("row.good").alias("good")))
+        F.broadcast(sample), F.col("row.doc_id") == F.col("labelled_id"), "left").select("row", "good")
+    tie = _tie(F.col("row.doc_id"), F.col("row.text"))
+    return with_computed(packed, [F.col("good"), tie], _scorer(model, seed), COMPUTED, text=("row", "text"))
 
 
 def best_cut(scores: list[tuple[float, bool]]) -> float:
@@ -169,10 +193,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     if not model.target.any():
         model.target = model.raw.copy()
         model.raw = model.raw + 0.0
-    narrow = docs.select("doc_id", "text")
-    scored = weighted(narrow, sample, model, seed).select(
-        F.col("row.row.doc_id").alias("doc_id"), F.col("row.good").alias("good"), "log_weight", "key", "key_bits", "tie")
-    scored = written(scored, "weights")
+    scored = written(weights(docs, sample, model, seed), "weights")
     if k is None:
         # At most LABELLED different ids.
         seen = scored.where("good IS NOT NULL").groupBy("doc_id").agg(
@@ -184,4 +205,4 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     keep = at_least(keys, bound) if k else F.lit(False)
     if not full_rows:
         return scored.select("doc_id", "log_weight", "key", keep.alias("kept"))
-    return weighted(docs, sample, model, seed).where(keep).select("row.row.*")
+    return weighted_rows(docs, sample, model, seed).where(keep).select("row.row.*")

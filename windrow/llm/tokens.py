@@ -32,6 +32,12 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def release_encoders() -> None:
+    """Give back the words kept by encoders; called where a worker turns to other work."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_column(column) -> pa.Array:
     """An Arrow column as one array of strings, NULL as empty text."""
     if isinstance(column, pa.ChunkedArray):
