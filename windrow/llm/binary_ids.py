@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from windrow.llm.common import discard, partition_offsets, ship, written
-from windrow.llm.tokens import draw_key, encoded_slices, encoder, scramble
+from windrow.llm.tokens import draw_key, encoded_slices, encoder, release_encoders, scramble
 
 BLOCK_TOKENS = 500_000
 # Ranges of doc ids by the quantiles of all ids; a partition of the shuffle holds a few whole ranges.
@@ -51,14 +51,13 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     four = (length - 1).reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     length = length[:n]
-    at = np.cumsum(length, dtype=np.int64) - length
-    data = np.zeros(int(at[-1]) + int(length[-1]) if n else 0, np.uint8)
-    data[at] = values & 0xFF
-    for byte in (1, 2, 3):
-        longer = np.flatnonzero(length > byte)
-        if len(longer):
-            data[at[longer] + byte] = values[longer] >> np.uint32(8 * byte) & np.uint32(0xFF)
-    return control.tobytes(), data.tobytes()
+    ends = np.cumsum(length, dtype=np.int64)
+    at, total = ends - length, int(ends[-1]) if n else 0
+    data = np.zeros(total + 4, np.uint8)
+    # High bytes first: where a value is shorter, the next value's own bytes follow and replace them.
+    for byte in range(int(length.max(initial=1)) - 1, -1, -1):
+        data[at + byte if byte else at] = (values >> np.uint32(8 * byte)).astype(np.uint8)
+    return control.tobytes(), data[:total].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -68,11 +67,9 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     length = LENGTHS[codes].ravel()[:n]
     # The padding of the last group reads behind the data.
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(16, np.uint8)])
-    out = raw[at].astype(np.uint32)
-    for byte in (1, 2, 3):
-        longer = np.flatnonzero(length > byte)
-        if len(longer):
-            out[longer] |= raw[at[longer] + byte].astype(np.uint32) << np.uint32(8 * byte)
+    out = raw.take(at).astype(np.uint32)
+    for byte in range(1, int(length.max(initial=1))):
+        out |= (raw.take(at + byte) * (length > byte)).astype(np.uint32) << np.uint32(8 * byte)
     return out
 
 
@@ -125,6 +122,7 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             seen += n
 
     def gather(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         now, block, doc_ids, ids, size = None, 0, [], [], 0
 
         def close():
@@ -161,6 +159,7 @@ def id_counts(blocks: DataFrame) -> DataFrame:
     """How often each id occurs in the whole corpus; tasks count before anything is shuffled."""
 
     def count(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for width, raw in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, written
-from windrow.llm.tokens import encoded_slices, encoder, ragged
+from windrow.llm.tokens import encoded_slices, encoder, ragged, release_encoders
 
 SIDE = 2
 HIDDEN = 16
@@ -170,6 +170,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in the corpus; one number per id of the vocabulary reaches the driver."""
 
     def count(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         total = np.zeros(1 << 16, np.int64)
         for _, ids, _ in _texts(batches):
             found = np.bincount(ids, minlength=len(total))
