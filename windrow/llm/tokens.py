@@ -8,6 +8,7 @@ of the whole text. Texts with unusual white space take a slower cut, or go to th
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -32,10 +33,20 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers live on between tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def release_encoders() -> None:
     """Give back the words kept by encoders; called where a worker turns to other work."""
     _ENCODERS.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_column(column) -> pa.Array:
@@ -187,6 +198,7 @@ class Encoder:
             if len(self.index) > CACHED_WORDS:
                 self._forget_rare()
             flat, per_text = self._encode_slice(part)
+            give_back()
             ids.append(flat)
             counts.append(per_text)
         offsets = np.zeros(len(texts) + 1, np.int64)
