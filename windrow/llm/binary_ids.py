@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from windrow.llm.common import discard, partition_offsets, ship, written
-from windrow.llm.tokens import draw_key, encoded_slices, encoder, release_encoders, scramble
+from windrow.llm.tokens import draw_key, encoded_slices, encoder, give_back, release_encoders, scramble
 
 BLOCK_TOKENS = 500_000
 # Ranges of doc ids by the quantiles of all ids; a partition of the shuffle holds a few whole ranges.
@@ -145,6 +145,7 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 doc_ids.append(doc_id)
                 ids.append((width, row))
                 size += len(row) // width
+            give_back()
         if ids:
             yield close()
 
@@ -206,6 +207,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(i) for i in range(5)], *[pa.array([x[k] for x in pair], pa.binary()) for pair in (counts, ids) for k in (0, 1)],
             ], names=[c.split()[0] for c in BLOCK.split(", ")])
+            give_back()
 
     blocks.mapInArrow(code, BLOCK).write.parquet(f"{path}/blocks", compression="zstd")
     discard(blocks)
@@ -225,8 +227,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["range", "block"])
 
     def run(batches: Iterable[pa.RecordBatch]):
+        release_encoders()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 counts = decode_values(row["count_control"], row["count_data"], row["docs"]).astype(np.int64)
                 ids = id_of[decode_values(row["control"], row["data"], row["tokens"])]
                 ends = np.cumsum(counts)
@@ -236,6 +239,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - counts), pa.array(counts),
                     pa.array(spans, pa.binary()),
                 ], names=["doc_id", "start", "n_tokens", "ids"])
+            give_back()
 
     return blocks.select("docs", "tokens", "doc_ids", "count_control", "count_data", "control", "data", "start").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary")

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 500_000
-SLICE_BYTES = 8_000_000
+CACHED_WORDS = 900_000
+SLICE_BYTES = 16_000_000
 CUT = re.compile(r"\s*\S+|\s+")
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD_WORD = f"^$|^[{SPACES}]|[{SPACES}]$|[\\x1c-\\x1f]"
