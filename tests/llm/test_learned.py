@@ -1,5 +1,6 @@
 """Language, quality and pseudo-likelihood: plain versions, held-out accuracy, odd rows."""
 
+import itertools
 import math
 import random
 import re
@@ -71,6 +72,57 @@ def test_two_languages_equal_a_plain_loop():
         assert shares[d, best] == pytest.approx(want, abs=1e-4)
 
 
+def words_of(rnd, syllables, n):
+    return " ".join("".join(rnd.choice(syllables) for _ in range(3)) for _ in range(n))
+
+
+def learned(samples):
+    """A model of the languages with these sample texts."""
+    table = np.stack([np.bincount(language.word_grams(text_column(pa.array([t])))[0], minlength=language.GRAMS) for t in samples.values()], axis=1) + 0.5
+    return language.Model(list(samples), np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def test_a_language_like_the_main_one_does_not_hide_a_third():
+    rnd = random.Random(3)
+    main, third = ["ka", "lo", "mi", "tu", "re", "so"], ["ka", "lo", "mi", "zu", "pe", "xo"]
+    model = learned({"a": words_of(rnd, main, 4000), "b": words_of(rnd, main * 9 + ["zu"], 4000), "c": words_of(rnd, third, 4000)})
+    texts = [words_of(rnd, main, 85) + " " + words_of(rnd, third, 15) for _ in range(20)]
+    shares, _ = model.infer(text_column(pa.array(texts)))
+    assert all(x[2] == pytest.approx(0.15, abs=0.07) and (x > 0).sum() == 2 for x in shares)
+
+
+def plain_sets(model, text):
+    """The best penalised likelihood of any set of languages, and of the shares that infer gives."""
+    grams, first, _ = language.word_grams(text_column(pa.array([text])))
+    like = np.exp(np.add.reduceat(model.log_probability[grams], first, axis=0).astype(float))
+    cost = language.PENALTY * math.log(len(like) + 1)
+
+    def value(share):
+        return np.log(like @ share).sum() - (np.count_nonzero(share) - 1) * cost
+
+    best = -np.inf
+    for size in range(1, like.shape[1] + 1):
+        for chosen in itertools.combinations(range(like.shape[1]), size):
+            share = np.zeros(like.shape[1])
+            share[list(chosen)] = 1 / size
+            for _ in range(language.ROUNDS):
+                part = like * share
+                share = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+            best = max(best, value(share))
+    return best, value(model.infer(text_column(pa.array([text])))[0][0])
+
+
+def test_chosen_sets_are_the_best_of_all_sets():
+    rnd = random.Random(9)
+    pool = ["ka", "lo", "mi", "tu", "re", "so", "zu", "pe", "xo"]
+    parts = {x: rnd.sample(pool, 4) for x in "abcd"}
+    model = learned({x: words_of(rnd, y, 3000) for x, y in parts.items()})
+    for _ in range(60):
+        text = " ".join(words_of(rnd, parts[x], rnd.randint(1, 60)) for x in rnd.sample("abcd", rnd.randint(1, 3)))
+        best, got = plain_sets(model, text)
+        assert got == pytest.approx(best, abs=0.05)
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     model = language.fit(docs, learnable("doc_id"))

@@ -3,7 +3,7 @@
 Every word of a text is taken to come from one of the text's languages; a language gives a word the
 product of its letter triples' probabilities. Expectation-maximisation estimates the shares of the
 languages in the text. The set of languages is chosen by likelihood less a penalty for each language
-beyond the first, among the nested sets of the likeliest ones.
+beyond the first, among sets that grow by EM over all languages and by each language's own gain.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, with_computed
-from windrow.llm.tokens import LOWER, release_encoders, slices, text_bytes, text_column
+from windrow.llm.tokens import LOWER, ragged, release_encoders, slices, text_bytes, text_column
 
 GRAMS = 1 << 16
 MAX_LANGUAGES = 256
@@ -56,77 +56,139 @@ class Model:
     languages: list[str]
     log_probability: np.ndarray  # gram, language
 
-    def _mixture(self, like, of, n, allowed):
-        """Shares of the allowed languages and log likelihood of each text."""
-        share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-        words = np.bincount(of, minlength=n)
+    @staticmethod
+    def _mixture(like, first, of, cols):
+        """Shares of the languages ``cols`` of each text and its log likelihood under them."""
+        like = np.take_along_axis(like, cols[of], axis=1)
+        words = np.diff(np.append(first, len(of)))[:, None]
+        share = np.full(cols.shape, 1 / cols.shape[1])
         for _ in range(ROUNDS):
             part = like * share[of]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            share = np.stack([np.bincount(of, part[:, i], n) for i in range(part.shape[1])], axis=1)
-            share /= np.maximum(words, 1)[:, None]
-        fit = np.log(np.maximum((like * share[of]).sum(axis=1), 1e-300))
-        return share, np.bincount(of, fit, n)
+            part /= part.sum(axis=1, keepdims=True)
+            share = np.add.reduceat(part, first, axis=0) / words
+        return share, np.add.reduceat(np.log((like * share[of]).sum(axis=1)), first)
+
+    @staticmethod
+    def _everything(like, first, of, best, needed):
+        """Shares by EM over all languages, and a bound on the log likelihood of any mixture.
+
+        The likelihood is concave in the shares, so at any of them no mixture is better by more than
+        words * log(max g), g being the factors by which EM is about to change the shares. A text
+        whose bound falls to ``needed`` takes no further rounds.
+        """
+        n, width = len(first), like.shape[1]
+        ends = np.append(first[1:], len(of))
+        words = ends - first
+        share = np.full((n, width), 0.1 / max(width - 1, 1))
+        share[np.arange(n), best] = 0.9
+        bound = np.full(n, np.inf)
+        rows, now, start, at = np.arange(n), like, first, of
+        for _ in range(ROUNDS):
+            mix = (now * share[rows][at]).sum(axis=1)
+            factor = np.add.reduceat(now / mix[:, None], start, axis=0) / words[rows, None]
+            reach = np.add.reduceat(np.log(mix), start) + words[rows] * np.log(factor.max(axis=1))
+            bound[rows] = np.minimum(bound[rows], reach)
+            share[rows] *= factor
+            left = bound[rows] > needed[rows]
+            if not left.all():
+                now, rows = now[left[at]], rows[left]
+                at = np.repeat(np.arange(len(rows)), words[rows])
+                start = np.cumsum(words[rows]) - words[rows]
+            if not len(rows):
+                break
+        return share, bound
 
     @staticmethod
-    def _two(ratio, of, words):
-        """Share of the first of two languages, and the log likelihood over that of it alone; ``ratio``
-        is each word's likelihood under the second over that under the first."""
-        n = len(words)
-        share = np.full(n, 0.5)
+    def _own_gains(like, first, of, mix):
+        """What each language would add to the log likelihood next to the mixture ``mix``."""
+        ratio = like / mix[:, None]
+        words = np.diff(np.append(first, len(of)))[:, None]
+        share = np.full((len(first), like.shape[1]), 0.5)
         for _ in range(ROUNDS):
-            mine = share[of]
-            share = np.bincount(of, mine / (mine + (1 - mine) * ratio), n) / np.maximum(words, 1)
-        mine = share[of]
-        return share, np.bincount(of, np.log(np.maximum(mine + (1 - mine) * ratio, 1e-300)), n)
+            part = share[of] * ratio
+            share = np.add.reduceat(part / (part + 1 - share[of]), first, axis=0) / words
+        return np.add.reduceat(np.log(share[of] * ratio + 1 - share[of]), first, axis=0)
 
     def infer(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Shares of the chosen languages of each text (0 for the others), and the number of words.
 
-        The set grows from the best single language: by the language with the largest part of the
-        words' posteriors, then, where that paid, by one more of them at a time.
+        The best single language stands where no mixture can pay for a second one. Elsewhere sets
+        grow in two ways, in the order of EM over all languages and by the language with the largest
+        own gain next to the set so far, both until no larger set can be better; the best set seen
+        then loses the languages that do not pay.
         """
         n, width = len(texts), len(self.languages)
-        grams, first, of = word_grams(texts)
+        grams, begin, of = word_grams(texts)
         shares = np.zeros((n, width))
-        if not len(first):
+        if not len(begin):
             return shares, np.zeros(n, np.int64)
-        log_like = np.add.reduceat(self.log_probability[grams], first, axis=0)
+        log_like = np.add.reduceat(self.log_probability[grams], begin, axis=0)
         words = np.bincount(of, minlength=n)
         alone = np.stack([np.bincount(of, log_like[:, i], n) for i in range(width)], axis=1)
         best = alone.argmax(axis=1)
         shares[np.arange(n), best] = 1.0
-        if width == 1:
-            return shares, words
-        like = np.exp(np.maximum(log_like - log_like.max(axis=1, keepdims=True), np.float32(-60)))
-        part = like / like.sum(axis=1, keepdims=True)
-        rank = np.stack([np.bincount(of, part[:, i], n) for i in range(width)], axis=1)
-        rank[np.arange(n), best] = np.inf
-        order = np.argsort(-rank, axis=1, kind="stable")
-        word = np.arange(len(of))
-        step = log_like[word, order[of, 1]] - log_like[word, best[of]]
-        share, gain = self._two(np.exp(np.clip(step, -60, 60).astype(np.float64)), of, words)
         cost = PENALTY * np.log(words + 1)
-        wider = gain > cost
-        rows = np.flatnonzero(wider)
-        shares[rows, best[rows]], shares[rows, order[rows, 1]] = share[rows], 1 - share[rows]
-        value = alone[np.arange(n), best] + np.where(wider, gain - cost, 0)
-        floor = np.bincount(of, log_like.max(axis=1), n)
-        for size in range(3, min(MAX_SET, width) + 1):
-            if not len(rows):
+        top = log_like.max(axis=1)
+        floor = np.bincount(of, top, n)
+        value = alone[np.arange(n), best] - floor
+        rows = np.flatnonzero((words > 0) & (value + cost < 0))
+        if width == 1 or not len(rows):
+            return shares, words
+        keep = np.zeros(n, bool)
+        keep[rows] = True
+        keep = keep[of]
+        like = np.exp(np.maximum(log_like[keep] - top[keep, None], np.float32(-60))).astype(np.float64)
+
+        def part_of(chosen):
+            """Words of the texts ``chosen`` (places in ``rows``) with the first word and the text of each."""
+            count = words[rows[chosen]]
+            start = np.cumsum(count) - count
+            return like[ragged(first[chosen], count)], start, np.repeat(np.arange(len(chosen)), count)
+
+        def try_sets(chosen, cols, found=None):
+            """Take the sets ``cols`` where they are better than the best so far."""
+            part, fit = found or self._mixture(*part_of(chosen), cols)
+            at = rows[chosen]
+            fit = fit - (cols.shape[1] - 1) * cost[at]
+            better = fit > value[at]
+            at = at[better]
+            shares[at], value[at] = 0.0, fit[better]
+            shares[at[:, None], cols[better]] = part[better]
+            return better
+
+        first = np.cumsum(words[rows]) - words[rows]
+        every = np.arange(len(rows))
+        everything, bound = self._everything(*part_of(every), best[rows], (value + cost)[rows])
+        bound = np.minimum(bound, 0)
+        order = np.argsort(-everything, axis=1, kind="stable")
+        for size in range(2, min(MAX_SET, width) + 1):
+            live = np.flatnonzero(bound - (size - 1) * cost[rows] > value[rows])
+            if not len(live):
+                break
+            try_sets(live, order[live, :size])
+        grown, weight = best[rows][:, None], np.ones((len(rows), 1))
+        for size in range(2, min(MAX_SET, width) + 1):
+            live = np.flatnonzero(bound - (size - 1) * cost[rows] > value[rows])
+            if not len(live):
                 break
-            sub = np.flatnonzero(wider[of])
-            place = np.zeros(n, np.int64)
-            place[rows] = np.arange(len(rows))
-            allowed = np.zeros((len(rows), width))
-            np.put_along_axis(allowed, order[rows, :size], 1.0, axis=1)
-            part, fit = self._mixture(like[sub].astype(np.float64), place[of[sub]], len(rows), allowed)
-            fit = fit + floor[rows] - (size - 1) * cost[rows]
-            better = fit > value[rows]
-            rows, part, fit = rows[better], part[better], fit[better]
-            shares[rows], value[rows] = part, fit
-            wider = np.zeros(n, bool)
-            wider[rows] = True
+            mine, start, at = part_of(live)
+            mix = (np.take_along_axis(mine, grown[live][at], axis=1) * weight[live][at]).sum(axis=1)
+            gain = self._own_gains(mine, start, at, mix)
+            np.put_along_axis(gain, grown[live], -np.inf, axis=1)
+            cols = np.concatenate([grown[live], gain.argmax(axis=1)[:, None]], axis=1)
+            found = self._mixture(mine, start, at, cols)
+            try_sets(live, cols, found)
+            # A text that is no longer live never is again: its value only rises, the bound only falls.
+            grown, weight = (np.concatenate([x, np.zeros((len(rows), 1), x.dtype)], axis=1) for x in (grown, weight))
+            grown[live], weight[live] = cols, found[0]
+        sizes = (shares[rows] > 0).sum(axis=1)
+        for size in range(sizes.max(), 2, -1):
+            live = np.flatnonzero((shares[rows] > 0).sum(axis=1) == size)
+            if not len(live):
+                continue
+            cols = np.flatnonzero(shares[rows[live]] > 0).reshape(len(live), size) % width
+            for out in range(size):
+                try_sets(live, np.delete(cols, out, axis=1))
         return shares, words
 
 
