@@ -123,6 +123,28 @@ def test_chosen_sets_are_the_best_of_all_sets():
         assert got == pytest.approx(best, abs=0.05)
 
 
+def test_five_languages_in_one_text():
+    rnd = random.Random(5)
+    parts = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(5)] for x in "abcdef"}
+    model = learned({x: words_of(rnd, y, 3000) for x, y in parts.items()})
+    shares, _ = model.infer(text_column(pa.array([" ".join(words_of(rnd, parts[x], n) for x, n in zip("abcde", (60, 50, 40, 30, 20)))])))
+    assert shares[0] == pytest.approx([0.3, 0.25, 0.2, 0.15, 0.1, 0], abs=0.03)
+
+
+def test_more_languages_than_a_block(spark):
+    rnd = random.Random(2)
+    count = language.BLOCK + 44
+    own = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(4)] for _ in range(count)]
+    rows = [(1, words_of(rnd, own[i], 40), f"l{i:03}") for i in range(count)]
+    rows.append((1, " ".join(words_of(rnd, own[i], 40) for i in (3, 299, 150, 77)), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(docs, F.lit(True))
+    assert model.languages == [f"l{i:03}" for i in range(count)]
+    got = language.identify(docs, model).select("row.lang", "lang_pred", "languages").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"])
+    assert [sorted(r["languages"]) for r in got if not r["lang"]] == [["l003", "l077", "l150", "l299"]]
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     model = language.fit(docs, learnable("doc_id"))

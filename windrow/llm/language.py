@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import ship, with_computed
+from windrow.llm.common import discard, ship, with_computed, written
 from windrow.llm.tokens import LOWER, ragged, release_encoders, slices, text_bytes, text_column
 
 GRAMS = 1 << 16
-MAX_LANGUAGES = 256
-MAX_SET = 3
+BLOCK = 256
+CELLS = 4_000_000
 ROUNDS = 12
 PENALTY = 3.0
 UNKNOWN = "und"
@@ -122,7 +122,9 @@ class Model:
         shares = np.zeros((n, width))
         if not len(begin):
             return shares, np.zeros(n, np.int64)
-        log_like = np.add.reduceat(self.log_probability[grams], begin, axis=0)
+        log_like = np.empty((len(begin), width), np.float32)
+        for at in range(0, width, 16):
+            log_like[:, at:at + 16] = np.add.reduceat(self.log_probability[:, at:at + 16][grams], begin, axis=0)
         words = np.bincount(of, minlength=n)
         alone = np.stack([np.bincount(of, log_like[:, i], n) for i in range(width)], axis=1)
         best = alone.argmax(axis=1)
@@ -161,13 +163,13 @@ class Model:
         everything, bound = self._everything(*part_of(every), best[rows], (value + cost)[rows])
         bound = np.minimum(bound, 0)
         order = np.argsort(-everything, axis=1, kind="stable")
-        for size in range(2, min(MAX_SET, width) + 1):
+        for size in range(2, width + 1):
             live = np.flatnonzero(bound - (size - 1) * cost[rows] > value[rows])
             if not len(live):
                 break
             try_sets(live, order[live, :size])
         grown, weight = best[rows][:, None], np.ones((len(rows), 1))
-        for size in range(2, min(MAX_SET, width) + 1):
+        for size in range(2, width + 1):
             live = np.flatnonzero(bound - (size - 1) * cost[rows] > value[rows])
             if not len(live):
                 break
@@ -193,39 +195,53 @@ class Model:
 
 
 def fit(docs: DataFrame, usable) -> Model:
-    """Triple counts by language over all texts that ``usable`` allows; at most 256 languages.
+    """Triple counts by language over all texts that ``usable`` allows.
 
-    ``usable`` is a condition on ``docs``; rows with NULL text or lang are never learned from.
+    ``usable`` is a condition on ``docs``; rows with NULL text or lang are never learned from. The
+    model takes 256 KB a language, here and in each worker; counts are held for ``BLOCK`` languages
+    at a time.
     """
     ship(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]):
         release_encoders()
         counts: dict[str, np.ndarray] = {}
+
+        def flush():
+            for lang, total in counts.items():
+                g = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(total[g])], names=["lang", "g", "n"])
+            counts.clear()
+
         for batch in batches:
             langs = batch.column(1)
             for lang in langs.unique().to_pylist():
+                if lang not in counts and len(counts) == BLOCK:
+                    yield from flush()
                 rows = pc.equal(langs, lang)
                 total = counts.setdefault(lang, np.zeros(GRAMS, np.int64))
                 for part in slices(text_column(batch.column(0).filter(rows)), 2_000_000):
                     total += np.bincount(word_grams(part)[0], minlength=GRAMS)
-        for lang, total in counts.items():
-            g = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(total[g])], names=["lang", "g", "n"])
+        yield from flush()
 
     rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    names = [r["lang"] for r in rows.select(F.col("lang").cast("string").alias("lang")).distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = sorted(r["lang"] for r in rows.select(F.col("lang").cast("string").alias("lang")).distinct().collect())
     counted = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(
-        count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(names)
-    table = np.zeros((GRAMS, len(names)))
-    at = {name: i for i, name in enumerate(names)}
-    column = np.array([at[x] for x in counted.column("lang").to_pylist()], np.int64)
-    table[np.asarray(counted.column("g"), np.int64), column] = np.asarray(counted.column("n"))
-    table += 0.5
-    return Model(names, np.log(table / table.sum(axis=0)).astype(np.float32))
+        count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    if len(names) > BLOCK:
+        counted = written(counted, "grams")
+    log_probability = np.empty((GRAMS, len(names)), np.float32)
+    for start in range(0, len(names), BLOCK):
+        block = names[start:start + BLOCK]
+        found = (counted if len(names) <= BLOCK else counted.where(F.col("lang").between(block[0], block[-1]))).toArrow()
+        at = {name: i for i, name in enumerate(block)}
+        table = np.full((GRAMS, len(block)), 0.5)
+        column = np.array([at[x] for x in found.column("lang").to_pylist()], np.int64)
+        table[np.asarray(found.column("g"), np.int64), column] += np.asarray(found.column("n"))
+        log_probability[:, start:start + BLOCK] = np.log(table / table.sum(axis=0))
+    if len(names) > BLOCK:
+        discard(counted)
+    return Model(names, log_probability)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -240,9 +256,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def infer(text):
         texts = text_column(text)
         pred, score, names, shares = [], [], [], []
-        for part in slices(texts, 1_000_000):
+        for part in slices(texts, min(1_000_000, CELLS // len(model.languages))):
             share, words = model.infer(part)
-            order = np.argsort(-share, axis=1, kind="stable")[:, :MAX_SET]
+            order = np.argsort(-share, axis=1, kind="stable")
             for i, value in enumerate(part.to_pylist()):
                 if not words[i] or not LETTER.search(value):
                     pred.append(UNKNOWN)
@@ -250,7 +266,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     names.append([])
                     shares.append([])
                     continue
-                chosen = [j for j in order[i].tolist() if share[i, j] > 0.0005] or order[i, :1].tolist()
+                chosen = order[i, :np.count_nonzero(share[i])].tolist()
                 pred.append(model.languages[chosen[0]])
                 score.append(min(1.0, float(share[i, chosen[0]])))
                 names.append([model.languages[j] for j in chosen])
