@@ -13,8 +13,10 @@ from windrow.llm import decontamination, language, near_duplicates, packing, qua
 from windrow.llm.common import written
 from windrow.llm.queries import END_ID, learnable
 
-# A text of which no language holds this share is no text of a language.
+# A text of which no language holds this share is no text of a language, nor is one that the learned
+# languages explain worse than halfway to a flat model, by more than this in nats.
 LEAST_SHARE = 0.4
+LEAST_SUPPORT = -10.0
 
 
 def good_quality(spark, docs, sf_dir):
@@ -25,7 +27,7 @@ def good_quality(spark, docs, sf_dir):
 def known_language(spark, docs, sf_dir):
     """Documents in a language learned from the documents' own labels."""
     model = language.fit(docs, learnable("doc_id"))
-    return language.keep_identified(docs, model, LEAST_SHARE)
+    return language.keep_identified(docs, model, LEAST_SHARE, LEAST_SUPPORT)
 
 
 def one_of_each(spark, docs, sf_dir):

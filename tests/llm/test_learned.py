@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -145,6 +146,18 @@ def test_more_languages_than_a_block(spark):
     assert [sorted(r["languages"]) for r in got if not r["lang"]] == [["l003", "l077", "l150", "l299"]]
 
 
+def test_texts_of_languages_never_learned_go(documents, spark):
+    _, docs = documents
+    rnd = random.Random(7)
+    model = language.fit(docs, learnable("doc_id"))
+    other = ["".join(rnd.choice("bcdfghjqwxyz") for _ in range(3)) for _ in range(40)]
+    rows = [(i, prose(rnd, lang, n)) for i, (lang, n) in enumerate((x, n) for x in SYLLABLES for n in (1, 2, 5, 20, 200))]
+    rows += [(100, f"{prose(rnd, 'aa', 60)} {prose(rnd, 'cc', 60)}"), (101, "漢字漢語文章你好世界" * 9), (102, "это русский текст и он длинный " * 4), (103, words_of(rnd, other, 60))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in language.keep_identified(texts, model, 0.4, corpus_pipeline.LEAST_SUPPORT).collect()}
+    assert kept == {r[0] for r in rows} - {101, 102, 103}
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     model = language.fit(docs, learnable("doc_id"))

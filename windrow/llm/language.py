@@ -109,8 +109,19 @@ class Model:
             share = np.add.reduceat(part / (part + 1 - share[of]), first, axis=0) / words
         return np.add.reduceat(np.log(share[of] * ratio + 1 - share[of]), first, axis=0)
 
+    def halfway(self) -> np.ndarray:
+        """By language, the log-probability of a triple halfway between what the language's own
+        triples have on average, over all learned documents, and a flat model of all triples."""
+        own = np.array([float(np.exp(x, dtype=np.float64) @ x) for x in self.log_probability.T])
+        return (own - np.log(GRAMS)) / 2
+
     def infer(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the chosen languages of each text (0 for the others), and the number of words.
+        """Shares of the chosen languages of each text (0 for the others), and the number of words."""
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares and words as of ``infer``, and the support of each text: its log likelihood under
+        the mixture over that of triples at ``halfway``, below 0 for what no learned language explains.
 
         The best single language stands where no mixture can pay for a second one. Elsewhere sets
         grow in two ways, in the order of EM over all languages and by the language with the largest
@@ -121,7 +132,7 @@ class Model:
         grams, begin, of = word_grams(texts)
         shares = np.zeros((n, width))
         if not len(begin):
-            return shares, np.zeros(n, np.int64)
+            return shares, np.zeros(n, np.int64), np.zeros(n)
         log_like = np.empty((len(begin), width), np.float32)
         for at in range(0, width, 16):
             log_like[:, at:at + 16] = np.add.reduceat(self.log_probability[:, at:at + 16][grams], begin, axis=0)
@@ -133,9 +144,16 @@ class Model:
         top = log_like.max(axis=1)
         floor = np.bincount(of, top, n)
         value = alone[np.arange(n), best] - floor
+        triples = np.bincount(of, np.diff(np.append(begin, len(grams))), n)
+
+        def support():
+            fit = value + floor + np.maximum((shares > 0).sum(axis=1) - 1, 0) * cost
+            return fit - triples * (shares @ halfway)
+
+        halfway = self.halfway()
         rows = np.flatnonzero((words > 0) & (value + cost < 0))
         if width == 1 or not len(rows):
-            return shares, words
+            return shares, words, support()
         keep = np.zeros(n, bool)
         keep[rows] = True
         keep = keep[of]
@@ -191,7 +209,7 @@ class Model:
             cols = np.flatnonzero(shares[rows[live]] > 0).reshape(len(live), size) % width
             for out in range(size):
                 try_sets(live, np.delete(cols, out, axis=1))
-        return shares, words
+        return shares, words, support()
 
 
 def fit(docs: DataFrame, usable) -> Model:
@@ -245,19 +263,19 @@ def fit(docs: DataFrame, usable) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``row`` (the document's columns) with lang_pred, score, languages and shares.
+    """``row`` (the document's columns) with lang_pred, score, languages, shares and support.
 
     score is the share of lang_pred, the largest; languages and shares list the chosen set, largest
-    first. A text that is NULL or has no letter, and every text of a model without languages, is
-    ``und`` with score 0 and no languages. Equal shares go to the language first by name. A text
+    first; support is that of ``Model.measure``. A text that is NULL or has no letter, and every text of
+    a model without languages, is ``und`` with score and support 0 and no languages. Equal shares go to the language first by name. A text
     counts in full, however long. Only ``text`` is read.
     """
 
     def infer(text):
         texts = text_column(text)
-        pred, score, names, shares = [], [], [], []
+        pred, score, names, shares, support = [], [], [], [], []
         for part in slices(texts, min(1_000_000, CELLS // len(model.languages))):
-            share, words = model.infer(part)
+            share, words, fit = model.measure(part)
             order = np.argsort(-share, axis=1, kind="stable")
             for i, value in enumerate(part.to_pylist()):
                 if not words[i] or not LETTER.search(value):
@@ -265,26 +283,35 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     score.append(0.0)
                     names.append([])
                     shares.append([])
+                    support.append(0.0)
                     continue
                 chosen = order[i, :np.count_nonzero(share[i])].tolist()
                 pred.append(model.languages[chosen[0]])
                 score.append(min(1.0, float(share[i, chosen[0]])))
                 names.append([model.languages[j] for j in chosen])
                 shares.append([float(share[i, j]) for j in chosen])
+                support.append(float(fit[i]))
         return [
-            pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-            pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+            pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())),
+            pa.array(shares, pa.list_(pa.float64())), pa.array(support, pa.float64())]
 
     if not model.languages:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
         return docs.select(
             row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
-            F.array().cast("array<string>").alias("languages"), F.array().cast("array<double>").alias("shares"))
+            F.array().cast("array<string>").alias("languages"), F.array().cast("array<double>").alias("shares"), F.lit(0.0).alias("support"))
     return with_computed(
         docs, [], infer,
-        "lang_pred string, score double, languages array<string>, shares array<double>")
+        "lang_pred string, score double, languages array<string>, shares array<double>, support double")
+
 
+def keep_identified(docs: DataFrame, model: Model, least_share: float, least_support: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language that holds ``least_share`` of the text, with all their columns.
 
-def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
-    """The rows of ``docs`` with a language that holds ``least_share`` of the text, with all their columns."""
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share)).select("row.*")
+    With ``least_support``, also only those whose support is no lower: 0 asks the learned languages to
+    explain a text better than halfway to a flat model, a lower value is a margin for short texts.
+    """
+    found = identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
+    if least_support is not None:
+        found = found.where(F.col("support") >= least_support)
+    return found.select("row.*")
