@@ -276,6 +276,36 @@ def test_gradients_match_differences():
         assert g[name][at] == pytest.approx(want, abs=1e-4)
 
 
+def test_every_position_is_a_training_target():
+    rnd = np.random.default_rng(1)
+    counts = np.array([0, 1, 2, 6, 0] + [40] * 400)
+    ids = rnd.integers(0, 200, counts.sum())
+    part = pl.parts_of(ids, counts, pl.MASK)
+    rounds = part * pl.ROUNDS // pl.MASK
+    assert part.min() == 0 and part.max() == pl.MASK - 1 and set(rounds) == set(range(pl.ROUNDS))
+    by_place = rounds[9:].reshape(400, 40)
+    assert all((by_place == r).mean(axis=0).min() > 0.2 for r in range(pl.ROUNDS))
+    assert (part[9:49] == pl.parts_of(ids[9:49], counts[5:6], pl.MASK)).all()
+
+
+def test_training_counts_every_position(spark):
+    texts = [np.arange(n) % 7 for n in (1, 2, 3, 6, 40, 400)]
+    v, used = pl.vocabulary(np.bincount(np.concatenate(texts), minlength=200)), []
+    docs = spark.createDataFrame([(bytearray(t.astype("<u4").tobytes()),) for t in texts], "ids binary").coalesce(1)
+
+    class Seen:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            made = docs.mapInArrow(run, schema).persist()
+            used.append(made.agg(F.max("used")).first()[0])
+            return made
+
+    pl.train(Seen(), v)
+    assert sum(used) == sum(map(len, texts))
+
+
 def test_training_lowers_the_loss_and_odd_rows_have_scores(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(rnd.choice(["the cat sat", "on a mat", "and slept well"]) for _ in range(40))) for i in range(60)]

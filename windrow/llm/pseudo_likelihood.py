@@ -6,14 +6,15 @@ embeddings and a softmax over token classes; a token's share of its class's coun
 the probabilities of all tokens sum to 1. Frequent tokens are classes of their own, the others
 share classes of about equal count by frequency rank.
 
-Counts come from the whole corpus. Training masks a fixed share of the positions of every
-document in each round: a task runs mini-batches over its documents from the shared weights, and
+Counts come from the whole corpus. Training masks each position of every document in one of the
+rounds, which a hash of the text and the place picks: a task runs mini-batches over its documents from the shared weights, and
 the tasks' weights are averaged, each by the number of positions it trained on. So training data,
 like counts, grow with the corpus, and a lost task is simply run again.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -198,8 +199,21 @@ def _unflatten(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
+def parts_of(ids: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
+    """A part from 0 to ``parts`` - 1 for every position, by a hash of its text and its place."""
+    ends = np.cumsum(counts)
+    text = np.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - counts).tolist(), ends.tolist())], np.uint64)
+    mixed = (np.repeat(text, counts) << np.uint64(32)) + ragged(np.zeros(len(counts), np.int64), counts).astype(np.uint64)
+    for _ in range(2):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
 def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MASK, seed: int = 1) -> dict:
-    """Weights after ``rounds`` rounds; round r masks every ``mask``-th position of all documents."""
+    """Weights after ``rounds`` rounds, which mask every position of all documents once between them.
+
+    Positions fall into ``mask`` parts, and every round takes its share of the parts.
+    """
     shape = initial_weights(seed)
     weights = shape
 
@@ -216,8 +230,7 @@ def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MA
                 return len(cls)
 
             for _, ids, counts in _texts(batches):
-                place = ragged(np.zeros(len(counts), np.int64), counts)
-                masked = np.flatnonzero((place * 7 + r * (mask // 3 + 1)) % mask == 0)
+                masked = np.flatnonzero(parts_of(ids, counts, mask) * rounds // mask == r)
                 held.append((contexts(v.row[ids], counts)[:, masked], v.cls[ids[masked]]))
                 if sum(len(p[1]) for p in held) >= 64 * BATCH:
                     used += learn(held)
