@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from windrow.llm import binary_ids, decontamination, embedding_dedup, language, near_duplicates, packing, pseudo_likelihood, quality, sharding, token_counts
+from windrow.llm import (
+    binary_ids, collocations, decontamination, embedding_dedup, language, near_duplicates, packing, pseudo_likelihood, quality,
+    sharding, spelling, substring_dedup, token_counts,
+)
 from windrow.llm.common import write_path, written
 
 SHARDS = 8
@@ -171,6 +174,113 @@ def op10_importance_resampling(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark, sf_dir):
+    """The first 2,000 phrases of each language."""
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), least=10, top=2000, share=50)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM cut
+  UNION ALL SELECT lang, 2, array_to_string(w[i:i + 1], ' ') FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM cut)
+  UNION ALL SELECT lang, 3, array_to_string(w[i:i + 2], ' ') FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, size, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.*, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head AND h.size = k
+  JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail AND t.size = c.size - k),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase, size ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, inner_phrase AS phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(w[1:2], ' ') AS inner_phrase FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.phrase = lowest.phrase AND size = 2
+  WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Every word of six letters and five occurrences with its near words and the form it varies."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, noise=199, factor=5)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+lowered AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1]))) AS h
+  FROM lowered, crc_table),
+altered AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substring(w, (h % length(w))::INT + 2) ELSE w END AS word, c
+  FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+holes AS (
+  SELECT word, left(word, i) || '_' || substring(word, i + 2) AS replaced, left(word, i) || substring(word, i + 2) AS shorter
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+links AS (
+  SELECT DISTINCT a.word AS word, b.word AS near FROM holes a JOIN holes b USING (replaced) WHERE a.word <> b.word
+  UNION SELECT DISTINCT holes.word, words.word FROM holes JOIN words ON words.word = shorter
+  UNION SELECT DISTINCT words.word, holes.word FROM holes JOIN words ON words.word = shorter),
+near AS (
+  SELECT links.word, count(*) AS n_near, first(near ORDER BY words.n DESC, near) AS best, max(words.n) AS best_n
+  FROM links JOIN words ON words.word = near GROUP BY links.word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form,
+    CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+walk AS (
+  SELECT word, word AS here, form AS ahead FROM formed
+  UNION ALL SELECT walk.word, walk.ahead, formed.form FROM walk JOIN formed ON formed.word = walk.ahead)
+SELECT word, form, here AS root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN walk USING (word) WHERE ahead IS NULL"""
+
+
+def op13_substring_dedup(spark, sf_dir):
+    """Words kept of every document, without windows of 50 words that an earlier document has."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return kept.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT rid, doc_id, s, array_to_string(w[s:s + 49], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - 48)) AS s FROM d)),
+firsts AS (SELECT phrase, min(doc_id) AS owner FROM windows GROUP BY phrase),
+gone AS (
+  SELECT DISTINCT rid, unnest(range(s, s + 50)) AS i FROM windows JOIN firsts USING (phrase) WHERE owner < doc_id OR (doc_id IS NULL AND owner IS NOT NULL)),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+kept AS (
+  SELECT rid, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text
+  FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
+
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_length_histogram": op2_length_histogram,
@@ -182,5 +292,11 @@ QUERIES = {
     "op8_binary_ids": op8_binary_ids,
     "op9_prob_minhash": op9_prob_minhash,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
+}
+ORACLE = {
+    "op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL, "op11_collocations": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL, "op13_substring_dedup": OP13_SQL,
 }
-ORACLE = {"op1_feistel_shards": _op1_sql(), "op5_positional_index": OP5_SQL}
