@@ -17,10 +17,8 @@ from windrow.llm.tokens import Encoder, text_column, word_hashes
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {f: Encoder(public_tokenizers.path(f)) for f in FILES}
 PLAIN = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
-for tokenizer in PLAIN.values():
-    tokenizer.encode_special_tokens = True
 ODD = [
-    "", " ", "\n", "  a b", "a  b\n\n c", "x\ty   z", "é É́ ́x", "<|endoftext|> hi", "0 1 2 a0b", "a\x1cb c", "it's I'LL\n'S", "ß Σς",
+    "", " ", "\n", "  a b", "a  b\n\n c", "x\ty   z", "é É́ ́x", "<|endoftext|> hi", "0 1 2 a0b", "a\x1cb c", "a <|endoftext|> b", "x<|startoftext|>y\n<|endoftext|>", "<|ENDOFTEXT|> A", "it's I'LL\n'S", "ß Σς",
     "a b\r\nq", "!!! ?? a!b", "日本語 テキスト", "😀 😀😀 a", " x y", None,
 ]
 
@@ -44,10 +42,23 @@ def test_words_kept_or_forgotten_give_the_same_ids(monkeypatch):
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice(["the", "of", f"w{rnd.randint(0, 99)}"]) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
     coder = Encoder(public_tokenizers.path(FILES[0]))
+    forgotten = []
+    forget = coder._forget_rare
+    coder._forget_rare = lambda: (forgotten.append(1), forget())
     flat, offsets = coder.encode(text_column(pa.array(texts)))
+    assert len(forgotten) > 3
     assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(FILES[0], t) for t in texts]
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_a_text_longer_than_a_slice(file, monkeypatch):
+    monkeypatch.setattr("windrow.llm.tokens.SLICE_BYTES", 500)
+    rnd = random.Random(3)
+    texts = [" ".join(f"W{rnd.randint(0, 400)}é" for _ in range(n)) for n in (3, 2000, 0, 7)]
+    flat, offsets = Encoder(public_tokenizers.path(file)).encode(text_column(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(file, t) for t in texts]
+
+
 def test_word_hashes_tell_words_apart():
     a, _ = word_hashes(text_column(pa.array(["Ab c", "ab", "c!ab É é", None])))
     assert len(a) == 7 and len(set(a.tolist())) == 4 and a[0] == a[2] == a[4]

@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import discard, ship, written
-from windrow.llm.tokens import LOWER, draw_key, give_back, scramble, slices, text_bytes, text_column
-from windrow.llm.words import CUT_BYTES, byte_set, run_hashes, run_strings, runs
+from windrow.llm.tokens import (
+    LOWER, draw_key, give_back, run_hashes, run_strings, runs, scramble, slices, text_bytes, text_column,
+)
+from windrow.llm.words import CUT_BYTES, byte_set
 
 BLANK = byte_set(0x20, 0x09)
 MARKS = byte_set(*b".,;:!?", (0x0A, 0x0D))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import discard, ship, written
-from windrow.llm.tokens import LOWER, give_back, slices, text_bytes, text_column
-from windrow.llm.words import CUT_BYTES, byte_set, run_strings, runs
+from windrow.llm.tokens import LOWER, give_back, run_strings, runs, slices, text_bytes, text_column
+from windrow.llm.words import CUT_BYTES, byte_set
 
 # The mark that closes a word; no word holds it.
 END = "$"

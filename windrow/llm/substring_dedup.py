@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import discard, key_columns, ship, written
-from windrow.llm.tokens import give_back, slices, text_bytes, text_column
-from windrow.llm.words import CUT_BYTES, byte_set, run_hashes, runs, sliding, window_hashes
+from windrow.llm.tokens import give_back, run_hashes, runs, slices, text_bytes, text_column
+from windrow.llm.words import CUT_BYTES, byte_set, sliding, window_hashes
 
 BLANK = byte_set(0x20, (0x09, 0x0D))
 EARLIER, OWN, UNKNOWN = 1, 2, 0

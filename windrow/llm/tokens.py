@@ -16,11 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 900_000
-SLICE_BYTES = 16_000_000
+# Words kept, and bytes of text put together at a time: the arrays of a slice are some thirty times its size.
+CACHED_WORDS = 600_000
+SLICE_BYTES = 1_000_000
 CUT = re.compile(r"\s*\S+|\s+")
-SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-ODD_WORD = f"^$|^[{SPACES}]|[{SPACES}]$|[\\x1c-\\x1f]"
+# White space other than space and line feed: single bytes, and what follows a lead byte of UTF-8.
+ODD_BLANK = np.zeros(256, bool)
+ODD_BLANK[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+WIDE_BLANKS = {
+    0xC2: [[(0x85, 0x85)], [(0xA0, 0xA0)]],
+    0xE1: [[(0x9A, 0x9A), (0x80, 0x80)]],
+    0xE2: [[(0x80, 0x80), (0x80, 0x8A)], [(0x80, 0x80), (0xA8, 0xA9)], [(0x80, 0x80), (0xAF, 0xAF)], [(0x81, 0x81), (0x9F, 0x9F)]],
+    0xE3: [[(0x80, 0x80), (0x80, 0x80)]],
+}
 # Python counts these as white space, the tokenizers' patterns do not.
 DOUBTFUL = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -44,8 +52,9 @@ def give_back() -> None:
 
 
 def release_encoders() -> None:
-    """Give back the words kept by encoders; called where a worker turns to other work."""
+    """Give back the words kept by encoders and hash tables; called where a worker turns to other work."""
     _ENCODERS.clear()
+    _Powers.up = _Powers.down = np.ones(1, np.uint64)
     give_back()
 
 
@@ -56,8 +65,9 @@ def text_column(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES):
+def slices(texts: pa.Array, most: int | None = None):
     """Runs of rows of about ``most`` bytes of text; a longer text is a run of its own."""
+    most = SLICE_BYTES if most is None else most
     lengths = np.asarray(pc.binary_length(texts), dtype=np.int64)
     ends = np.cumsum(lengths)
     start = 0
@@ -88,19 +98,34 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
+    """Ids of whole texts, put together from the ids of their words.
+
+    Words met before are found by a 64-bit hash in a table of whole arrays, so a slice of texts costs
+    a few passes over its bytes; only new words go through Python and the tokenizer.
+    """
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Special strings inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold a token of these go to the tokenizer whole, as it may join what stands around it.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # Their first two bytes, in either case.
+        self.added_starts = np.zeros((2, 256), bool)
+        for form in (f for t in added for f in (t.lower(), t.upper())):
+            for i, byte in enumerate(form.encode()[:2]):
+                self.added_starts[i, byte] = True
         self.mark, self.mark_id = self._find_mark()
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _has_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
     def _find_mark(self):
         """A string that always becomes one token of its own between two words, if there is one."""
         left, right = self._ids("ab"), self._ids(" cd")
@@ -111,165 +136,223 @@ class Encoder:
         return None, None
 
     def _forget(self):
-        self.index: dict[str, int] = {}
+        self.count = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.hits = np.zeros(1 << 14, np.int64)
+        self.lengths, self.hits = (np.zeros(1 << 14, np.int32) for _ in range(2))
+        self.keys = np.zeros(1 << 14, np.uint64)
+        self.others: dict[str, int] = {}  # pieces of texts with unusual white space
+        self._new_table(1 << 16)
+
+    def _new_table(self, size: int):
+        self.slot_keys, self.slot_words = np.zeros(size, np.uint64), np.zeros(size, np.int32)
 
     def _forget_rare(self):
         """Keep the words that were met at least twice, while they fill half the room at most."""
-        n = len(self.index)
-        kept = np.flatnonzero(self.hits[:n] >= 2)
+        n = self.count
+        kept = np.flatnonzero((self.hits[:n] >= 2) & (self.keys[:n] > 0))
         if len(kept) > CACHED_WORDS // 2:
             return self._forget()
-        words = list(self.index)
-        lengths = self.lengths[kept]
-        ids, hits = self.flat[ragged(self.starts[kept], lengths)], self.hits[kept]
+        lengths, keys, hits = self.lengths[kept].astype(np.int64), self.keys[kept], self.hits[kept]
+        ids = self.flat[ragged(self.starts[kept], lengths)]
         self._forget()
         if len(kept):
-            self._keep([words[i] for i in kept.tolist()], lengths, ids)
-            self.hits[:len(kept)] = hits
+            at = self._keep(lengths, ids)
+            self.hits[at], self.keys[at] = hits, keys
+            self._insert(keys, at)
 
-    def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        first, n = len(self.index), len(words)
+    def _keep(self, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        first, n = self.count, len(lengths)
         while len(self.starts) < first + n:
-            self.starts, self.lengths, self.hits = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
+            self.starts, self.lengths, self.hits, self.keys = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits, self.keys))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.lengths[first:first + n] = lengths
         self.starts[first:first + n] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        self.index.update(zip(words, range(first, first + n)))
-
-    def _learn(self, words: list[str], plain: bool = False) -> None:
+        self.count += n
+        return np.arange(first, first + n)
+
+    def _insert(self, keys: np.ndarray, words: np.ndarray) -> None:
+        """Put new keys, all different, into free slots."""
+        if 2 * (np.count_nonzero(self.slot_keys) + len(keys)) > len(self.slot_keys):
+            old = self.slot_keys > 0
+            held, at = self.slot_keys[old], self.slot_words[old]
+            self._new_table(1 << int(4 * (len(held) + len(keys))).bit_length())
+            keys, words = np.concatenate([held, keys]), np.concatenate([at, words])
+        mask = np.uint64(len(self.slot_keys) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.slot_keys[slot] == 0
+            self.slot_keys[slot[free]] = keys[free]
+            won = self.slot_keys[slot] == keys
+            self.slot_words[slot[won]] = words[won]
+            keys, words, slot = keys[~won], words[~won], (slot[~won] + np.uint64(1)) & mask
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the words with these keys, -1 for new ones."""
+        mask = np.uint64(len(self.slot_keys) - 1)
+        slot = keys & mask
+        there = self.slot_keys[slot]
+        out = np.where(there == keys, self.slot_words[slot], -1).astype(np.int64)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + np.uint64(1)) & mask
+            there = self.slot_keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.slot_words[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def _learn(self, words: list[str], plain: bool = False) -> np.ndarray:
         """Encode words not met before; simple ones many at a time, with marks between them.
 
-        ``plain`` says that no word has white space but one space in front.
+        ``plain`` says that no word has white space but one space in front. Returns their places.
         """
         if self.mark is None:
-            joined, single = [], words
+            together = np.zeros(len(words), bool)
         elif plain and self.mark == "\n":
-            joined, single = words, []
+            together = np.ones(len(words), bool)
         else:
             bare = self.mark.strip(" ")
-            joined, single = [], []
-            for w in words:
-                (joined if bare not in w and _plain(w) else single).append(w)
-        groups = [joined[i:i + 48] for i in range(0, len(joined), 48)]
-        for at in range(0, len(groups), 256):
-            part = groups[at:at + 256]
-            encoded = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in part], add_special_tokens=False)
-            words_in, lengths_in, ids_in = [], [], []
+            together = np.array([bare not in w and _plain(w) and not self._has_added(w) for w in words], bool)
+        place = np.full(len(words), -1, np.int64)
+        at = np.flatnonzero(together)
+        groups = [at[i:i + 48] for i in range(0, len(at), 48)]
+        for i in range(0, len(groups), 256):
+            part = groups[i:i + 256]
+            encoded = self.tokenizer.encode_batch_fast(
+                [self.mark.join([words[k] for k in g.tolist()]) for g in part], add_special_tokens=False)
+            lengths_in, ids_in, found = [], [], []
             for group, e in zip(part, encoded):
                 ids = np.array(e.ids, np.int32)
                 cuts = np.flatnonzero(ids == self.mark_id)
-                if len(cuts) != len(group) - 1:
-                    single.extend(group)
-                    continue
-                words_in.extend(group)
-                lengths_in.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
-                ids_in.append(ids[ids != self.mark_id])
-            if words_in:
-                self._keep(words_in, np.concatenate(lengths_in), np.concatenate(ids_in))
-        for at in range(0, len(single), 4096):
-            part = single[at:at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                if len(cuts) == len(group) - 1:
+                    found.append(group)
+                    lengths_in.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                    ids_in.append(ids[ids != self.mark_id])
+            if found:
+                place[np.concatenate(found)] = self._keep(np.concatenate(lengths_in), np.concatenate(ids_in))
+        single = np.flatnonzero(place < 0)
+        for i in range(0, len(single), 4096):
+            part = single[i:i + 4096]
+            encoded = self.tokenizer.encode_batch_fast([words[k] for k in part.tolist()], add_special_tokens=False)
             ids = [np.array(e.ids, np.int32) for e in encoded]
-            self._keep(part, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
+            place[part] = self._keep(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
+        return place
 
-    def _indices(self, words: list[str], plain: bool = False) -> np.ndarray:
-        """Places of the words; ``plain`` ones are all different and without inner white space."""
-        found = np.array([self.index.get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(found < 0).tolist()
+    def _other(self, pieces: list[str]) -> np.ndarray:
+        """Places of pieces of a text with unusual white space."""
+        new = [w for w in dict.fromkeys(pieces) if w not in self.others]
         if new:
-            missing = [words[i] for i in new]
-            self._learn(missing if plain else list(dict.fromkeys(missing)), plain)
-            found[new] = [self.index[w] for w in missing]
-        return found
+            self.others.update(zip(new, self._learn(new).tolist()))
+        return np.array([self.others[w] for w in pieces], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (int32), and n+1 offsets of the texts in them."""
         ids, counts = [], []
         for part in slices(texts):
-            if len(self.index) > CACHED_WORDS:
+            if self.count > CACHED_WORDS:
                 self._forget_rare()
             flat, per_text = self._encode_slice(part)
-            give_back()
             ids.append(flat)
             counts.append(per_text)
+        give_back()
         offsets = np.zeros(len(texts) + 1, np.int64)
         if counts:
             np.cumsum(np.concatenate(counts), out=offsets[1:])
         return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), offsets
 
+    def _unusual(self, raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """By text, whether its white space is more than single spaces and line breaks between words.
+
+        Texts that may hold an added token count as well.
+        """
+        odd = ODD_BLANK[raw]
+        odd[1:] |= cut[1:] & cut[:-1]
+        for lead, table in WIDE_BLANKS.items():
+            at = np.flatnonzero(raw[:-2] == lead) if len(table[0]) == 2 else np.flatnonzero(raw[:-1] == lead)
+            for rest in table:
+                hit = np.ones(len(at), bool)
+                for i, (low, high) in enumerate(rest):
+                    hit &= (raw[at + 1 + i] >= low) & (raw[at + 1 + i] <= high)
+                odd[at[hit]] = True
+        if self.added is not None:
+            odd[:-1] |= self.added_starts[0][raw[:-1]] & self.added_starts[1][raw[1:]]
+        begins = offsets[:-1]
+        filled = offsets[1:] > begins
+        at = np.flatnonzero(odd)
+        out = np.zeros(len(filled), bool)
+        out[np.searchsorted(offsets, at, side="right") - 1] = True
+        out[filled] |= cut[begins[filled]] | cut[offsets[1:][filled] - 1]
+        return out
+
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
-        lines = pc.split_pattern(texts, "\n")
-        lines_per_text = np.asarray(pc.list_value_length(lines), np.int64)
-        pieces = pc.split_pattern(lines.flatten(), " ")
-        per_line = np.asarray(pc.list_value_length(pieces), np.int64)
-        words = pieces.flatten().dictionary_encode()
-        codes = np.asarray(words.indices, np.int64)
-        values = words.dictionary.to_pylist()
-        odd = np.asarray(pc.match_substring_regex(words.dictionary, ODD_WORD))
-        line_start = np.zeros(len(codes), bool)
-        line_first = np.cumsum(per_line) - per_line
-        line_start[line_first] = True
-        text_of_line = np.repeat(np.arange(n), lines_per_text)
-        text_of_piece = np.repeat(text_of_line, per_line)
-        slow = np.zeros(n, bool)
-        slow[text_of_piece[odd[codes]]] = True
-        plain = ~slow[text_of_piece]
-
-        # One number per (word, with or without the space before it).
-        index = np.full((2, len(values)), -1, np.int64)
-        for first in (0, 1):
-            used = np.zeros(len(values), bool)
-            used[codes[plain & (line_start == bool(first))]] = True
-            needed = np.flatnonzero(used)
-            prefix = "" if first else " "
-            index[first, needed] = self._indices([prefix + values[i] for i in needed.tolist()], plain=True)
-        newline = int(self._indices(["\n"])[0])
+        raw, offsets = text_bytes(texts)
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        cut = (raw == 32) | (raw == 10)
+        slow = self._unusual(raw, offsets, cut)
+        inside = ~cut
+        first, last = runs(inside, offsets)
+        text = np.searchsorted(offsets, first, side="right") - 1
+        usual = ~slow[text]
+        first, last, text = first[usual], last[usual], text[usual]
+        # A word after a space is another word than one at the start of a line.
+        head = first == offsets[text]
+        broken = ~head & (raw[first - 1] == 10)
+        spaced = ~head & ~broken
+        keys = run_hashes(raw, first, last)
+        keys[spaced] = scramble(keys[spaced] + GOLDEN)
+        keys = np.maximum(keys, np.uint64(1))
+        word = self._find(keys)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            fresh, at, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            at = new[at]
+            strings = run_strings(raw, first[at], last[at]).to_pylist()
+            place = self._learn([" " + w if s else w for w, s in zip(strings, spaced[at].tolist())], plain=True)
+            self.keys[place] = fresh
+            self._insert(fresh, place)
+            word[new] = place[back]
         # Line breaks inside a text are words of their own.
-        breaks = np.ones(len(per_line), np.int64)
-        breaks[np.cumsum(lines_per_text) - lines_per_text] = 0
-        at = np.arange(len(codes)) + np.repeat(np.cumsum(breaks), per_line)
-        total = len(codes) + int(breaks.sum())
-        sequence = np.full(total, newline, np.int64)
-        sequence[at] = index[line_start.astype(np.int64), codes]
-        per_text = np.bincount(text_of_piece, minlength=n) + lines_per_text - 1
+        where = np.arange(len(word)) + np.cumsum(broken)
+        sequence = np.empty(len(word) + int(broken.sum()), np.int64)
+        sequence[where] = word
+        if broken.any():
+            sequence[where[broken] - 1] = self._other(["\n"])[0]
+        per_text = np.bincount(text, minlength=n) + np.bincount(text[broken], minlength=n)
         if slow.any():
-            sequence, per_text = self._replace_slow(texts, slow, sequence, per_text)
+            sequence, per_text = self._put_slow(texts, slow, sequence, per_text)
         met = np.bincount(sequence)
-        self.hits[:len(met)] += met
-        lengths = self.lengths[sequence]
+        self.hits[:len(met)] += np.minimum(met, 1 << 20).astype(np.int32)
+        np.minimum(self.hits, 1 << 30, out=self.hits)
+        lengths = self.lengths[sequence].astype(np.int64)
         ids = self.flat[ragged(self.starts[sequence], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum(per_text)
         return ids, ends[stops] - ends[stops - per_text]
 
-    def _replace_slow(self, texts, slow, sequence, per_text):
+    def _put_slow(self, texts, slow, sequence, per_text):
         stops = np.cumsum(per_text)
-        out, counts = [], []
-        for i in range(len(per_text)):
-            if slow[i]:
-                text = texts[i].as_py()
-                if not text:
-                    chunks = []
-                elif DOUBTFUL.search(text):
-                    chunks = [text]
-                else:
-                    chunks = CUT.findall(text)
-                part = self._indices(chunks) if chunks else np.zeros(0, np.int64)
+        out, done, counts = [], 0, per_text.copy()
+        for i in np.flatnonzero(slow).tolist():
+            text = texts[i].as_py()
+            if not text:
+                pieces = []
+            elif DOUBTFUL.search(text) or self._has_added(text):
+                pieces = [text]
             else:
-                part = sequence[stops[i] - per_text[i]:stops[i]]
-            out.append(part)
-            counts.append(len(part))
-        return np.concatenate(out), np.array(counts, np.int64)
+                pieces = CUT.findall(text)
+            out += [sequence[done:stops[i]], self._other(pieces) if pieces else np.zeros(0, np.int64)]
+            done, counts[i] = int(stops[i]), len(pieces)
+        return np.concatenate([*out, sequence[done:]]), counts
 
 
 def _plain(word: str) -> bool:
@@ -354,3 +437,36 @@ def word_hashes(texts: pa.Array, classes=WORD) -> tuple[np.ndarray, np.ndarray]:
     value = sums[last] - sums[first] + BYTE_VALUES[raw[first]] * up[first]
     hashes = scramble(value * down[first] + (last - first).astype(np.uint64) * GOLDEN)
     return hashes, np.searchsorted(first, offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the maximal runs of flagged bytes and the places behind them; no run crosses a text."""
+    n = len(inside)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every run."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    up, down = _Powers.of(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[raw] * up[:-1], dtype=np.uint64, out=sums[1:])
+    return scramble((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * GOLDEN)
+
+
+def run_strings(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The runs as Arrow strings."""
+    lengths = last - first
+    offsets = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    data = raw[ragged(first, lengths)]
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))

@@ -1,11 +1,10 @@
-"""Words cut from whole Arrow columns of texts: runs of bytes, their hashes and their strings."""
+"""Sets of bytes, and hashes and extremes of neighbouring values, in whole arrays."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 
-from windrow.llm.tokens import BYTE_VALUES, GOLDEN, _Powers, draw_key, ragged, scramble
+from windrow.llm.tokens import _Powers, draw_key, scramble
 
 # Text handled at a time; a word takes some twenty numbers while a run of texts is cut.
 CUT_BYTES = 2_000_000
@@ -20,39 +19,6 @@ def byte_set(*parts) -> np.ndarray:
     return table
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the maximal runs of flagged bytes and the places behind them; no run crosses a text."""
-    n = len(inside)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    edges = offsets[(offsets > 0) & (offsets < n)]
-    begins[edges] = inside[edges]
-    ends[edges - 1] = inside[edges - 1]
-    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
-
-
-def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every run."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    up, down = _Powers.of(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * up[:-1], dtype=np.uint64, out=sums[1:])
-    return scramble((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * GOLDEN)
-
-
-def run_strings(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
-    """The runs as Arrow strings."""
-    lengths = last - first
-    offsets = np.zeros(len(first) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    data = raw[ragged(first, lengths)]
-    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-
-
 def window_hashes(values: np.ndarray, width: int, key: int) -> np.ndarray:
     """A hash of every ``width`` neighbouring values, by the place of the first."""
     n = len(values) - width + 1
