@@ -151,6 +151,18 @@ def test_ids_on_disk_come_back_in_order(spark, folder, monkeypatch):
     assert [total[r["id"]] for r in ranks] == sorted(total[total > 0].tolist(), reverse=True)
 
 
+def test_rows_without_an_id_are_spread(spark, folder):
+    docs = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "concat('word ', id % 7) AS text").repartition(6)
+    path = f"{folder}/nameless"
+    binary_ids.write_ids(docs, path, public_tokenizers.path(FILES[0]), end_id=2)
+    held = [r["docs"] for r in spark.read.parquet(f"{path}/blocks").groupBy("range").agg({"docs": "sum"}).toDF("range", "docs").collect()]
+    assert sum(held) == 4000 and max(held) <= 2 * sum(held) / len(held) and len(held) == 32
+    got = binary_ids.read_ids(spark, path).orderBy("start").collect()
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order) and order.count(-1) == 1334
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(values=st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 77]), max_size=40))
 def test_coding_round_trip(values):

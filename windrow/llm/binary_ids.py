@@ -6,11 +6,12 @@ apart, and a 256-row table of lengths and offsets decodes them in whole arrays.
 
 A written set is a folder in any store that Spark writes to:
 
-* ``blocks``: rows (range, block, docs, tokens, doc_ids, count_control, count_data, control, data);
-  documents ascend by doc_id within a block, blocks by (range, block). ``count_*`` code the number
-  of ids of each document, ``control`` and ``data`` the ranks of all its ids.
+* ``blocks``: rows (range, block, inside, docs, tokens, doc_ids, count_control, count_data, control,
+  data); documents ascend by doc_id within a block, blocks by (range, block). ``inside`` is the number
+  of ids before the block in its range, ``count_*`` code the number of ids of each document,
+  ``control`` and ``data`` the ranks of all its ids.
 * ``ranks``: (rank, id).
-* ``index``: (range, block, start), ids in all blocks before.
+* ``index``: (range, start), ids in all ranges before.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from windrow.llm.common import discard, partition_offsets, ship, written
 from windrow.llm.tokens import draw_key, encoded_slices, encoder, give_back, release_encoders, scramble
+from windrow.storage import broadcast_rows
 
 BLOCK_TOKENS = 500_000
 # Ranges of doc ids by the quantiles of all ids; a partition of the shuffle holds a few whole ranges.
 RANGES_PER_PARTITION = 4
-SORTED = "range int, block int, docs int, tokens long, doc_ids array<long>, counts binary, width int, ids binary"
+PARTITION_BYTES = 64_000_000
+SORTED = "range int, block int, inside long, docs int, tokens long, doc_ids array<long>, counts binary, width int, ids binary"
 BLOCK = (
-    "range int, block int, docs int, tokens long, doc_ids array<long>, count_control binary, count_data binary, "
+    "range int, block int, inside long, docs int, tokens long, doc_ids array<long>, count_control binary, count_data binary, "
     "control binary, data binary"
 )
 # By control byte: the four lengths, where each value starts within its group, and the group's bytes.
@@ -73,26 +75,34 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _ranges(doc_ids: DataFrame, count: int) -> np.ndarray:
-    """``count`` - 1 quantiles of all doc ids, which steer balance only."""
-    if count < 2:
-        return np.zeros(0, np.int64)
-    shares = F.array(*[F.lit(i / count) for i in range(1, count)])
-    found = doc_ids.agg(F.percentile_approx("doc_id", shares, 50_000)).first()[0]
-    return np.array(found or [], np.int64)
+def _ranges(rows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Partitions of the sort, leading ranges of NULL ids, and quantiles of the others, which steer balance only.
+
+    Partitions follow from the bytes of text; ranges of NULL ids from their share of the rows.
+    """
+    size = rows.agg(
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size[0] // PARTITION_BYTES))
+    count = partitions * RANGES_PER_PARTITION
+    nameless = round(count * size[2] / max(size[1], 1))
+    if count - nameless < 2:
+        return partitions, nameless, np.zeros(0, np.int64)
+    shares = F.array(*[F.lit(i / (count - nameless)) for i in range(1, count - nameless)])
+    found = rows.agg(F.percentile_approx("doc_id", shares, 50_000)).first()[0]
+    return partitions, nameless, np.array(found or [], np.int64)
 
 
 def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Blocks of documents with their ids, in ascending order of doc_id over (range, block).
 
     Rows with one doc id are in an order drawn from where they were read; when an id fills several
-    quantiles its rows are dealt over those ranges by that draw.
+    quantiles its rows are dealt over those ranges by that draw, and so are rows without an id over
+    the first ranges.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(rows.select("doc_id"), partitions * RANGES_PER_PARTITION)
+    partitions, nameless, bounds = _ranges(rows)
 
     def run(batches: Iterable[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), 0
@@ -110,8 +120,8 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             known = np.asarray(batch.column(0).is_valid())
             doc_id = np.asarray(batch.column(0).fill_null(0), np.int64)
             draw = (scramble(np.arange(seen, seen + n, dtype=np.uint64) + draw_key(part)) >> np.uint64(33)).astype(np.int64)
-            low = np.where(known, np.searchsorted(bounds, doc_id, side="left"), 0)
-            high = np.where(known, np.searchsorted(bounds, doc_id, side="right"), 0)
+            low = np.where(known, nameless + np.searchsorted(bounds, doc_id, side="left"), 0)
+            high = np.where(known, nameless + np.searchsorted(bounds, doc_id, side="right"), max(nameless - 1, 0))
             at = low + (draw * (high - low + 1) >> 31)
             raw = memoryview(ids).cast("B")
             spans = [raw[width * a:width * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
@@ -123,31 +133,31 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def gather(batches: Iterable[pa.RecordBatch]):
         release_encoders()
-        now, block, doc_ids, ids, size = None, 0, [], [], 0
+        now, block, inside, doc_ids, ids, size = None, 0, 0, [], [], 0
 
         def close():
             wide = max(w for w, _ in ids)
-            parts = [np.frombuffer(x, f"<u{w}") for w, x in ids]
-            counts = np.array([len(x) for x in parts], "<u8")
-            whole = np.concatenate(parts).astype(f"<u{wide}")
+            parts = [x if w == wide else np.frombuffer(x, f"<u{w}").astype(f"<u{wide}").tobytes() for w, x in ids]
+            counts = np.array([len(x) // wide for x in parts], "<u8")
             return pa.RecordBatch.from_arrays([
-                pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([len(parts)], pa.int32()),
-                pa.array([len(whole)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
-                pa.array([counts.tobytes()], pa.binary()), pa.array([wide], pa.int32()), pa.array([whole.tobytes()], pa.binary()),
+                pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([inside], pa.int64()),
+                pa.array([len(parts)], pa.int32()), pa.array([size], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
+                pa.array([counts.tobytes()], pa.binary()), pa.array([wide], pa.int32()), pa.array([b"".join(parts)], pa.binary()),
             ], names=[c.split()[0] for c in SORTED.split(", ")])
 
         for batch in batches:
             for at, doc_id, width, row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if ids and (at != now or size >= BLOCK_TOKENS):
                     yield close()
-                    block, doc_ids, ids, size = (block + 1 if at == now else 0), [], [], 0
+                    block, inside = (block + 1, inside + size) if at == now else (0, 0)
+                    doc_ids, ids, size = [], [], 0
                 now = at
                 doc_ids.append(doc_id)
                 ids.append((width, row))
                 size += len(row) // width
-            give_back()
         if ids:
             yield close()
+        give_back()
 
     order = ["range", "doc_id", "draw", "read_part", "read_row"]
     coded = rows.mapInArrow(
@@ -199,23 +209,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def code(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            counts = [encode_values(np.frombuffer(x, "<u8")) for x in batch.column(5).to_pylist()]
+            counts = [encode_values(np.frombuffer(x, "<u8")) for x in batch.column(6).to_pylist()]
             ids = [
                 encode_values(rank_of[np.frombuffer(raw.as_buffer(), f"<u{width}")])
-                for width, raw in zip(batch.column(6).to_pylist(), batch.column(7))
+                for width, raw in zip(batch.column(7).to_pylist(), batch.column(8))
             ]
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(i) for i in range(5)], *[pa.array([x[k] for x in pair], pa.binary()) for pair in (counts, ids) for k in (0, 1)],
+                *[batch.column(i) for i in range(6)], *[pa.array([x[k] for x in pair], pa.binary()) for pair in (counts, ids) for k in (0, 1)],
             ], names=[c.split()[0] for c in BLOCK.split(", ")])
             give_back()
 
     blocks.mapInArrow(code, BLOCK).write.parquet(f"{path}/blocks", compression="zstd")
     discard(blocks)
-    made = spark.read.parquet(f"{path}/blocks").select("range", "block", "tokens")
-    ranges = partition_offsets(made.groupBy("range").agg(F.sum("tokens").alias("n")), "range", "n")
-    inside = Window.partitionBy("range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    made.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(ranges, "range").select(
-        "range", "block", (F.col("before") + F.col("_in")).alias("start")).write.parquet(f"{path}/index")
+    made = spark.read.parquet(f"{path}/blocks").groupBy("range").agg(F.sum("tokens").alias("n"))
+    partition_offsets(made, "range", "n").select("range", F.col("before").alias("start")).write.parquet(f"{path}/index")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +231,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # One row per id of the vocabulary.
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     id_of = np.array([r["id"] for r in ranks], "<u4")
-    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["range", "block"])
+    # One row a range; beyond the bound for broadcasts Spark chooses the join.
+    index = spark.read.parquet(f"{path}/index")
+    index = F.broadcast(index) if index.count() <= broadcast_rows(spark) else index
+    blocks = spark.read.parquet(f"{path}/blocks").join(index, "range").withColumn("start", F.col("start") + F.col("inside"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         release_encoders()
