@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks import surrogate as sg
+from checks.arrivals import DAY_MS, IN_ORDER, SHUFFLED, SHUFFLED_SQL, arriving, slice_sql
 from checks.sequences import bags, labeled, spine_sql
 from windrow.functions.weights import Idf
 from windrow.models import forest as rf
@@ -18,7 +19,7 @@ from windrow.operators import windows as wn
 from windrow.plans import evaluate as evaluation
 from windrow.plans import train as training
 from windrow.storage import materialize, shared_dir
-from windrow.streaming import ingest, scoring
+from windrow.streaming import ingest, keyed, scoring
 
 QUERIES, ORACLE = {}, {}
 KEY = ["session_id", "window_id"]
@@ -187,23 +188,48 @@ def stream_exact_counters(spark, sf):
     return spark.read.parquet(f"{run}/counts/{q.lastProgress['batchId']}")
 
 
-def stream_process_windows(spark, sf):
+def released(spark, sf, arrival=IN_ORDER, delay_ms=0):
+    """Windows and late events of the stream, released by the watermark."""
     run = run_folder(spark)
-    live = scoring.live_events(stream(spark, sf), sg.DENYLIST)
-    windows = scoring.process_windows(live, sg.VOCAB, keys=sg.PID_KEYS, window=sg.W, risky=["error", "purchase"])
-    q = (
-        windows.writeStream.format("parquet").outputMode("append").option("path", f"{run}/windows")
-        .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{run}/windows")
+    live = scoring.live_events(arriving(spark, sf, f"{run}/files", arrival), sg.DENYLIST)
+    windows = keyed.released_windows(
+        live, sg.VOCAB, keys=sg.PID_KEYS, window=sg.W, delay_ms=delay_ms, bucket_ms=DAY_MS, risky=["error", "purchase"])
+    keyed.start_released(windows, f"{run}/windows", f"{run}/late", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/windows/*"), spark.read.parquet(f"{run}/late/*")
 
 
 @query(sg.with_sql(sg.SEQ) + """
 SELECT session_id, pid, pseq AS end_seq, event_id, CAST(least(pseq + 1, 20) AS INTEGER) AS n_tokens FROM seq
 WHERE pseq >= 19 OR (pseq >= 2 AND syscall_name IN ('error', 'purchase'))""")
 def stream_per_key(spark, sf):
-    return stream_process_windows(spark, sf).select("session_id", "pid", "end_seq", "event_id", F.size("tokens").alias("n_tokens"))
+    """Windows of processes over four batches in order."""
+    return released(spark, sf)[0].select("session_id", "pid", "end_seq", "event_id", F.size("tokens").alias("n_tokens"))
+
+
+# A row is late if the day it happened on had ended a day before the latest event of earlier batches.
+ARRIVED = sg.with_sql(sg.EV) + f""",
+lab AS (SELECT * FROM ev WHERE comm <> 'app11'),
+arrived AS (SELECT *, {slice_sql(SHUFFLED_SQL.replace('ts', 'timestamp_human'))} AS slice FROM lab),
+latest AS (SELECT slice, max(timestamp_ns // 1000000) AS ms FROM arrived GROUP BY slice),
+marks AS (SELECT a.slice, coalesce(max(b.ms), {DAY_MS}) - {DAY_MS} AS mark FROM latest a LEFT JOIN latest b ON b.slice < a.slice GROUP BY a.slice),
+judged AS (
+  SELECT arrived.*, (timestamp_ns // 1000000 // {DAY_MS} + 1) * {DAY_MS} <= mark AS late FROM arrived JOIN marks USING (slice)),
+seq AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, pid ORDER BY timestamp_ns, tid, event_id) - 1 AS pseq
+  FROM judged WHERE NOT late)"""
+
+
+@query(ARRIVED + """
+SELECT session_id, pid, pseq AS end_seq, event_id, CAST(least(pseq + 1, 20) AS INTEGER) AS n_tokens, false AS late FROM seq
+WHERE pseq >= 19 OR (pseq >= 2 AND syscall_name IN ('error', 'purchase'))
+UNION ALL SELECT session_id, pid, -1, event_id, 0, true FROM judged WHERE late""")
+def stream_out_of_order(spark, sf):
+    """Windows of a stream that arrives out of order, and the late events of the side table."""
+    windows, late = released(spark, sf, SHUFFLED, delay_ms=DAY_MS)
+    cols = ["session_id", "pid", "end_seq", "event_id", "n_tokens", "late"]
+    found = windows.withColumns({"n_tokens": F.size("tokens"), "late": F.lit(False)}).select(*cols)
+    return found.union(late.withColumns(
+        {"end_seq": F.lit(-1).cast("long"), "n_tokens": F.lit(0), "late": F.lit(True)}).select(*cols))
 
 
 @query(sg.with_sql(sg.SEQ, sg.DICT) + """,
@@ -218,7 +244,7 @@ SELECT session_id, pid, end_seq, feature_idx, count(*) AS cnt FROM (
 GROUP BY ALL""")
 def stream_parity(spark, sf):
     """Counts of the stream's windows; the SQL counts them from the definition."""
-    bagged = scoring.token_bags(stream_process_windows(spark, sf), sg.VOCAB, 2)
+    bagged = scoring.token_bags(released(spark, sf)[0], sg.VOCAB, 2)
     return bagged.select(*sg.PID_KEYS, "end_seq", F.explode("bag").alias("feature_idx", "cnt"))
 
 
