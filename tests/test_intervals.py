@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from support import frame, grouped, log
 from windrow.operators import intervals as iv
 from windrow.operators import reports as rp
+from windrow.operators.segments import disjoint_segments, sweep
 
 TL = "ordinal long, technique string, start_ns long, end_ns long"
 
@@ -34,6 +35,33 @@ def test_rows_that_share_an_id_and_equal_intervals(spark, bound, setting):
     assert {r["t"]: r["technique"] for r in found} == {15: "early", 5_000: "t0", 100_001: None}
 
 
+@pytest.mark.parametrize("chunks,shape", [(1, 300), (5, 300), (9, 3000)])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_segments_are_disjoint_and_name_the_first_interval(spark, chunks, shape, keys):
+    rnd = random.Random(chunks)
+    spans = [(i, f"t{i}", s, s + rnd.choice([-1, 0, 3, 40, shape]), i % 2) for i, s in enumerate(rnd.choices(range(-200, 1500), k=80))]
+    timeline = spark.createDataFrame(spans, TL + ", k int")
+    found = disjoint_segments(timeline, keys, chunks).collect()
+    for k in (0, 1):
+        mine = [s[:4] for s in spans if not keys or s[4] == k]
+        cut = sorted((r["start_ns"], r["end_ns"], r["technique"]) for r in found if not keys or r["k"] == k)
+        assert all(a[1] < b[0] for a, b in zip(cut, cut[1:])) and len(cut) <= 2 * len(mine) + 1 + 2 * chunks
+        for t in range(-250, 5000):
+            held = [n for a, b, n in cut if a <= t <= b]
+            assert held == ([first_match(t, mine)] if first_match(t, mine) else [])
+
+
+def test_six_thousand_overlapping_intervals_are_few_segments(spark):
+    spans = [(i, i * 7 % 500, i * 7 % 500 + 10_000) for i in range(6000)]
+    cut = sweep(spans)
+    assert len(cut) <= 2 * len(spans) + 1 and all(a[2] < b[1] for a, b in zip(cut, cut[1:]))
+    rows = spark.createDataFrame([(t,) for t in range(0, 10_600, 13)], "t long")
+    timeline = spark.createDataFrame([(o, f"t{o}", a, b) for o, a, b in spans], TL)
+    got = {r["t"]: r["technique"] for r in iv.first_interval(rows, F.col("t"), timeline).collect()}
+    by_ordinal = [(o, f"t{o}", a, b) for o, a, b in spans]
+    assert got == {t: first_match(t, by_ordinal) for t in got}
+
+
 def test_capture_zone(spark):
     hour = 3_600_000_000_000
     spans = spark.createDataFrame([(0, "a", 10 * hour, 11 * hour)], TL)

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.functions.scalars import event_label, int_div, wall_ns
-from windrow.operators.ordered import next_at_or_after, ordered_scan
+from windrow.operators.ordered import last_at_or_before, next_at_or_after, ordered_scan
+from windrow.operators.segments import disjoint_segments, places_below, sweep
 from windrow.schema import EVENT_ORDER
 from windrow.storage import broadcast_rows
 from windrow.vocabulary import UNATTRIBUTED
 
 MIN_BINS = 4096
-_SPANS = T.ArrayType(
-    T.StructType(
-        [T.StructField("ordinal", T.LongType()), T.StructField("start_ns", T.LongType()),
-         T.StructField("end_ns", T.LongType()), T.StructField("technique", T.StringType())]
-    )
-)
+_SEGMENTS = [
+    T.StructField("_starts", T.ArrayType(T.LongType())), T.StructField("_ends", T.ArrayType(T.LongType())),
+    T.StructField("_techniques", T.ArrayType(T.StringType())),
+]
 
 
 def overlapping_intervals(timeline: DataFrame, keys: list[str] = (), chunks: int | None = None) -> DataFrame:
@@ -51,72 +50,55 @@ def rows_if_small(timeline: DataFrame) -> list[Row] | None:
     return rows if len(rows) <= most else None
 
 
-def _bin_width(n: int, covered: float) -> int:
-    """Wide enough that ``n`` intervals fall into at most ``3 n + MIN_BINS`` bins."""
-    return max(1, math.ceil(covered / max(MIN_BINS, n)))
-
-
 def _bin(t: Column, width: int) -> Column:
     return int_div(t - F.pmod(t, F.lit(width)), width)
 
 
 def first_interval(
     rows: DataFrame, time_ns: Column, timeline: DataFrame | list[Row], *, out: str = "technique", keys: list[str] = (),
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add the technique of the first interval (file order) holding ``time_ns``.
 
-    Both ends are included; no match gives NULL. Intervals are laid over bins
-    wide enough that the binned table has at most three rows per interval plus a
-    constant, and rows meet them by an equi join on the bin: one array of
-    intervals per bin, in file order, cut behind the first that covers the bin,
-    as none after it can come first. So rows do not multiply and need no id. A
-    timeline of checked size is broadcast, a larger one is shuffled.
+    Both ends are included; no match gives NULL. The timeline is cut into disjoint segments, at most
+    two per interval and one more, so a row is tested against one segment however many intervals hold
+    it, rows do not multiply and need no id. A timeline of checked size is swept on the driver and
+    broadcast; a larger one is swept in chunks and meets the rows in one backward as-of join.
     """
     keys = list(keys)
     small = timeline if isinstance(timeline, list) else rows_if_small(timeline)
     if small is not None:
-        return _with_broadcast_bins(rows, time_ns, small, out, keys)
-    spans = timeline.where("end_ns >= start_ns")
-    length = (F.col("end_ns") - F.col("start_ns")).cast("double")
-    stats = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("covered")).first()
-    width = _bin_width(stats["n"], stats["covered"] or 0.0)
-    bins = F.sequence(_bin(F.col("start_ns"), width), _bin(F.col("end_ns"), width))
-    span = F.struct("ordinal", "start_ns", "end_ns", "technique")
-    laid = spans.select(*keys, F.explode(bins).alias("_bin"), span.alias("_span"))
-    low = F.col("_bin") * width
-    covers = (F.col("_span.start_ns") <= low) & (F.col("_span.end_ns") >= low + (width - 1))
-    # Of the intervals that cover a bin only the first counts, and only those before it besides.
-    first = laid.where(covers).groupBy(*keys, "_bin").agg(F.min("_span.ordinal").alias("_cover"))
-    useful = laid.join(first, [*keys, "_bin"], "left").where("_cover IS NULL OR _span.ordinal <= _cover")
-    table = useful.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_list("_span")).alias("_spans"))
-    return _from_bins(rows, time_ns, table, width, out, keys)
-
-
-def _with_broadcast_bins(rows: DataFrame, time_ns: Column, spans: list[Row], out: str, keys: list[str]) -> DataFrame:
-    spans = [s for s in spans if s["end_ns"] >= s["start_ns"]]
-    width = _bin_width(len(spans), sum(s["end_ns"] - s["start_ns"] for s in spans))
+        return _with_broadcast_segments(rows, time_ns, small, out, keys)
+    segments = disjoint_segments(timeline, keys)
+    found = last_at_or_before(rows, segments, keys, time_ns, "start_ns", "_segment", chunks)
+    return found.withColumn(
+        out, F.when(time_ns <= F.col("_segment.end_ns"), F.col("_segment.technique"))).drop("_segment")
+
+
+def _with_broadcast_segments(rows: DataFrame, time_ns: Column, spans: list[Row], out: str, keys: list[str]) -> DataFrame:
+    """Segments in bins of equal width, as sorted arrays; a row finds its own by bisection of its bin."""
+    by_key, names = defaultdict(list), {}
+    for s in spans:
+        key = tuple(s[k] for k in keys)
+        by_key[key].append((s["ordinal"], s["start_ns"], s["end_ns"]))
+        names.setdefault((key, s["ordinal"]), s["technique"])
+    cut = [(key, *segment) for key, held in by_key.items() for segment in sweep(held)]
+    covered = sum(end - start for _, _, start, end in cut)
+    # Wide enough that n segments fall into at most 3 n + MIN_BINS bins.
+    width = max(1, math.ceil(covered / max(MIN_BINS, len(cut))))
     bins = defaultdict(list)
-    for s in sorted(spans, key=lambda s: s["ordinal"]):
-        for b in range(s["start_ns"] // width, s["end_ns"] // width + 1):
-            held = bins[(*[s[k] for k in keys], b)]
-            covered = held and held[-1][1] <= b * width and held[-1][2] >= (b + 1) * width - 1
-            if not covered:
-                held.append((s["ordinal"], s["start_ns"], s["end_ns"], s["technique"]))
-    schema = T.StructType(
-        [*[rows.schema[k] for k in keys], T.StructField("_bin", T.LongType()), T.StructField("_spans", _SPANS)]
-    )
-    table = rows.sparkSession.createDataFrame([(*at, sorted(held)) for at, held in bins.items()], schema)
-    return _from_bins(rows, time_ns, F.broadcast(table), width, out, keys)
-
-
-def _from_bins(rows: DataFrame, time_ns: Column, table: DataFrame, width: int, out: str, keys: list[str]) -> DataFrame:
+    for key, ordinal, start, end in cut:
+        for b in range(start // width, end // width + 1):
+            bins[(*key, b)].append((start, end, names[key, ordinal]))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_bin", T.LongType()), *_SEGMENTS])
+    table = rows.sparkSession.createDataFrame([(*at, *map(list, zip(*sorted(held)))) for at, held in bins.items()], schema)
+    most = max(map(len, bins.values()), default=1)
     timed = rows.withColumn("_t", time_ns).withColumn("_bin", _bin(F.col("_t"), width))
-    held = F.filter("_spans", lambda s: F.col("_t").between(s["start_ns"], s["end_ns"]))
-    return (
-        timed.join(table, [*keys, "_bin"], "left")
-        .withColumn(out, F.get(held, F.lit(0))["technique"])
-        .drop("_bin", "_t", "_spans")
-    )
+    met = timed.join(F.broadcast(table), [*keys, "_bin"], "left").withColumn(
+        "_at", places_below(F.col("_starts"), F.col("_t"), most) - 1)
+    inside = (F.col("_at") >= 0) & (F.col("_t") <= F.get("_ends", F.col("_at")))
+    return met.withColumn(out, F.when(inside, F.get("_techniques", F.col("_at")))).drop(
+        "_bin", "_t", "_at", "_starts", "_ends", "_techniques")
 
 
 def label_events(

@@ -243,3 +243,31 @@ def next_at_or_after(
     firsts = both.groupBy(*part).agg(F.min(found).alias("_first"))
     carried = firsts.select(*part, F.min("_first").over(later).alias("_later"))
     return here.join(carried, part, "left").select(*keys, "_row.*", F.coalesce("_here", "_later").alias(out))
+
+
+def last_at_or_before(
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: str, out: str, chunks: int | None = None
+) -> DataFrame:
+    """Backward as-of join: ``out`` is the whole right row with the largest ``right_time`` not after the left time.
+
+    Keeps every left row; ``out`` is NULL when nothing comes before, or the left time is NULL. Times
+    of the right side are different within a key.
+    """
+    lcols = [F.col(f"`{c}`") for c in left.columns if c not in keys]
+    rcols = [c for c in right.columns if c not in keys]
+    both = left.select(*keys, left_time.alias("_t"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_row")).unionByName(
+        right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*rcols).alias("_found")),
+        allowMissingColumns=True,
+    )
+    both, chunks = readable_twice(both, chunks)
+    both = cut_into_chunks(both, ["_t", "_side"], chunks)
+    part = [*keys, CHUNK]
+    behind = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    here = both.withColumn("_here", F.last("_found", ignorenulls=True).over(behind)).where("_side = 1")
+    kept = F.col("_here")
+    if chunks > 1:
+        lasts = both.groupBy(*part).agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("_t"))).alias("_last"))
+        carried = lasts.select(*part, F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"))
+        here, kept = here.join(carried, part, "left"), F.coalesce("_here", "_earlier")
+    return here.select(*keys, "_row.*", F.when(F.col("_t").isNotNull(), kept).alias(out))
