@@ -7,25 +7,39 @@ from windrow.operators import cooldown, ordered, sampling
 from windrow.operators.metrics import ranking_quality
 from windrow.sources import events as src
 from windrow.sources import feeds
-from windrow.storage import input_bytes, repeats_work, scratch, shared_dir
+from windrow.storage import file_bytes, scratch, shared_dir
 from windrow.streaming.scoring import AlertWriter
 
 
-def test_an_unknown_leaf_makes_the_size_unknown(spark):
-    rdd = spark.sparkContext.parallelize([(i, i) for i in range(10)]).toDF("a long, b long")
-    small = spark.range(1).select(F.lit(1).cast("long").alias("a"))
-    assert input_bytes(rdd.join(F.broadcast(small), "a", "left")) is None
-    assert input_bytes(small) is not None
-
+def test_sizes_are_those_of_the_files(spark, folder):
+    spark.range(1000).repartition(4).write.parquet(f"{folder}/t")
+    import os
 
-def test_plans_that_repeat_work(spark):
-    df = spark.range(100)
-    twice = F.pandas_udf(lambda v: v * 2, "long")
-    assert not repeats_work(df.where("id > 3"))
-    assert not repeats_work(df.join(F.broadcast(spark.range(3)), "id"))
-    assert repeats_work(df.join(spark.range(3).hint("merge"), "id"))
-    assert repeats_work(df.select(twice("id")))
-    assert repeats_work(df.groupBy("id").count())
+    size = sum(os.path.getsize(f"{folder}/t/{f}") for f in os.listdir(f"{folder}/t") if f.endswith(".parquet"))
+    df = spark.read.parquet(f"{folder}/t")
+    assert file_bytes(df) == file_bytes(df.where("id > 3").groupBy("id").count()) == size
+    assert file_bytes(spark.range(3)) is None
+
+
+def test_only_heavy_keys_are_cut(spark, folder, monkeypatch):
+    """A hundred thousand small processes and a busy one: the table of chunks knows the busy one alone."""
+    seen = []
+    cut = ordered.cut_into_chunks
+    monkeypatch.setattr(ordered, "cut_into_chunks", lambda df, *a: seen.append(df.select("pid").distinct().count()) or cut(df, *a))
+    df = spark.range(130_000).selectExpr("IF(id % 4 = 0, -1, id) AS pid", "id * 7919 % 130003 AS t", "id")
+    out = ordered.ordered_scan(df, ["pid"], ["t", "id"], seq="seq", total="n", lags={"before": "t"}, chunks=8)
+    row = out.where("pid = -1").agg(F.max("seq"), F.min("n"), F.count_if(F.col("before") < F.col("t")), F.count_if(F.col("before").isNull())).first()
+    assert tuple(row) == (32_499, 32_500, 32_499, 1)
+    assert out.where("pid <> -1").agg(F.max("seq"), F.max("n"), F.count("before")).first()[0:3] == (0, 1, 0)
+    assert seen == [1]
+    assert ordered.ordered_scan(df.where("pid <> -1"), ["pid"], ["t"], seq="seq", chunks=8).agg(F.max("seq")).first()[0] == 0
+    assert seen == [1]
+
+
+def test_a_text_column_with_a_common_prefix_is_split(spark):
+    df = spark.range(5000).selectExpr("concat('capture_2026_', lpad(cast(id AS string), 6, '0')) AS name", "id")
+    sizes = [r["count"] for r in ordered.cut_into_chunks(df, ["name", "id"], 8).groupBy(ordered.CHUNK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
 
 
 @pytest.mark.parametrize("chunks", [1, 6])

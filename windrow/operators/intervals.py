@@ -163,7 +163,7 @@ def detection_latency(
     ``latency_ms`` is NULL for a burst that no later window detects.
     """
     closes = scored.where("pred = 1").select(*keys, "close_ts")
-    found = next_at_or_after(bursts, closes, list(keys), "onset_ts", "close_ts", "alarm_ts", chunks)
+    found = next_at_or_after(bursts, closes, list(keys), "onset_ts", "close_ts", "alarm_ts", chunks, once=True)
     return found.withColumn("latency_ms", (F.col("alarm_ts") - F.col("onset_ts")) / F.lit(1e6))
 
 

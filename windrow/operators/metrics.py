@@ -79,7 +79,7 @@ def score_steps(scored: DataFrame, keys: list[str] = (), chunks: int | None = No
     )
     return ordered_scan(
         per_score, keys, ["_down"], sums={"cum_tp": F.col("tp"), "cum_fp": F.col("fp")},
-        totals={"n_pos": F.col("tp"), "n_neg": F.col("fp")}, chunks=chunks,
+        totals={"n_pos": F.col("tp"), "n_neg": F.col("fp")}, chunks=chunks, once=True,
     ).drop("_down")
 
 

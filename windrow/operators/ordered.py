@@ -1,133 +1,77 @@
 """Total orders without a single task: numbering, running sums and look-behind.
 
-``Window.orderBy`` over a whole session sends the session to one task. Here the
-order is cut into chunks at sampled quantiles of the order columns, each chunk
-is sorted on its own, and a small table with one row per (key, chunk) carries
-what a chunk needs to know about the ones before it. A key, session or single
-timestamp that holds a large share of all rows is therefore spread over many
-chunks. The chunk bounds only steer balance; results do not depend on them.
+``Window.orderBy`` over a whole session sends the session to one task. Here the rows go through
+Spark's range exchange over the order columns and are written once with the number of their
+partition, the chunk. Each chunk is sorted on its own, and a small table with one row per (key,
+chunk) carries what a chunk needs to know about the ones before it. A key, session or single
+timestamp that holds a large share of all rows is therefore spread over many chunks. Keys that are
+not heavy stay whole: they go to one task by their key and take no part in that table.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from windrow.storage import CHUNKS_SETTING, input_bytes, materialize, repeats_work
+from windrow.storage import CHUNKS_SETTING, file_bytes, materialize
 
 CHUNK = "_chunk"
-CHUNK_BYTES = 4 << 20
-# The driver holds one bound per chunk; beyond it chunks grow with the data and their sorts spill.
-MAX_CHUNKS = 1 << 16
-# Bounds are fitted on a sample of about this size once the input is known to be larger.
-BOUNDS_BYTES = 64 << 20
+# A chunk of few MB while there are at most this many, larger ones beyond it.
+CHUNK_BYTES, LARGE_CHUNK_BYTES = 4 << 20, 512 << 20
+FINE_CHUNKS = 4_096
+# Of keys that are not cut.
+WHOLE = -1
 
 
 def default_chunks(df: DataFrame) -> int:
-    """Chunks for ``df`` by its size alone; four per shuffle partition where the size is not known."""
+    """Chunks for ``df`` by the bytes of its files alone; four per shuffle partition where it has none."""
     conf = df.sparkSession.conf
     forced = conf.get(CHUNKS_SETTING, None)
     if forced:
         return int(forced)
-    size = input_bytes(df)
+    size = file_bytes(df)
     if size is None:
         return 4 * int(conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(math.ceil(size / CHUNK_BYTES), MAX_CHUNKS))
+    fine = max(1, math.ceil(size / CHUNK_BYTES))
+    return fine if fine <= FINE_CHUNKS else max(FINE_CHUNKS, math.ceil(size / LARGE_CHUNK_BYTES))
 
 
-def readable_twice(df: DataFrame, chunks: int | None) -> tuple[DataFrame, int]:
-    """``df`` ready for several passes, and its number of chunks.
+def cut_into_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
+    """Add ``_chunk``: a long that never falls as rows advance in ``order``.
 
-    Cutting into chunks reads the rows for the bounds, the table of chunks and
-    the result. A plain scan is read again; a plan with shuffles is written once.
+    More than one chunk are written to the shared folder, so that a row keeps its chunk. The exchange
+    reads ``df`` twice, for its bounds and for its rows; write an expensive ``df`` before.
     """
+    chunks = default_chunks(df) if chunks is None else chunks
+    if chunks <= 1:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
+    ranged = df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.spark_partition_id().cast("long"))
+    return materialize(ranged, "chunks")
+
+
+def _sized(df: DataFrame, chunks: int | None, once: bool) -> tuple[DataFrame, int]:
+    """``df`` ready to be cut, and the number of its chunks."""
     wanted = default_chunks(df) if chunks is None else chunks
-    if wanted > 1 and not df.isStreaming and repeats_work(df):
+    if once and wanted > 1:
         df = materialize(df, "ordered")
         wanted = default_chunks(df) if chunks is None else chunks
     return df, wanted
 
 
-def _levels(df: DataFrame, order: list[str]) -> list[Column]:
-    """Order columns as doubles whose lexicographic order is the row order.
+def heavy_keys(df: DataFrame, keys: list[str], chunks: int) -> Column | None:
+    """True for rows of keys that may hold more than a chunk's share of all rows; None if no key does.
 
-    A long may not fit a double exactly, so it gives its rounded value and then
-    the difference to it. NaN comes after every number. Text gives its first
-    bytes, twelve at most, and no column after it is used, as longer texts may differ.
+    A sketch of frequent items counts hashes of keys in one pass. It never misses a heavy key; a light
+    one that shares its hash is cut as well, which changes no result.
     """
-    levels = []
-    for name in order:
-        kind = df.schema[name].dataType
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            raw = F.coalesce(F.col(name).cast("binary"), F.lit(b""))
-            for at in (1, 7):
-                digits = F.rpad(F.hex(F.substring(raw, at, 6)), 12, "0")
-                levels.append(F.conv(digits, 16, 10).cast("double"))
-            break
-        if isinstance(kind, T.DateType):
-            as_double = F.coalesce(F.unix_date(F.col(name)).cast("double"), F.lit(float("-inf")))
-        else:
-            as_double = F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            levels += [F.when(F.isnan(as_double), F.lit(float("inf"))).otherwise(as_double), F.isnan(as_double).cast("double")]
-            continue
-        levels.append(as_double)
-        if isinstance(kind, T.LongType):
-            rounded = F.col(name).cast("double").try_cast("long")
-            levels.append(F.coalesce((F.col(name) - rounded).cast("double"), F.lit(0.0)))
-    return levels
-
-
-def _bounds(df: DataFrame, level: Column, chunks: int) -> list[float]:
-    values = df.select(level.alias("v"))
-    size = input_bytes(df)
-    if size is not None and size > BOUNDS_BYTES:
-        fraction = BOUNDS_BYTES / size
-        values = values.sample(fraction, seed=7)
-        if fraction < 0.01:
-            # A thin sample of very many tasks: merge it in a few before the last one.
-            values = values.repartition(64)
-    shares = [i / chunks for i in range(1, chunks)]
-    row = values.agg(F.percentile_approx("v", shares, min(10_000, 20 * chunks)).alias("q")).first()
-    return [float(v) for v in (row["q"] or [])]
-
-
-def cut_into_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
-    """Add ``_chunk``: a long that never falls as rows advance in ``order``.
-
-    Where one value of an order column fills several quantiles, the next order
-    column cuts within that value.
-    """
-    chunks = default_chunks(df) if chunks is None else chunks
-    if chunks <= 1:
-        return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    base = 2 * chunks + 2
-    df = df.withColumn(CHUNK, F.lit(0).cast("long")).withColumn("_live", F.lit(True))
-    for depth, level in enumerate(_levels(df, order)):
-        found = _bounds(df.where("_live"), level, chunks)
-        hot = [v for v, times in Counter(found).items() if times > 1]
-        splits = [-math.inf] + sorted(v for v in set(found) if math.isfinite(v)) + [math.inf]
-        df = df.withColumn("_level", F.when(F.col("_live"), level).otherwise(0.0))
-        if len(splits) > 2:
-            df = Bucketizer(splits=splits, inputCol="_level", outputCol="_bucket").transform(df)
-        else:
-            df = df.withColumn("_bucket", F.lit(0.0))
-        is_hot = F.col("_level").isin(hot) if hot else F.lit(False)
-        # A hot value opens its bucket, so it comes before the bucket's other rows.
-        step = F.col("_bucket").cast("long") * 2 + F.when(is_hot, 0).otherwise(1)
-        df = (
-            df.withColumn(CHUNK, F.col(CHUNK) * base + F.when(F.col("_live"), step).otherwise(0))
-            .withColumn("_live", F.col("_live") & is_hot)
-            .drop("_bucket", "_level")
-        )
-        if not hot or base ** (depth + 2) > 2**62:
-            break
-    return df.drop("_live")
+    most = min(2 * chunks, 10_000)
+    of = F.xxhash64(*keys)
+    sketch = F.expr(f"approx_top_k(_key, {most}, {max(10_000, 8 * most)})")
+    found = df.select(of.alias("_key")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    heavy = [item["item"] for item in found["top"] or [] if item["count"] * chunks >= found["n"]]
+    return of.isin(heavy) if heavy else None
 
 
 def ordered_scan(
@@ -142,21 +86,32 @@ def ordered_scan(
     totals: dict[str, Column] | None = None,
     chunks: int | None = None,
     keep_chunk: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """Running values over ``order`` within each combination of ``keys``.
 
     ``seq``: 0-based position; ``total``: rows of the key; ``lags``: new column ->
     column whose previous value it takes; ``sums``: new column -> expression to
     add up, current row included; ``totals``: new column -> expression added up
-    over the whole key. Keys must not be NULL.
+    over the whole key. Keys must not be NULL. ``once`` says that ``df`` costs more than a scan: it is
+    written before it is cut, as cutting reads it several times.
 
-    One shuffle of the rows, by (keys, chunk); the table of chunks is joined on
-    the same columns, so the rows do not move again.
+    Rows of light keys are shuffled once, by key. Rows of heavy keys are ranged and written, then
+    shuffled by (keys, chunk); the table of chunks is joined on the same columns, so they do not move
+    again.
     """
     lags, sums, totals = lags or {}, sums or {}, totals or {}
-    df, chunks = readable_twice(df, chunks)
-    df = cut_into_chunks(df, order, chunks)
+    df, chunks = _sized(df, chunks, once)
     part = [*keys, CHUNK]
+    if chunks > 1 and keys:
+        heavy = heavy_keys(df, keys, chunks)
+        if heavy is None:
+            chunks, df = 1, df.withColumn(CHUNK, F.lit(WHOLE).cast("long"))
+        else:
+            light = df.where(~heavy).withColumn(CHUNK, F.lit(WHOLE).cast("long"))
+            df = cut_into_chunks(df.where(heavy), order, chunks).unionByName(light)
+    else:
+        df = cut_into_chunks(df, order, chunks)
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -186,7 +141,7 @@ def ordered_scan(
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carried = df.groupBy(*part).agg(*aggs).select(
+    carried = df.where(F.col(CHUNK) != WHOLE).groupBy(*part).agg(*aggs).select(
         *part,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         *([F.sum("_n").over(whole).alias(total)] if total else []),
@@ -194,17 +149,27 @@ def ordered_scan(
         *[F.sum(f"_tot_{n}").over(whole).alias(n) for n in totals],
         *[F.lag(f"_last_{n}").over(by_chunk).alias(f"_last_{n}") for n in lags],
     )
+    # A light key is a chunk of its own.
+    alone, whole_key = F.col(CHUNK) == WHOLE, Window.partitionBy(*part)
+    if total:
+        added["_here"] = F.count(F.lit(1)).over(whole_key)
+    for name, expr in totals.items():
+        added[f"_here_{name}"] = F.sum(expr).over(whole_key)
     out = (df.withColumns(added) if added else df).join(carried, part, "left")
     fixed = {}
     if seq:
-        fixed[seq] = F.col("_at") + F.col("_before")
+        fixed[seq] = F.col("_at") + F.coalesce("_before", F.lit(0))
+    if total:
+        fixed[total] = F.when(alone, F.col("_here")).otherwise(F.col(total))
+    for name in totals:
+        fixed[name] = F.when(alone, F.col(f"_here_{name}")).otherwise(F.col(name))
     for name, source in lags.items():
         fixed[name] = F.when(F.col("_at") == 0, F.col(f"_last_{name}")[source]).otherwise(F.col(name))
     for name in sums:
         fixed[name] = F.col(name) + F.coalesce(F.col(f"_sum_{name}"), F.lit(0))
     if fixed:
         out = out.withColumns(fixed)
-    gone = ["_at", "_before"] + [f"_sum_{n}" for n in sums] + [f"_last_{n}" for n in lags]
+    gone = ["_at", "_before", "_here"] + [f"_here_{n}" for n in totals] + [f"_sum_{n}" for n in sums] + [f"_last_{n}" for n in lags]
     return out.drop(*gone, *([] if keep_chunk else [CHUNK]))
 
 
@@ -216,6 +181,7 @@ def next_at_or_after(
     right_time: str,
     out: str,
     chunks: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Forward as-of join: the least ``right_time`` not before ``left_time``.
 
@@ -230,7 +196,7 @@ def next_at_or_after(
         right.select(*keys, F.col(right_time).alias("_t"), F.lit(1).alias("_side")),
         allowMissingColumns=True,
     )
-    both, chunks = readable_twice(both, chunks)
+    both, chunks = _sized(both, chunks, once)
     both = cut_into_chunks(both, ["_t", "_side"], chunks)
     part = [*keys, CHUNK]
     found = F.when(F.col("_side") == 1, F.col("_t"))
@@ -246,7 +212,8 @@ def next_at_or_after(
 
 
 def last_at_or_before(
-    left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: str, out: str, chunks: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: str, out: str, chunks: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Backward as-of join: ``out`` is the whole right row with the largest ``right_time`` not after the left time.
 
@@ -259,7 +226,7 @@ def last_at_or_before(
         right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*rcols).alias("_found")),
         allowMissingColumns=True,
     )
-    both, chunks = readable_twice(both, chunks)
+    both, chunks = _sized(both, chunks, once)
     both = cut_into_chunks(both, ["_t", "_side"], chunks)
     part = [*keys, CHUNK]
     behind = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)

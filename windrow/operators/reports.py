@@ -164,7 +164,7 @@ def percentiles(
     """Exact percentiles and row count, from ranks instead of one sorted task."""
     keys = list(keys)
     ranked = ordered_scan(
-        rows.where(F.col(column).isNotNull()), keys, [column, *tie], seq="_seq", total="_n", chunks=chunks
+        rows.where(F.col(column).isNotNull()), keys, [column, *tie], seq="_seq", total="_n", chunks=chunks, once=True,
     )
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[_percentile(column, s).alias(name) for name, s in shares.items()]
@@ -176,7 +176,7 @@ def latency_stats(latency: DataFrame, tie: list[str] = ("event_id",), chunks: in
     missed = F.col("latency_ms").isNull().cast("int")
     ranked = ordered_scan(
         latency.withColumns({"_all": F.lit(1), "_missed": missed}), ["_all"], ["_missed", "latency_ms", *tie],
-        seq="_seq", totals={"_n": 1 - F.col("_missed")}, chunks=chunks,
+        seq="_seq", totals={"_n": 1 - F.col("_missed")}, chunks=chunks, once=True,
     )
     return ranked.groupBy("_all").agg(
         F.count(F.lit(1)).alias("n_bursts"), F.count("latency_ms").alias("detected"), F.sum("_missed").alias("missed"),

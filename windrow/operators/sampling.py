@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.operators.ordered import ordered_scan
-from windrow.storage import materialize, repeats_work
+from windrow.storage import materialize
 
 HASH = "_hash"
 PREFIX = 4
@@ -57,11 +57,6 @@ def _below(hash_col: Column, cut: str | None) -> Column:
     return F.lit(True) if cut is None else hash_col <= cut
 
 
-def _read_cheaply(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table if reading them again would repeat more than a scan."""
-    return materialize(rows, "sampled") if repeats_work(rows) else rows
-
-
 def class_sizes(windows: DataFrame, label: str = "label") -> dict[int, int]:
     return {r[label]: r["count"] for r in windows.groupBy(label).count().collect()}
 
@@ -71,7 +66,7 @@ def undersample(windows: DataFrame, key: list[str], ratio: float = 2.0, seed: in
 
     Without attack windows nothing is dropped.
     """
-    windows = _read_cheaply(windows)
+    windows = materialize(windows, "sampled")  # read once per class and round
     sizes = class_sizes(windows)
     cap = int(sizes.get(1, 0) * ratio)
     if not sizes.get(1) or sizes.get(0, 0) <= cap:
@@ -83,7 +78,7 @@ def undersample(windows: DataFrame, key: list[str], ratio: float = 2.0, seed: in
 
 def stratified_split(windows: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` = train / test with the exact test share of each class."""
-    windows = _read_cheaply(windows)
+    windows = materialize(windows, "sampled")  # read once per class and round
     hashed = windows.withColumn(HASH, hash_of(seed, key))
     is_train = F.lit(False)
     for label, size in sorted(class_sizes(windows).items()):
@@ -102,6 +97,6 @@ def stratified_folds(windows: DataFrame, key: list[str], k: int = 5, seed: int =
 
 def sample_n(rows: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement; all of them when there are no more."""
-    hashed = _read_cheaply(rows).withColumn(HASH, hash_of(seed, key))
+    hashed = materialize(rows, "sampled").withColumn(HASH, hash_of(seed, key))
     cut = cut_at_rank(hashed.select(HASH), n)
     return hashed.where(_below(F.col(HASH), cut)).drop(HASH)

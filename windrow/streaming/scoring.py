@@ -30,7 +30,7 @@ from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
 from windrow.operators.ordered import ordered_scan
 from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
-from windrow.storage import delete_path
+from windrow.storage import delete_path, scratch
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
 
 UNKNOWN_TOKEN = -1
@@ -127,6 +127,10 @@ class StreamWindows:
         self.carry = [c for c in carry if c not in (*keys, *order)]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            self._advance(batch, batch_id)
+
+    def _advance(self, batch: DataFrame, batch_id: int) -> None:
         # The size of a batch is not known beforehand, so it is always cut.
         chunks = self.chunks or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys, phase = self.keys, live_phase(self.window, self.stride)
