@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import discard, partition_offsets, ship, written
-from windrow.llm.tokens import draw_key, encoded_slices, encoder, give_back, release_encoders, scramble
+from windrow.llm.tokens import binary_rows, draw_key, encoded_slices, encoder, give_back, release_encoders, scramble
 from windrow.storage import broadcast_rows
 
 BLOCK_TOKENS = 500_000
@@ -123,11 +123,9 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             low = np.where(known, nameless + np.searchsorted(bounds, doc_id, side="left"), 0)
             high = np.where(known, nameless + np.searchsorted(bounds, doc_id, side="right"), max(nameless - 1, 0))
             at = low + (draw * (high - low + 1) >> 31)
-            raw = memoryview(ids).cast("B")
-            spans = [raw[width * a:width * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([
                 pa.array(at.astype(np.int32)), batch.column(0), pa.array(draw), pa.array(np.full(n, part, np.int32)),
-                pa.array(np.arange(seen, seen + n)), pa.array(np.full(n, width, np.int32)), pa.array(spans, pa.binary()),
+                pa.array(np.arange(seen, seen + n)), pa.array(np.full(n, width, np.int32)), binary_rows(ids, ends[1:]),
             ], names=["range", "doc_id", "draw", "read_part", "read_row", "width", "ids"])
             seen += n
 
@@ -243,11 +241,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 counts = decode_values(row["count_control"], row["count_data"], row["docs"]).astype(np.int64)
                 ids = id_of[decode_values(row["control"], row["data"], row["tokens"])]
                 ends = np.cumsum(counts)
-                raw = memoryview(ids).cast("B")
-                spans = [raw[4 * a:4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - counts), pa.array(counts),
-                    pa.array(spans, pa.binary()),
+                    binary_rows(ids, ends),
                 ], names=["doc_id", "start", "n_tokens", "ids"])
             give_back()
 

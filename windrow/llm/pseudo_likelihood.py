@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, written
-from windrow.llm.tokens import encoded_slices, encoder, ragged, release_encoders
+from windrow.llm.tokens import binary_rows, encoded_slices, encoder, ragged, release_encoders
 
 SIDE = 2
 HIDDEN = 16
@@ -36,7 +36,7 @@ ROUNDS = 3
 MASK = 16
 BATCH = 4096
 RATE = 0.01
-CHUNK = 8192
+CHUNK = 512
 TOKENS_AT_ONCE = 1_000_000
 PIECE = 4096
 
@@ -100,29 +100,52 @@ def log_probabilities(w: dict, v: Vocabulary, ids: np.ndarray, counts: np.ndarra
     around, cls = contexts(v.row[ids], counts), v.cls[ids]
     out = np.empty(len(ids), np.float64)
     for at in range(0, len(ids), CHUNK):
-        logits = _hidden(w, around[:, at:at + CHUNK]) @ w["out"]
-        logits += w["out_bias"]
-        np.minimum(logits, 80, out=logits)
-        own = logits[np.arange(len(logits)), cls[at:at + CHUNK]]
-        out[at:at + CHUNK] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
+        p = _logits(w, _hidden(w, around[:, at:at + CHUNK]))
+        own = p[np.arange(len(p)), cls[at:at + CHUNK]]
+        out[at:at + CHUNK] = own - np.log(_exp_sums(p))
     return out + v.log_share[ids]
 
 
+def _logits(w: dict, h: np.ndarray) -> np.ndarray:
+    p = h @ w["out"]
+    p += w["out_bias"]
+    return np.minimum(p, 80, out=p)
+
+
+def _exp_sums(p: np.ndarray) -> np.ndarray:
+    """Row sums of exp(p), which replaces ``p``; a product with ones adds up faster than a sum by rows."""
+    np.exp(p, out=p)
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 def gradients(w: dict, around: np.ndarray, cls: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean negative log-probability of the classes, and its value."""
-    n = len(cls)
+    """Gradients of the mean negative log-probability of the classes, and its value.
+
+    A few hundred positions are worked on at a time, so that their class scores stay in the cache.
+    """
+    n, loss = len(cls), 0.0
     h = _hidden(w, around)
-    p = np.exp(np.minimum(h @ w["out"] + w["out_bias"], 80))
-    p /= p.sum(axis=1, keepdims=True)
-    loss = -float(np.log(p[np.arange(n), cls] + 1e-30).mean())
-    p[np.arange(n), cls] -= 1
-    p /= n
-    back = (p @ w["out"].T) * (1 - h * h)
+    out, out_bias = np.zeros_like(w["out"]), np.zeros_like(w["out_bias"])
+    back = np.empty_like(h)
+    turned = np.ascontiguousarray(w["out"].T)
+    for at in range(0, n, CHUNK):
+        part, mine = h[at:at + CHUNK], cls[at:at + CHUNK]
+        p = _logits(w, part)
+        rows = np.arange(len(mine))
+        own = p[rows, mine]
+        sums = _exp_sums(p)
+        loss += float((np.log(sums) - own).sum())
+        p *= (1 / (sums * n)).astype(np.float32)[:, None]
+        p[rows, mine] -= np.float32(1 / n)
+        np.matmul(p, turned, out=back[at:at + CHUNK])
+        out += part.T @ p
+        out_bias += np.ones(len(mine), np.float32) @ p
+    back *= 1 - h * h
     embed = np.zeros_like(w["embed"])
     for i in range(2 * SIDE):
         for k in range(HIDDEN):
             embed[i, :, k] = np.bincount(around[i], back[:, k], INPUTS + 1)
-    return {"embed": embed, "bias": back.sum(axis=0), "out": h.T @ p, "out_bias": p.sum(axis=0)}, loss
+    return {"embed": embed, "bias": back.sum(axis=0), "out": out, "out_bias": out_bias}, loss / max(n, 1)
 
 
 class Adam:
@@ -159,9 +182,7 @@ def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
         coder = encoder(tokenizer)
         for batch, flat, offsets in (x for b in batches for x in encoded_slices(coder, b, 1)):
-            raw = memoryview(flat.astype("<u4")).cast("B")
-            spans = [raw[4 * a:4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(flat.astype("<u4"), offsets[1:])], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids binary")

@@ -97,6 +97,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def binary_rows(values: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """One binary value for each run of ``values`` that ends before a stop, over the same memory."""
+    offsets = np.zeros(len(stops) + 1, np.int32)
+    offsets[1:] = stops * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 class Encoder:
     """Ids of whole texts, put together from the ids of their words.
 
