@@ -36,7 +36,7 @@ ROUNDS = 3
 MASK = 16
 BATCH = 4096
 RATE = 0.01
-CHUNK = 512
+CHUNK = 1024
 TOKENS_AT_ONCE = 1_000_000
 PIECE = 4096
 
@@ -143,8 +143,10 @@ def gradients(w: dict, around: np.ndarray, cls: np.ndarray) -> tuple[dict, float
     back *= 1 - h * h
     embed = np.zeros_like(w["embed"])
     for i in range(2 * SIDE):
-        for k in range(HIDDEN):
-            embed[i, :, k] = np.bincount(around[i], back[:, k], INPUTS + 1)
+        order = np.argsort(around[i].astype(np.int16), kind="stable")
+        rows = around[i][order]
+        heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        embed[i, rows[heads]] = np.add.reduceat(back[order], heads, axis=0)
     return {"embed": embed, "bias": back.sum(axis=0), "out": out, "out_bias": out_bias}, loss / max(n, 1)
 
 
