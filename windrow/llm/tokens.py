@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words kept, and bytes of text put together at a time: the arrays of a slice are some thirty times its size.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
 SLICE_BYTES = 1_000_000
 CUT = re.compile(r"\s*\S+|\s+")
 # White space other than space and line feed: single bytes, and what follows a lead byte of UTF-8.
