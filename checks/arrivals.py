@@ -1,4 +1,4 @@
-"""The events table arriving as a stream: four slices of files by time of arrival, then a heartbeat."""
+"""The events table arriving as a stream: four slices of files by time of arrival."""
 
 from __future__ import annotations
 
@@ -24,18 +24,20 @@ def slice_sql(arrival: str) -> str:
     return f"least({SLICES - 1}, greatest(0, date_diff('day', DATE '{FIRST}', CAST({arrival} AS DATE)) // {SLICE_DAYS}))"
 
 
-def arriving(spark, sf, folder: str, arrival: str = IN_ORDER):
+def arriving(spark, sf, folder: str, arrival: str = IN_ORDER, heartbeat: bool = False):
     """Stream of the table's files, one slice a batch, oldest first, read as a call log.
 
     The heartbeat is one row far ahead of all others, after which the watermark has passed them.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     raw = spark.read.parquet(f"{sf}/events.parquet")
     late = F.expr(f"least({SLICES - 1}, greatest(0, datediff(date({arrival}), DATE '{FIRST}') div {SLICE_DAYS}))")
     files = raw.count() // ROWS_PER_FILE + 1
     for i in range(SLICES):
         raw.where(late == i).repartition(files).write.mode("append").parquet(folder)
-    beat = raw.limit(1).select(*[
-        F.lit(-1).cast("long").alias(c) if c in ("event_id", "user_id")
-        else F.lit("2200-01-01").cast(raw.schema[c].dataType).alias(c) if c == "ts" else F.col(c) for c in raw.columns])
-    beat.write.mode("append").parquet(folder)
+    if heartbeat:
+        raw.limit(1).select(*[
+            F.lit(-1).cast("long").alias(c) if c in ("event_id", "user_id")
+            else F.lit("2200-01-01").cast(raw.schema[c].dataType).alias(c) if c == "ts" else F.col(c) for c in raw.columns
+        ]).write.mode("append").parquet(folder)
     return sg.as_log(ingest.stream_events(spark, folder, raw.schema, files_per_batch=files))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import surrogate as sg
@@ -12,10 +13,10 @@ from checks.arrivals import DAY_MS, IN_ORDER, SHUFFLED, SHUFFLED_SQL, arriving,
 from checks.sequences import bags, labeled, spine_sql
 from windrow.functions.weights import Idf
 from windrow.models import forest as rf
-from windrow.models.isolation import train_isolation_forest
+from windrow.models.isolation import CONTAMINATION, train_isolation_forest
 from windrow.operators import reports as rp
 from windrow.operators import sampling as sp
-from windrow.operators import windows as wn
+from windrow.operators.metrics import ranking_quality
 from windrow.plans import evaluate as evaluation
 from windrow.plans import train as training
 from windrow.storage import materialize, shared_dir
@@ -24,7 +25,6 @@ from windrow.streaming import ingest, keyed, scoring
 QUERIES, ORACLE = {}, {}
 KEY = ["session_id", "window_id"]
 N = sg.VOCAB.n_features(2)
-TREES = 20
 HOUR = 3_600_000_000_000
 
 
@@ -50,20 +50,36 @@ def vectors(spark, sf):
 def fitted(spark, sf):
     v = vectors(spark, sf)
     balanced = sp.undersample(v.where("session_id = 1"), KEY, 2.0)
-    return rf.train_forest(balanced, trees=TREES, depth=10), v
+    return rf.train_forest(balanced), v
 
 
-@query()
+# A model's numbers depend on its random draws, so the SQL states what must hold for any draw: which
+# rows there are, their labels, and that every value keeps its rule.
+FEATURES = sg.with_sql(sg.EV, sg.DICT)
+WINDOWS = sg.with_sql(sg.SEQ, sg.WIN)
+
+
+@query(FEATURES + " SELECT feature_idx, feature, true AS in_range, 1.0::DOUBLE AS total FROM feat")
 def rf_train(spark, sf):
-    """Importance of every feature in the fitted forest."""
+    """Importance of every feature in the fitted forest: between 0 and 1, together 1."""
     model, _ = fitted(spark, sf)
-    return rf.importances(model, sg.VOCAB, 2, spark)
+    found = rf.importances(model, sg.VOCAB, 2, spark)
+    return found.select(
+        "feature_idx", "feature", F.col("importance").between(0, 1).alias("in_range"),
+        F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("total"))
 
 
-@query()
+@query(WINDOWS + """
+SELECT session_id, window_id, label, true AS in_range, true AS pred_follows, true AS better_than_chance FROM wlab WHERE session_id = 2""")
 def rf_score(spark, sf):
+    """Every test window scored: a probability, the prediction it implies, and a ranking that tells the classes apart."""
     model, v = fitted(spark, sf)
-    return rf.score_forest(model, v.where("session_id = 2")).select(*KEY, "label", "probability", "pred")
+    scored = materialize(
+        rf.score_forest(model, v.where("session_id = 2")).select(*KEY, "label", "probability", "pred"), "scored")
+    better = ranking_quality(scored).first()["auc"] > 0.5
+    return scored.select(
+        *KEY, "label", F.col("probability").between(0, 1).alias("in_range"),
+        (F.col("pred") == (F.col("probability") >= 0.5).cast("int")).alias("pred_follows"), F.lit(better).alias("better_than_chance"))
 
 
 @query()
@@ -72,34 +88,36 @@ def rf_importance(spark, sf):
     return rp.top_by_importance(rf.importances(model, sg.VOCAB, 2, spark), 5)
 
 
-@query()
+@query("""
+SELECT (t.i * 9 + d.i * 3 + l.i)::INTEGER AS ordinal, t.v::INTEGER AS trees, d.v::INTEGER AS depth, l.v::INTEGER AS leaf, true AS in_range
+FROM (VALUES (0, 100), (1, 200), (2, 300)) t(i, v), (VALUES (0, 30), (1, 10), (2, 20)) d(i, v), (VALUES (0, 1), (1, 2), (2, 5)) l(i, v)""")
 def rf_grid(spark, sf):
+    """The whole search of 27 points, each cross-validated over five folds."""
     v = vectors(spark, sf).where("session_id = 1")
-    grid = {"numTrees": [5, 10], "maxDepth": [5], "minInstancesPerNode": [1, 5]}
-    _, results = rf.cross_validate(v, KEY, grid=grid, folds=3)
-    rows = [(i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], float(m), float(d)) for i, (p, m, d) in enumerate(results)]
-    return spark.createDataFrame(rows, "ordinal int, trees int, depth int, leaf int, f1 double, std_f1 double")
+    _, results = rf.cross_validate(v, KEY, grid=rf.FOREST_GRID, folds=5)
+    rows = [
+        (i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], 0 <= float(m) <= 1 and 0 <= float(d) <= 0.5)
+        for i, (p, m, d) in enumerate(results)
+    ]
+    return spark.createDataFrame(rows, "ordinal int, trees int, depth int, leaf int, in_range boolean")
 
 
 @query()
 def window_grid(spark, sf):
-    pairs = [(20, 10), (30, 15)]
-    return training.tune_windows(
-        labeled(spark, sf), sg.VOCAB, [], strides=pairs, per_pid=False, ngram=2, folds=3, trees=5, min_attack_frac=sg.FRAC
-    )
+    """Every stride of two window sizes, cross-validated with the search's own forests."""
+    return training.tune_windows(labeled(spark, sf), sg.VOCAB, [20, 40], per_pid=False, ngram=2, min_attack_frac=sg.FRAC)
 
 
 @query()
 def cross_session_eval(spark, sf):
+    """All window sizes, trained on one session and tested on the other."""
     e = labeled(spark, sf)
-    return evaluation.cross_session(
-        e.where("session_id = 1"), e.where("session_id = 2"), sg.VOCAB, windows=(20, 40), trees=10, min_attack_frac=0.15
-    )
+    return evaluation.cross_session(e.where("session_id = 1"), e.where("session_id = 2"), sg.VOCAB, min_attack_frac=0.1)
 
 
-@query()
+@query(WINDOWS + " SELECT session_id, window_id, true AS same FROM wlab WHERE session_id = 2")
 def model_roundtrip(spark, sf):
-    """Scores of a detector before saving and after loading, side by side."""
+    """Scores of a detector before saving and after loading are the same."""
     model, v = fitted(spark, sf)
     path = f"{shared_dir(spark)}/detector-{uuid.uuid4().hex}"
     saved = rf.Detector(model, list(sg.VOCAB.tokens), sorted(sg.VOCAB.critical), sg.W, sg.S, False, 2)
@@ -108,42 +126,46 @@ def model_roundtrip(spark, sf):
     test = v.where("session_id = 2")
     before = rf.score_forest(saved.model, test).select(*KEY, F.col("probability").alias("before"))
     after = rf.score_forest(loaded.model, test).select(*KEY, F.col("probability").alias("after"))
-    return before.join(after, KEY).withColumn("same", F.col("before") == F.col("after"))
+    return before.join(after, KEY).select(*KEY, (F.col("before") == F.col("after")).alias("same"))
 
 
 def arrays(spark, sf):
     return vectors(spark, sf).select(*KEY, "label", vector_to_array("features").alias("x"))
 
 
-@query()
+@query(WINDOWS + " SELECT count(*) AS n_windows, true AS share_as_asked FROM wlab WHERE session_id = 1 AND label = 0")
 def iforest_train(spark, sf):
-    """Share of normal training windows above the fitted offset."""
+    """Normal training windows above the fitted offset: the share asked for."""
     normal = arrays(spark, sf).where("session_id = 1 AND label = 0")
-    model = train_isolation_forest(normal, KEY, trees=50)
+    model = train_isolation_forest(normal, KEY)
     flagged = model.score(normal)
-    return flagged.agg(F.count(F.lit(1)).alias("n_windows"), F.avg("pred").alias("flagged_share"))
+    return flagged.agg(
+        F.count(F.lit(1)).alias("n_windows"), (F.abs(F.avg("pred") - CONTAMINATION) < 0.01).alias("share_as_asked"))
 
 
-@query()
+@query(WINDOWS + " SELECT session_id, window_id, label, true AS in_range, true AS pred_follows FROM wlab WHERE session_id = 2")
 def iforest_score(spark, sf):
+    """Every test window scored: an anomaly is what lies above the offset."""
     a = arrays(spark, sf)
-    model = train_isolation_forest(a.where("session_id = 1 AND label = 0"), KEY, trees=50)
-    return model.score(a.where("session_id = 2")).select(*KEY, "label", "score", "pred")
+    model = train_isolation_forest(a.where("session_id = 1 AND label = 0"), KEY)
+    return model.score(a.where("session_id = 2")).select(
+        *KEY, "label", F.col("score").between(-1, 1).alias("in_range"),
+        (F.col("pred") == (F.col("score") > 0).cast("int")).alias("pred_follows"))
 
 
-@query()
+@query(WINDOWS + " SELECT session_id, window_id, label, true AS uncorrelated FROM wlab")
 def project_2d(spark, sf):
-    return rf.project_2d(vectors(spark, sf), [*KEY, "label"])
+    """All windows on two components, which share no variance."""
+    flat = materialize(rf.project_2d(vectors(spark, sf), [*KEY, "label"]), "projected")
+    spread = flat.agg(F.abs(F.covar_pop("x", "y")).alias("c"), F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).first()
+    return flat.select(*KEY, "label", F.lit(spread["c"] <= 1e-9 * max(1.0, spread["x"] * spread["y"])).alias("uncorrelated"))
 
 
 # --- streams -------------------------------------------------------------------------
 
 def stream(spark, sf):
-    """The events file as a stream, mapped to the log view."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = ingest.stream_events(spark, sf, schema, pathGlobFilter="events.parquet")
-    return sg.as_log(raw)
+    """The events table arriving in four batches, mapped to the log view."""
+    return arriving(spark, sf, f"{run_folder(spark)}/files")
 
 
 def run_folder(spark):
@@ -152,11 +174,25 @@ def run_folder(spark):
 
 @query(sg.with_sql(sg.EV) + " SELECT event_id, session_id, pid, syscall_name, timestamp_ns FROM ev")
 def stream_ingest(spark, sf):
+    """Events stored by session, read back."""
     run = run_folder(spark)
-    ingest.store_and_score(stream(spark, sf), f"{run}/checkpoint", store=f"{run}/store").awaitTermination()
+    ingest.store_events(stream(spark, sf), f"{run}/store", f"{run}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{run}/store").select("event_id", "session_id", "pid", "syscall_name", "timestamp_ns")
 
 
+@query(sg.with_sql(sg.EV) + " SELECT event_id, session_id, pid, false AS scored FROM ev UNION ALL SELECT event_id, session_id, pid, true FROM ev")
+def stream_store_and_score(spark, sf):
+    """Each batch stored and handed to a scorer, which keeps what it was given."""
+    run = run_folder(spark)
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{run}/scored/batch={batch_id}")
+
+    ingest.store_and_score(stream(spark, sf), f"{run}/checkpoint", store=f"{run}/store", score=keep).awaitTermination()
+    sides = [spark.read.parquet(f"{run}/{name}/*").select("event_id", "session_id", "pid", F.lit(name == "scored").alias("scored")) for name in ("store", "scored")]
+    return sides[0].union(sides[1])
+
+
 @query(sg.with_sql(sg.EV) + " SELECT session_id, syscall_name, count(*) AS n FROM ev GROUP BY ALL")
 def stream_counters(spark, sf):
     run = run_folder(spark)
@@ -175,15 +211,10 @@ def stream_counters(spark, sf):
 @query(sg.with_sql(sg.EV) + """
 SELECT session_id, count(*) AS n_events, count(DISTINCT pid) AS unique_pids, count(DISTINCT uid) AS unique_uids FROM ev GROUP BY session_id""")
 def stream_exact_counters(spark, sf):
+    """Exact numbers after the last batch, from bitmaps joined batch by batch."""
     run = run_folder(spark)
-
-    def latest(batch, batch_id):
-        ingest.exact_counters(batch).write.mode("overwrite").parquet(f"{run}/counts/{batch_id}")
-
-    q = (
-        ingest.running_groups(stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(latest)
-        .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
-    )
+    counters = ingest.ExactCounters(f"{run}/counts", f"{run}/state")
+    q = ingest.store_and_score(stream(spark, sf), f"{run}/checkpoint", score=counters)
     q.awaitTermination()
     return spark.read.parquet(f"{run}/counts/{q.lastProgress['batchId']}")
 
@@ -191,7 +222,7 @@ def stream_exact_counters(spark, sf):
 def released(spark, sf, arrival=IN_ORDER, delay_ms=0):
     """Windows and late events of the stream, released by the watermark."""
     run = run_folder(spark)
-    live = scoring.live_events(arriving(spark, sf, f"{run}/files", arrival), sg.DENYLIST)
+    live = scoring.live_events(arriving(spark, sf, f"{run}/files", arrival, heartbeat=True), sg.DENYLIST)
     windows = keyed.released_windows(
         live, sg.VOCAB, keys=sg.PID_KEYS, window=sg.W, delay_ms=delay_ms, bucket_ms=DAY_MS, risky=["error", "purchase"])
     keyed.start_released(windows, f"{run}/windows", f"{run}/late", f"{run}/checkpoint").awaitTermination()
@@ -253,7 +284,8 @@ def critical_share(window):
 
     def score(windows):
         counts = [F.coalesce(F.try_element_at("bag", F.lit(i)), F.lit(0)) for i in (1, 2)]
-        return windows.withColumn("probability", (counts[0] + counts[1]) / F.lit(float(window)))
+        weights = F.transform_values("bag", lambda k, v: v.cast("double"))
+        return windows.withColumn("probability", (counts[0] + counts[1]) / F.lit(float(window))).withColumn("weights", weights)
 
     return score
 
@@ -320,18 +352,29 @@ fired AS (SELECT session_id, pid, min(t) AS t FROM firsts GROUP BY session_id, p
           JOIN nxt n ON n.session_id = f.session_id AND n.pid = f.pid AND n.t = f.t WHERE n.nt IS NOT NULL)
 SELECT session_id, pid, end_seq, event_id, t AS close_ts FROM fired JOIN firsts USING (session_id, pid, t)"""
 RISKY = ["error", "purchase"]
-
-
-@query(PROCESS_REPLAY)
+# The five heaviest features of each alert's window, heaviest first.
+NAMED_ALERTS = PROCESS_REPLAY.replace(
+    "SELECT session_id, pid, end_seq, event_id, t AS close_ts FROM fired", """,
+alerts AS (SELECT session_id, pid, end_seq, event_id, t AS close_ts FROM fired""").replace(
+    "WHERE n.nt IS NOT NULL)\n,", "WHERE n.nt IS NOT NULL),") + """),
+weighed AS (
+  SELECT a.*, v.idx, v.token, count(*) AS c FROM alerts a
+  JOIN seq s ON s.session_id = a.session_id AND s.pid = a.pid AND s.pseq BETWEEN a.end_seq - 19 AND a.end_seq
+  JOIN (VALUES (0, 'click'), (1, 'purchase'), (2, 'error'), (3, 'view')) v(idx, token) ON v.token = s.syscall_name GROUP BY ALL)
+SELECT session_id, pid, end_seq, event_id, close_ts, string_agg(concat(token, '=', c, '.00'), ',' ORDER BY c DESC, idx) AS top_features
+FROM weighed GROUP BY ALL"""
+
+
+@query(NAMED_ALERTS)
 def replay_process_alerts(spark, sf):
     fired = scoring.replay_processes(
         labeled(spark, sf), sg.VOCAB, critical_share(20), keys=sg.PID_KEYS, window=20, ngram=1, risky=RISKY,
         cooldown_ns=48 * HOUR, threshold=0.3,
     )
-    return fired.select("session_id", "pid", "end_seq", "event_id", "close_ts")
+    return fired.select("session_id", "pid", "end_seq", "event_id", "close_ts", F.concat_ws(",", "top_features").alias("top_features"))
 
 
-@query(PROCESS_REPLAY)
+@query(NAMED_ALERTS)
 def stream_process_alerts(spark, sf):
     """The same alerts, raised live."""
     run = run_folder(spark)
@@ -342,4 +385,5 @@ def stream_process_alerts(spark, sf):
     live = scoring.live_events(stream(spark, sf), sg.DENYLIST)
     scoring.start_process_alerts(
         live, sg.VOCAB, writer, f"{run}/checkpoint", keys=sg.PID_KEYS, window=20, ngram=1, risky=RISKY).awaitTermination()
-    return spark.read.parquet(f"{run}/alerts/*").select("session_id", "pid", "end_seq", "event_id", "close_ts")
+    return spark.read.parquet(f"{run}/alerts/*").select(
+        "session_id", "pid", "end_seq", "event_id", "close_ts", F.concat_ws(",", "top_features").alias("top_features"))

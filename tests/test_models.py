@@ -1,12 +1,14 @@
+import os
 import random
 
 import pytest
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
-from windrow.functions.weights import Idf
+from windrow.functions.weights import Idf, vectorize
 from windrow.models import forest as rf
 from windrow.models.isolation import IsolationForest, train_isolation_forest
+from windrow.operators import windows as wn
 from windrow.plans import evaluate as ev
 from windrow.plans import train as tr
 from windrow.streaming.scoring import detector_scores, replay
@@ -150,3 +152,75 @@ def test_tfidf_of_known_counts(spark):
     a, b = math.log(4 / 3) + 1, (1 + math.log(4)) * (math.log(2) + 1)
     assert got[0] == pytest.approx({0: a / math.hypot(a, b), 1: b / math.hypot(a, b)})
     assert got[1] == pytest.approx({0: 1.0}) and got[2] == {}
+
+
+def test_vectors_are_as_long_as_their_bags(spark, folder):
+    w = spark.createDataFrame([(0, {7: 1.5, 2: 4.0, 3: 0.0}), (1, {})], "id int, weights map<int,double>")
+    vectorize(w, 398).write.parquet(f"{folder}/v")
+    stored = spark.read.parquet(f"{folder}/v").orderBy("id")
+    got = [r["features"] for r in stored.collect()]
+    assert [(v.size, list(v.indices), list(v.values)) for v in got] == [(398, [2, 7], [4.0, 1.5]), (398, [], [])]
+
+
+def test_sparse_and_dense_vectors_score_the_same(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rnd = random.Random(4)
+    rows = [(i, i % 2, {k: rnd.random() + (i % 2) for k in rnd.sample(range(12), 4)}) for i in range(80)]
+    sparse = vectorize(spark.createDataFrame(rows, "id int, label int, weights map<int,double>"), 12).cache()
+    dense = sparse.withColumn("features", array_to_vector(vector_to_array("features")))
+    model = rf.train_forest(sparse, trees=5, depth=5)
+    a, b = ({r["id"]: r["probability"] for r in rf.score_forest(model, v).collect()} for v in (sparse, dense))
+    assert a == b
+
+
+def small_detector(spark, label=1):
+    v = spark.createDataFrame([(i, i % 2, {0: float(i % 2), 1: 1.0}) for i in range(20)], "id int, label int, weights map<int,double>")
+    return rf.Detector(rf.train_forest(vectorize(v, 21), trees=2, depth=2), list(VOCAB.tokens), sorted(VOCAB.critical), window=label)
+
+
+def test_a_save_without_isolation_leaves_none(spark, folder):
+    rows = spark.createDataFrame([(i, [float(i), 0.5 * i]) for i in range(40)], "id int, x array<double>")
+    isolation = train_isolation_forest(rows, ["id"], trees=2, sample=16)
+    path = f"{folder}/store"
+    small_detector(spark).save(spark, path, isolation)
+    assert len(IsolationForest.load(spark, rf.stored_isolation(spark, path)).trees) == 2
+    small_detector(spark, 2).save(spark, path)
+    assert rf.stored_isolation(spark, path) is None and rf.Detector.load(spark, path).window == 2
+    assert len(os.listdir(path)) == 2
+
+
+def test_a_save_that_breaks_off_leaves_the_version_before(spark, folder, monkeypatch):
+    path = f"{folder}/store"
+    small_detector(spark, 5).save(spark, path)
+    broken = small_detector(spark, 6)
+
+    class Breaks:
+        def save(self, *_):
+            raise OSError("lost")
+
+    with pytest.raises(OSError):
+        broken.save(spark, path, Breaks())
+    assert rf.Detector.load(spark, path).window == 5
+    broken.save(spark, path)
+    assert rf.Detector.load(spark, path).window == 6
+
+
+def test_events_are_numbered_once_for_all_shapes(spark, sessions, monkeypatch):
+    seen = []
+    number = tr.number_events
+    monkeypatch.setattr(tr, "number_events", lambda *a, **k: seen.append(1) or number(*a, **k))
+    shapes = [(40, 10), (60, 60), (50, 20)]
+    assert tr.tune_windows(sessions[0], VOCAB, [], strides=shapes, per_pid=False, trees=2, folds=2, min_attack_frac=0.1).count() == 3
+    assert len(seen) == 1
+    numbered = number(sessions[0], VOCAB, keys=["session_id"], carry=["label"])
+    pane = wn.shared_pane(shapes)
+    panes = wn.pane_counts(numbered, VOCAB, pane, keys=["session_id"], ngram=2).cache()
+    assert pane == 10
+    for w, s in shapes:
+        a = wn.windows_of_panes(panes, pane, keys=["session_id"], window=w, stride=s)
+        b = wn.bag_windows(numbered, VOCAB, keys=["session_id"], window=w, stride=s, ngram=2)
+        rows = [sorted((r["window_id"], r["label"], r["close_ts"], sorted(r["bag"].items())) for r in x.collect()) for x in (a, b)]
+        assert rows[0] == rows[1] and rows[0]
+    with pytest.raises(ValueError):
+        wn.windows_of_panes(panes, pane, keys=["session_id"], window=45, stride=10)

@@ -118,3 +118,29 @@ def test_call_names_and_labels(spark):
     assert tuple(row) == (1, 0, 1)
     same = spark.createDataFrame([(0.5,)], "p double").select(sc.decide(F.col("p"), 0.5), sc.decide(F.col("p"), 0.5, strict=True)).first()
     assert tuple(same) == (1, 0)
+
+
+def test_equal_names_in_two_folders_are_two_sessions(spark, folder):
+    import gzip
+    import os
+
+    for name in ("a", "b"):
+        os.makedirs(f"{folder}/{name}")
+        capture(f"{folder}/{name}/run.csv", [line(5, 1, "sh", 59, "execve", 3)])
+    capture(f"{folder}/a/alone.csv", [line(6, 1, "sh", 59, "execve", 3)])
+    with gzip.open(f"{folder}/b/packed.csv.gz", "wt") as f:
+        f.write(HEAD + "\n" + line(7, 1, "sh", 59, "execve", 3) + "\n")
+    ids = {r["session_id"] for r in src.read_raw_captures(spark, [f"{folder}/*/*.csv", f"{folder}/b/*.gz"]).collect()}
+    assert len(ids) == 4 and "alone" in ids and sum(i.endswith("/run") for i in ids) == 2
+
+
+def test_headers_cost_no_spark_jobs(spark, folder):
+    for i in range(6):
+        capture(f"{folder}/syscalls_{i}.csv", [line(5 + i, 1, "sh", 59, "execve", 3)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        src.read_events(spark, folder)
+        assert len(tracker.getJobIdsForGroup("headers")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -121,3 +121,25 @@ def test_top_feature_names(spark):
     df = spark.createDataFrame([(1, 0, {1: 0.9, 0: 0.4})], "session_id int, window_id long, weights map<int,double>")
     row = scoring.name_top_features(df, VOCAB, 1, ["session_id"]).first()
     assert row["top_features"] == ["b=0.90", "a=0.40"]
+
+
+def test_a_backlog_becomes_several_batches(spark, folder):
+    src = in_files(spark, log(200, seed=3), folder, 6)
+    size = max(os.path.getsize(f"{src}/{f}") for f in os.listdir(src))
+    live = ingest.stream_events(spark, src, spark.read.parquet(src).schema, bytes_per_batch=2 * size + 1)
+    seen = []
+    ingest.store_and_score(live, f"{folder}/cp", score=lambda b, i: seen.append(b.count())).awaitTermination()
+    assert sum(seen) == 200 and len(seen) == 3
+
+
+def test_exact_counters_over_batches(spark, folder):
+    rows = [(i, i, (i * 7919) % 100_003 if i % 5 else None, i, i % 3, "c", "a", 1 + i % 2, 0, "") for i in range(400)]
+    live = stream_of(spark, in_files(spark, rows, folder, 4))
+    counters = ingest.ExactCounters(f"{folder}/counts", f"{folder}/state")
+    ingest.store_and_score(live, f"{folder}/cp", score=counters).awaitTermination()
+    got = {r["session_id"]: (r["n_events"], r["unique_pids"], r["unique_uids"]) for r in spark.read.parquet(f"{folder}/counts/3").collect()}
+    for s in (1, 2):
+        mine = [r for r in rows if r[7] == s]
+        assert got[s] == (len(mine), len({r[2] for r in mine if r[2] is not None}), len({r[4] for r in mine}))
+    # One row per session, kind and range of ids; events and missing ids have a row each.
+    assert spark.read.parquet(f"{folder}/state/3").count() <= 2 * (1 + 4 + 1 + 1 + 1)

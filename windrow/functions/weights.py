@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.storage import small_table
 
@@ -76,9 +77,16 @@ def raw_weights(windows: DataFrame, out: str = "weights") -> DataFrame:
 
 
 def vectorize(windows: DataFrame, n_features: int, weights: str = "weights", out: str = "features") -> DataFrame:
-    """Dense MLlib vector of a weight map."""
-    w = F.col(weights)
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at(w, i), F.lit(0.0))
+    """Sparse MLlib vector of a weight map: as long as the map has entries other than 0.
+
+    The vector's fields are built in SQL; whole batches then pass a typed boundary, where the struct
+    becomes a vector without a value being touched.
+    """
+    entries = F.array_sort(F.filter(F.map_entries(weights), lambda e: e["value"] != 0))
+    fields = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(n_features).alias("size"),
+        F.transform(entries, lambda e: e["key"].cast("int")).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"),
     )
-    return windows.withColumn(out, array_to_vector(dense))
+    packed = windows.withColumn(out, fields)
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == out else f.dataType) for f in packed.schema])
+    return packed.mapInArrow(lambda batches: batches, schema)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from dataclasses import dataclass, field, fields
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from windrow.functions.scalars import decide
 from windrow.functions.weights import Idf
 from windrow.operators.sampling import class_sizes, stratified_folds
-from windrow.storage import small_table
+from windrow.storage import delete_path, materialize, small_table
 from windrow.vocabulary import Vocabulary
 
 # MLlib trees stop at depth 30; this stands for "no limit".
@@ -70,7 +72,9 @@ def cross_validate(
         estimator=base, estimatorParamMaps=points, evaluator=MulticlassClassificationEvaluator(**F1_OF_ATTACK),
         numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed,
     )
-    fitted = cv.fit(balanced_weights(stratified_folds(vectors, key, folds, seed)))
+    # Every fold and point reads this table again.
+    folded = materialize(balanced_weights(stratified_folds(vectors, key, folds, seed)).select("label", "features", "class_weight", "fold"), "folds")
+    fitted = cv.fit(folded)
     results = [
         ({p.name: v for p, v in point.items()}, mean, dev)
         for point, mean, dev in zip(points, fitted.avgMetrics, fitted.stdMetrics)
@@ -128,19 +132,62 @@ class Detector:
         meta["idf"] = None if self.idf is None else {"n_windows": self.idf.n_windows, "df": list(self.idf.df)}
         return meta
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Model, and metadata as one JSON line beside it, each replacing what was there."""
-        self.model.write().overwrite().save(f"{path}/forest")
-        line = spark.range(1).select(F.lit(json.dumps(self.metadata())).alias("value"))
-        line.write.mode("overwrite").text(f"{path}/metadata")
+    def save(self, spark: SparkSession, path: str, isolation=None) -> None:
+        """Store a version: parts in a folder of its own, then a manifest that names them.
+
+        The manifest is what ``load`` follows. It is written last, so a save that breaks off leaves the
+        version before it in use; parts that the new manifest does not name are deleted afterwards.
+        ``isolation`` is an isolation forest to go with the forest; without one, none is left to load.
+        """
+        version = uuid.uuid4().hex
+        self.model.write().save(f"{path}/{version}/forest")
+        if isolation is not None:
+            isolation.save(spark, f"{path}/{version}/isolation")
+        manifest = {
+            "version": version, "forest": f"{version}/forest", "isolation": f"{version}/isolation" if isolation is not None else None,
+            "detector": self.metadata(),
+        }
+        before = [m for m in _folders(spark, path) if m.startswith(MANIFEST)]
+        number = 1 + max((int(m.removeprefix(MANIFEST)) for m in before), default=0)
+        line = spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).coalesce(1)
+        line.write.text(f"{path}/{MANIFEST}{number:09d}")
+        for name in _folders(spark, path):
+            stored = name.startswith(MANIFEST) or re.fullmatch("[0-9a-f]{32}", name)
+            if stored and name not in (version, f"{MANIFEST}{number:09d}"):
+                delete_path(spark, f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Detector":
-        meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+        manifest = _manifest(spark, path)
+        meta = manifest["detector"]
         idf = meta.pop("idf")
         for derived in ("n_features", "n_features_unigram", "pairs"):
             meta.pop(derived)
         return cls(
-            model=RandomForestClassificationModel.load(f"{path}/forest"),
+            model=RandomForestClassificationModel.load(f"{path}/{manifest['forest']}"),
             idf=Idf(idf["n_windows"], tuple(idf["df"])) if idf else None, **meta,
         )
+
+
+MANIFEST = "manifest-"
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store; none if it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """The latest manifest that was written whole."""
+    done = [m for m in sorted(_folders(spark, path)) if m.startswith(MANIFEST) and "_SUCCESS" in _folders(spark, f"{path}/{m}")]
+    if not done:
+        raise ValueError(f"no detector is stored at {path}")
+    return json.loads(spark.read.text(f"{path}/{done[-1]}").first()["value"])
+
+
+def stored_isolation(spark: SparkSession, path: str) -> str | None:
+    """Where the isolation forest of a stored detector lies, None if it has none."""
+    part = _manifest(spark, path)["isolation"]
+    return f"{path}/{part}" if part else None

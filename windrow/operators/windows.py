@@ -57,13 +57,14 @@ def live_phase(window: int, stride: int) -> int:
 
 
 def _window_range(
-    window: int, stride: int, phase: int, fresh: str | None = None
+    window: int, stride: int, phase: int, fresh: str | None = None, pane: int | None = None
 ) -> tuple[Column, Column, Column]:
     """Pane of an event and the first and last window holding that pane.
 
-    ``fresh`` names a column with a position; windows that end before it are left out.
+    ``fresh`` names a column with a position; windows that end before it are left out. ``pane`` is a
+    divisor of window and stride, their greatest one by default.
     """
-    g = gcd(window, stride)
+    g = pane or gcd(window, stride)
     per_window, per_stride = window // g, stride // g
     pane = int_div(F.col("seq") - phase, g)
     first = F.greatest(F.lit(0).cast("long"), int_div(F.col("pane") - per_window + per_stride, per_stride))
@@ -87,34 +88,20 @@ def _spread(panes: DataFrame, first: Column, last: Column) -> DataFrame:
     )
 
 
-def bag_windows(
-    numbered: DataFrame,
-    vocab: Vocabulary,
-    *,
-    keys: list[str],
-    window: int = 20,
-    stride: int = 10,
-    ngram: int = 1,
-    min_attack: int = 1,
-    min_attack_frac: float = 0.0,
-    phase: int = 0,
-    time_col: str = "timestamp_ns",
-    techniques: bool = False,
-    fresh: str | None = None,
+def shared_pane(shapes: list[tuple[int, int]]) -> int:
+    """The largest pane of which every (window, stride) is a multiple."""
+    return gcd(*[n for shape in shapes for n in shape])
+
+
+def pane_counts(
+    numbered: DataFrame, vocab: Vocabulary, pane: int, *, keys: list[str], ngram: int = 1, phase: int = 0,
+    time_col: str = "timestamp_ns", techniques: bool = False, fresh: str | None = None, least: int = 0,
 ) -> DataFrame:
-    """One row per complete window.
+    """Features counted per pane of ``pane`` events, from which windows of any multiple are added up.
 
-    Columns: keys, ``window_id``, ``start_seq``, ``end_seq``, ``close_ts``,
-    ``attack_events``, ``label`` and ``bag``, a map of feature number -> count
-    that leaves zeros out (it is empty for a window of unknown tokens).
-    Groups shorter than ``window`` and trailing events give no window. A window
-    is attack when its attack events reach both ``min_attack`` and
-    ``min_attack_frac * window``. ``techniques`` adds the dominant ``technique``
-    (see ``dominant_technique``) from the same pass. ``fresh`` names a column: only
-    windows that end at or after its position are built.
+    One row per pane and feature (``UNKNOWN`` and ``TECHNIQUE`` are features here); ``edge`` marks pairs
+    whose left token lies in the pane before. Groups of under ``least`` events are left out.
     """
-    g = gcd(window, stride)
-    pane, first, last = _window_range(window, stride, phase, fresh)
     ends = ["n_total", fresh] if fresh else ["n_total"]
     attack = (F.col("label") == 1).cast("long") if "label" in numbered.columns else F.lit(0).cast("long")
     none, no, zero = F.lit(None).cast("string"), F.lit(False), F.lit(0).cast("long")
@@ -128,21 +115,17 @@ def bag_windows(
     if ngram >= 2:
         feature = vocab.pair_feature(F.col("prev_token"), F.col("token"))
         # A pair belongs to its right token; at a pane's start it reaches back over the edge.
-        edge = F.col("seq") - phase == F.col("pane") * g
+        edge = F.col("seq") - phase == F.col("pane") * pane
         entries.append(F.when(feature.isNotNull(), entry(feature, edge=edge)))
     if techniques:
         named = _named_technique()
         entries.append(F.when(named.isNotNull(), entry(F.lit(TECHNIQUE), technique=named)))
 
     what = ["feature", "technique"] if techniques else ["feature"]
-    merged = [
-        F.sum("cnt").alias("cnt"), F.sum("attack").alias("attack"), F.max("ts").alias("ts"),
-        *([F.min("seq").alias("seq")] if techniques else []),
-    ]
-    panes = (
+    return (
         numbered.where(F.col("seq") >= phase)
-        .where(F.col("n_total") >= phase + window)
-        .withColumn("pane", pane)
+        .where(F.col("n_total") >= phase + least)
+        .withColumn("pane", int_div(F.col("seq") - phase, pane))
         .select(*keys, CHUNK, "pane", *ends, "seq", F.col(time_col).alias("ts"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy(*keys, CHUNK, "pane", *ends, "e.edge", *[f"e.{c}" for c in what])
         .agg(
@@ -150,8 +133,24 @@ def bag_windows(
             *([F.min("seq").alias("seq")] if techniques else []),
         )
     )
+
+
+def windows_of_panes(
+    panes: DataFrame, pane: int, *, keys: list[str], window: int, stride: int, min_attack: int = 1, min_attack_frac: float = 0.0,
+    phase: int = 0, fresh: str | None = None,
+) -> DataFrame:
+    """Windows (see ``bag_windows``) added up from the panes of ``pane_counts``."""
+    if window % pane or stride % pane:
+        raise ValueError(f"panes of {pane} events do not make up windows of {window} at a stride of {stride}")
+    techniques = "technique" in panes.columns
+    what = ["feature", "technique"] if techniques else ["feature"]
+    merged = [
+        F.sum("cnt").alias("cnt"), F.sum("attack").alias("attack"), F.max("ts").alias("ts"),
+        *([F.min("seq").alias("seq")] if techniques else []),
+    ]
+    _, first, last = _window_range(window, stride, phase, fresh, pane)
     # A pair whose left token lies before the window's first pane is outside it.
-    inside = ~(F.col("edge") & (F.col("pane") == F.col("window_id") * (stride // g)))
+    inside = ~(F.col("edge") & (F.col("pane") == F.col("window_id") * (stride // pane)))
     partial = _spread(panes, first, last).where(inside).groupBy(*keys, CHUNK, "window_id", *what).agg(*merged)
     rank = F.when(F.col("feature") == TECHNIQUE, F.struct(F.col("cnt"), -F.col("seq"))) if techniques else None
     best = [F.coalesce(F.max_by("technique", rank), F.lit(UNATTRIBUTED)).alias("technique")] if techniques else []
@@ -182,6 +181,40 @@ def bag_windows(
     )
 
 
+def bag_windows(
+    numbered: DataFrame,
+    vocab: Vocabulary,
+    *,
+    keys: list[str],
+    window: int = 20,
+    stride: int = 10,
+    ngram: int = 1,
+    min_attack: int = 1,
+    min_attack_frac: float = 0.0,
+    phase: int = 0,
+    time_col: str = "timestamp_ns",
+    techniques: bool = False,
+    fresh: str | None = None,
+) -> DataFrame:
+    """One row per complete window.
+
+    Columns: keys, ``window_id``, ``start_seq``, ``end_seq``, ``close_ts``,
+    ``attack_events``, ``label`` and ``bag``, a map of feature number -> count
+    that leaves zeros out (it is empty for a window of unknown tokens).
+    Groups shorter than ``window`` and trailing events give no window. A window
+    is attack when its attack events reach both ``min_attack`` and
+    ``min_attack_frac * window``. ``techniques`` adds the dominant ``technique``
+    (see ``dominant_technique``) from the same pass. ``fresh`` names a column: only
+    windows that end at or after its position are built.
+    """
+    pane = gcd(window, stride)
+    panes = pane_counts(
+        numbered, vocab, pane, keys=keys, ngram=ngram, phase=phase, time_col=time_col, techniques=techniques, fresh=fresh, least=window)
+    return windows_of_panes(
+        panes, pane, keys=keys, window=window, stride=stride, min_attack=min_attack, min_attack_frac=min_attack_frac, phase=phase,
+        fresh=fresh)
+
+
 def _named_technique() -> Column:
     """The technique of an attack event that has one."""
     return F.when((F.col("label") == 1) & (F.coalesce("technique", F.lit("")) != ""), F.col("technique"))

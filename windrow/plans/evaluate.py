@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.weights import Idf
-from windrow.models.forest import Detector, score_forest, train_forest
+from windrow.models.forest import Detector, score_forest, stored_isolation, train_forest
 from windrow.models.isolation import IsolationForest
 from windrow.operators import intervals as iv
 from windrow.operators import metrics as mt
 from windrow.operators import reports as rp
 from windrow.operators.sampling import class_sizes, undersample
-from windrow.operators.windows import bag_windows, number_events, window_keys
+from windrow.operators.windows import bag_windows, number_events, pane_counts, shared_pane, window_keys, windows_of_panes
 from windrow.plans.train import to_vectors
 from windrow.sources.events import read_split
 from windrow.storage import materialize
@@ -55,13 +55,22 @@ def cross_session(
     One metrics row per usable size; ``reports.best_config`` picks the highest
     test F1, the first of equals.
     """
-    key = [*window_keys(False, session_key), "window_id"]
-    shape = dict(ngram=ngram, min_attack=min_attack, min_attack_frac=min_attack_frac, session_key=session_key)
+    keys = window_keys(False, session_key)
+    key = [*keys, "window_id"]
+    shapes = [(w, max(1, w // 4)) for w in windows]
+    pane = shared_pane(shapes)
+    # Each session is numbered and read once; every size is added up from its panes.
+    sides = [
+        materialize(pane_counts(number_events(e, vocab, keys=keys, carry=["label"]), vocab, pane, keys=keys, ngram=ngram), "panes")
+        for e in (train_events, test_events)
+    ]
     out = None
-    for ordinal, w in enumerate(windows):
-        stride = max(1, w // 4)
-        train = materialize(session_windows(train_events, vocab, w, stride, **shape), "train")
-        test = materialize(session_windows(test_events, vocab, w, stride, **shape), "test")
+    for ordinal, (w, stride) in enumerate(shapes):
+        train, test = (
+            materialize(windows_of_panes(side, pane, keys=keys, window=w, stride=stride, min_attack=min_attack,
+                                         min_attack_frac=min_attack_frac), name)
+            for side, name in zip(sides, ("train", "test"))
+        )
         sizes = [class_sizes(train), class_sizes(test)]
         if any(sum(s.values()) < 20 or not s.get(1) for s in sizes):
             continue
@@ -131,12 +140,13 @@ def compare_with_signatures(alerts: DataFrame, timeline: DataFrame, attack_cgrou
 def evaluate_saved(spark: SparkSession, model_path: str, split_path: str, isolation_path: str | None = None) -> dict[str, DataFrame]:
     """Report tables of a stored detector on its stored test windows.
 
-    ``metrics`` and ``classes`` have one row, or one per class, for each model: ``forest`` and, with a
-    path, ``isolation``. ``overview`` says how the detector was made and what it reaches.
+    ``metrics`` and ``classes`` have one row, or one per class, for each model: ``forest`` and, if one
+    is stored with the detector or at ``isolation_path``, ``isolation``. ``overview`` says how the detector was made and what it reaches.
     """
     detector = Detector.load(spark, model_path)
     test = read_split(spark, split_path, "test")
     scored = score_forest(detector.model, test).select("label", "probability", "pred").withColumn("model", F.lit("forest"))
+    isolation_path = isolation_path or stored_isolation(spark, model_path)
     if isolation_path:
         from pyspark.ml.functions import vector_to_array
 

@@ -10,14 +10,14 @@ from windrow.models.forest import FOREST_GRID, Detector, cross_validate, train_f
 from windrow.models.isolation import train_isolation_forest
 from windrow.operators import reports as rp
 from windrow.operators.sampling import class_sizes, stratified_split, undersample
-from windrow.operators.windows import bag_windows, number_events, window_keys
+from windrow.operators.windows import bag_windows, number_events, pane_counts, shared_pane, window_keys, windows_of_panes
 from windrow.sources.events import write_split
 from windrow.storage import materialize
 from windrow.vocabulary import SYSCALL_VOCABULARY, Vocabulary
 
 
 def to_vectors(windows: DataFrame, n_features: int, idf: Idf | None) -> DataFrame:
-    """Weights (TF-IDF or plain counts) and the dense vector of every window."""
+    """Weights (TF-IDF or plain counts) and the vector of every window."""
     weighted = raw_weights(windows) if idf is None else idf.transform(windows)
     return vectorize(weighted, n_features)
 
@@ -95,16 +95,20 @@ def tune_windows(
     """Cross-validated F1 of attack per (window, stride), on raw counts.
 
     Settings with under 20 windows or a single class are skipped. The events are
-    numbered once for all settings. Pick the winner with ``reports.best_config``.
+    numbered and counted once, in panes that all settings are added up from. Pick the winner with ``reports.best_config``.
     """
     keys = window_keys(per_pid, session_key)
     key = [*keys, "window_id"]
-    numbered = materialize(number_events(events, vocab, keys=keys, carry=["label"]), "numbered")
-    rows = []
-    for ordinal, (w, s) in enumerate(strides or window_candidates(sizes)):
+    shapes = strides or window_candidates(sizes)
+    rows, schema = [], "ordinal int, window_size int, stride int, f1 double, std_f1 double"
+    if not shapes:
+        return events.sparkSession.createDataFrame(rows, schema)
+    pane = shared_pane(shapes)
+    numbered = number_events(events, vocab, keys=keys, carry=["label"])
+    panes = materialize(pane_counts(numbered, vocab, pane, keys=keys, ngram=ngram), "panes")
+    for ordinal, (w, s) in enumerate(shapes):
         windows = materialize(
-            bag_windows(numbered, vocab, keys=keys, window=w, stride=s, ngram=ngram, min_attack=min_attack,
-                        min_attack_frac=min_attack_frac),
+            windows_of_panes(panes, pane, keys=keys, window=w, stride=s, min_attack=min_attack, min_attack_frac=min_attack_frac),
             "windows",
         )
         sizes_by_class = class_sizes(windows)
@@ -114,7 +118,6 @@ def tune_windows(
         vectors = materialize(to_vectors(balanced, vocab.n_features(ngram), None), "vectors")
         _, results = cross_validate(vectors, key, folds=folds, trees=trees, seed=seed)
         rows.append((ordinal, w, s, float(results[0][1]), float(results[0][2])))
-    schema = "ordinal int, window_size int, stride int, f1 double, std_f1 double"
     return events.sparkSession.createDataFrame(rows, schema)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +14,22 @@ from windrow.schema import EVENT_SCHEMA, LABELED_SCHEMA, TRAINING_COLUMNS
 from windrow.vocabulary import TOOLCHAIN_COMMS
 
 
-def _with_ids(df: DataFrame) -> DataFrame:
-    """Session from the file name, and an id that breaks ties in time."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?$", 1)
-    return df.select("*", stem.alias("session_id"), F.monotonically_increasing_id().alias("event_id"))
+LOOKERS = 16
+
+
+def _stem(path: str) -> str:
+    return path.removesuffix(".csv")
+
+
+def _with_ids(df: DataFrame, whole_path: list[str] = ()) -> DataFrame:
+    """Session from the file's name, and an id that breaks ties in time.
+
+    Names in ``whole_path`` occur in several folders; there the whole path is the session.
+    """
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+    if whole_path:
+        name = F.when(name.isin(list(whole_path)), F.regexp_replace(F.col("_metadata.file_path"), r"\.csv$", "")).otherwise(name)
+    return df.select("*", name.alias("session_id"), F.monotonically_increasing_id().alias("event_id"))
 
 
 def _csv(spark: SparkSession, paths, schema) -> DataFrame:
@@ -22,16 +37,31 @@ def _csv(spark: SparkSession, paths, schema) -> DataFrame:
 
 
 def _headers(spark: SparkSession, patterns: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the column names of their first line; one line of each file is read."""
-    found: dict[tuple[str, ...], list[str]] = {}
-    conf = spark._jsc.hadoopConfiguration()
+    """Files by the column names of their first line.
+
+    The store's client reads the beginning of each file, several at a time; no Spark job runs for it.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(path):
+        stream, codec = path.getFileSystem(conf).open(path), codecs.getCodec(path)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            return lines.readLine()
+        finally:
+            stream.close()
+
+    paths = []
     for pattern in patterns:
-        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        for status in path.getFileSystem(conf).globStatus(path) or []:
-            name = status.getPath().toString()
-            first = spark.read.text(name).first()
-            columns = tuple(c.strip() for c in first["value"].split(",")) if first else ()
-            found.setdefault(columns, []).append(name)
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        paths += [s.getPath() for s in path.getFileSystem(conf).globStatus(path) or []]
+    with ThreadPoolExecutor(LOOKERS) as pool:
+        lines = list(pool.map(first_line, paths))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path, line in zip(paths, lines):
+        columns = tuple(c.strip() for c in line.split(",")) if line else ()
+        found.setdefault(columns, []).append(path.toString())
     return found
 
 
@@ -42,12 +72,14 @@ def _by_name(spark: SparkSession, patterns: list[str], needed: list[str]) -> Dat
     found = _headers(spark, patterns)
     if not found:
         return _csv(spark, patterns, EVENT_SCHEMA)  # Spark says that no path matches
+    names = Counter(_stem(f.rpartition("/")[2]) for files in found.values() for f in files)
+    shared = [name for name, times in names.items() if times > 1]
     for columns, files in found.items():
         missing = [c for c in needed if c not in columns]
         if missing:
             raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
         schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns])
-        df = _with_ids(_csv(spark, files, schema))
+        df = _with_ids(_csv(spark, files, schema), shared)
         absent = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in columns}
         parts.append(df.withColumns(absent).select(*kinds, "session_id", "event_id"))
     return union_sessions(*parts)
@@ -67,7 +99,8 @@ def read_events(spark: SparkSession, data_dir: str, exclude_comm=None) -> DataFr
 def read_raw_captures(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """Full rows of the matching captures; every file must carry ``cgroup_id``.
 
-    The header of each file is checked by reading one line of it.
+    The header of each file is checked by reading one line of it. Files of one name in several folders
+    are sessions of their own, named by their paths.
     """
     return _by_name(spark, list(patterns), ["cgroup_id"])
 

@@ -30,7 +30,8 @@ from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
 from windrow.operators.ordered import ordered_scan
 from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
-from windrow.storage import delete_path, scratch
+from windrow.storage import scratch
+from windrow.streaming.versions import Versions
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
 
 UNKNOWN_TOKEN = -1
@@ -87,28 +88,6 @@ def token_bags(windows: DataFrame, vocab: Vocabulary, ngram: int) -> DataFrame:
     return windows.withColumn("_known", known).withColumn("bag", bag_of(F.col("_known"), vocab, ngram)).drop("_known")
 
 
-class Versions:
-    """Small state kept between batches: one folder per batch, written once.
-
-    Batch ``n`` reads what ``n - 1`` wrote, so a repeated batch sees the same state;
-    what is older is deleted.
-    """
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def before(self, batch: DataFrame, batch_id: int, schema: str | T.StructType) -> DataFrame:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.path}/{batch_id - 1}")
-
-    def save(self, state: DataFrame, batch_id: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        if batch_id >= 2:
-            delete_path(state.sparkSession, f"{self.path}/{batch_id - 2}")
-
-
 class StreamWindows:
     """``foreachBatch`` function: windows of whole streams, handed to ``then``.
 
@@ -197,13 +176,16 @@ class AlertWriter:
     The time of the last alert of every key is kept between batches. Anomalies
     less than the cooldown after it, or before it, cannot fire and are left out;
     the others are folded by themselves. Time is event time, so a replay gives
-    the same alerts at any speed.
+    the same alerts at any speed. ``name`` completes the alerts of a score that gives ``weights``, as
+    ``name_top_features`` does.
     """
 
     def __init__(
         self, score: Callable[[DataFrame], DataFrame], *, out: str, state: str, cooldown_ns: int, keys: list[str],
         threshold: float = 0.5, clock: str = "timestamp_ns", tie: str = "event_id", chunks: int | None = None,
+        name: Callable[[DataFrame], DataFrame] | None = None,
     ):
+        self.name = name
         self.score, self.out, self.state = score, out, Versions(state)
         self.cooldown, self.keys, self.threshold = cooldown_ns, list(keys), threshold
         self.clock, self.tie, self.chunks = clock, tie, chunks
@@ -218,6 +200,8 @@ class AlertWriter:
             F.col("_last").isNull() | (F.col(self.clock) >= F.col("_last") + self.cooldown)
         ).drop("_last")
         fired = fired_alerts(free, self.cooldown, keys=self.keys, order=[self.clock, self.tie], chunks=self.chunks)
+        if self.name and "weights" in fired.columns:
+            fired = self.name(fired)
         path = f"{self.out}/batch={batch_id}"
         fired.write.mode("overwrite").parquet(path)
         done = windows.sparkSession.read.schema(fired.schema).parquet(path)
@@ -268,7 +252,11 @@ def start_process_alerts(
     stream: DataFrame, vocab: Vocabulary, writer: AlertWriter, checkpoint: str, *, keys: list[str], window: int, ngram: int,
     risky: list[str] = HIGH_RISK, least: int = 3,
 ):
-    """Start scoring each process's buffer live; ``writer`` keeps the cooldown of every process."""
+    """Start scoring each process's buffer live; ``writer`` keeps the cooldown of every process.
+
+    Alerts of a score with ``weights`` name their heaviest features.
+    """
+    writer.name = writer.name or (lambda fired: name_top_features(fired, vocab, ngram, keys))
     windows = process_windows(stream, vocab, keys=keys, window=window, risky=risky, least=least)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
