@@ -115,6 +115,25 @@ def cross_session_eval(spark, sf):
     return evaluation.cross_session(e.where("session_id = 1"), e.where("session_id = 2"), sg.VOCAB, min_attack_frac=0.1)
 
 
+@query("""
+SELECT name, value::DOUBLE AS value, true AS in_range
+FROM (VALUES ('window', 20), ('stride', 10), ('ngram', 2), ('features', 16), ('cv_f1', NULL), ('auc', NULL), ('f1', NULL)) f(name, value)""")
+def detector_overview(spark, sf):
+    """How a stored detector was made, and that what it reaches on its stored test windows is a share.
+
+    Trained, cross-validated, saved with its split and read back.
+    """
+    run = run_folder(spark)
+    detector, _, _ = training.train(
+        labeled(spark, sf), sg.VOCAB, window=sg.W, stride=sg.S, per_pid=False, ngram=2, tfidf=True, balance_ratio=2.0,
+        min_attack_frac=sg.FRAC, split_path=f"{run}/split")
+    detector.save(spark, f"{run}/model")
+    facts = evaluation.evaluate_saved(spark, f"{run}/model", f"{run}/split")["overview"]
+    reached = F.col("name").isin("cv_f1", "auc", "f1")
+    return facts.select(
+        "name", F.when(~reached, F.col("value")).alias("value"), (~reached | F.col("value").between(0, 1)).alias("in_range"))
+
+
 @query(WINDOWS + " SELECT session_id, window_id, true AS same FROM wlab WHERE session_id = 2")
 def model_roundtrip(spark, sf):
     """Scores of a detector before saving and after loading are the same."""

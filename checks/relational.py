@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import surrogate as sg
@@ -10,7 +12,7 @@ from windrow.operators import intervals as iv
 from windrow.operators import reports as rp
 from windrow.sources import events as src
 from windrow.sources import feeds
-from windrow.storage import small_table
+from windrow.storage import shared_dir, small_table
 from windrow.vocabulary import pair_dictionary
 
 QUERIES, ORACLE = {}, {}
@@ -271,8 +273,12 @@ JOIN (SELECT session_id, string_agg(concat(syscall_name, '=', c), ',' ORDER BY s
       FROM (SELECT session_id, syscall_name, count(*) AS c FROM ev GROUP BY ALL) GROUP BY session_id)
 USING (session_id)""")
 def session_summary(spark, sf):
+    """Summaries as a capture writes them at its end, read back from the store."""
+    made = rp.session_summary(ev(spark, sf))
+    path = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    src.write_summary(made, path)
     pairs = F.transform(F.map_entries("syscall_distribution"), lambda p: F.concat_ws("=", p["key"], p["value"].cast("string")))
-    return rp.session_summary(ev(spark, sf)).withColumn("distribution", F.array_join(F.array_sort(pairs), ",")).drop(
+    return spark.read.schema(made.schema).json(path).withColumn("distribution", F.array_join(F.array_sort(pairs), ",")).drop(
         "syscall_distribution"
     )
 
