@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -62,7 +63,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scopes of this thread; a stream's batches run in threads of their own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -77,11 +85,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     Write or collect results inside: a DataFrame that is only returned may still read them.
     """
-    _SCOPES.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path in _SCOPES.open.pop():
             delete_path(spark, path)
 
 
@@ -94,8 +102,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
