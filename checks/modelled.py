@@ -238,12 +238,12 @@ def stream_exact_counters(spark, sf):
     return spark.read.parquet(f"{run}/counts/{q.lastProgress['batchId']}")
 
 
-def released(spark, sf, arrival=IN_ORDER, delay_ms=0):
+def released(spark, sf, arrival=IN_ORDER, delay_ms=0, bucket_ms=8 * DAY_MS):
     """Windows and late events of the stream, released by the watermark."""
     run = run_folder(spark)
     live = scoring.live_events(arriving(spark, sf, f"{run}/files", arrival, heartbeat=True), sg.DENYLIST)
     windows = keyed.released_windows(
-        live, sg.VOCAB, keys=sg.PID_KEYS, window=sg.W, delay_ms=delay_ms, bucket_ms=DAY_MS, risky=["error", "purchase"])
+        live, sg.VOCAB, keys=sg.PID_KEYS, window=sg.W, delay_ms=delay_ms, bucket_ms=bucket_ms, risky=["error", "purchase"])
     keyed.start_released(windows, f"{run}/windows", f"{run}/late", f"{run}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{run}/windows/*"), spark.read.parquet(f"{run}/late/*")
 
@@ -275,7 +275,7 @@ WHERE pseq >= 19 OR (pseq >= 2 AND syscall_name IN ('error', 'purchase'))
 UNION ALL SELECT session_id, pid, -1, event_id, 0, true FROM judged WHERE late""")
 def stream_out_of_order(spark, sf):
     """Windows of a stream that arrives out of order, and the late events of the side table."""
-    windows, late = released(spark, sf, SHUFFLED, delay_ms=DAY_MS)
+    windows, late = released(spark, sf, SHUFFLED, delay_ms=DAY_MS, bucket_ms=DAY_MS)
     cols = ["session_id", "pid", "end_seq", "event_id", "n_tokens", "late"]
     found = windows.withColumns({"n_tokens": F.size("tokens"), "late": F.lit(False)}).select(*cols)
     return found.union(late.withColumns(
