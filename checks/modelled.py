@@ -92,9 +92,9 @@ def rf_importance(spark, sf):
 SELECT (t.i * 9 + d.i * 3 + l.i)::INTEGER AS ordinal, t.v::INTEGER AS trees, d.v::INTEGER AS depth, l.v::INTEGER AS leaf, true AS in_range
 FROM (VALUES (0, 100), (1, 200), (2, 300)) t(i, v), (VALUES (0, 30), (1, 10), (2, 20)) d(i, v), (VALUES (0, 1), (1, 2), (2, 5)) l(i, v)""")
 def rf_grid(spark, sf):
-    """The whole search of 27 points, each cross-validated over five folds."""
+    """The whole search of 27 points, each cross-validated over three folds."""
     v = vectors(spark, sf).where("session_id = 1")
-    _, results = rf.cross_validate(v, KEY, grid=rf.FOREST_GRID, folds=5)
+    _, results = rf.cross_validate(v, KEY, grid=rf.FOREST_GRID, folds=3, parallelism=8)
     rows = [
         (i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], 0 <= float(m) <= 1 and 0 <= float(d) <= 0.5)
         for i, (p, m, d) in enumerate(results)
