@@ -94,7 +94,7 @@ FROM (VALUES (0, 100), (1, 200), (2, 300)) t(i, v), (VALUES (0, 30), (1, 10), (2
 def rf_grid(spark, sf):
     """The whole search of 27 points, each cross-validated over three folds."""
     v = vectors(spark, sf).where("session_id = 1")
-    _, results = rf.cross_validate(v, KEY, grid=rf.FOREST_GRID, folds=3, parallelism=8)
+    _, results = rf.cross_validate(v, KEY, grid=rf.FOREST_GRID, folds=3)
     rows = [
         (i, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], 0 <= float(m) <= 1 and 0 <= float(d) <= 0.5)
         for i, (p, m, d) in enumerate(results)
