@@ -35,3 +35,20 @@ def test_exactly_the_cooldown_fires(spark):
     rows = [(1, 0, 0, 0, ""), (1, 9, 0, 1, ""), (1, 10, 0, 2, ""), (1, 19, 0, 3, ""), (1, 20, 0, 4, "")]
     fired = fired_alerts(spark.createDataFrame(rows, SCHEMA), 10, keys=["session_id"]).collect()
     assert sorted(r["timestamp_ns"] for r in fired) == [0, 10, 20]
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_many_keys_are_folded_together(spark, chunks):
+    rnd = random.Random(chunks)
+    # 3,000 light keys, one heavy key, and rows without a key, which never fire.
+    keys = list(range(3000)) * 3 + [-1] * 6000 + [None] * 10
+    rows = [(k, rnd.randint(0, 2000), 0, i, "") for i, k in enumerate(keys)]
+    plan = fired_alerts(spark.createDataFrame(rows, SCHEMA), 40, keys=["session_id"], chunks=chunks)
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    got, times = {}, {}
+    for r in plan.collect():
+        got.setdefault(r["session_id"], []).append(r["timestamp_ns"])
+    for k, t, *_ in rows:
+        if k is not None:
+            times.setdefault(k, []).append(t)
+    assert {k: sorted(v) for k, v in got.items()} == {k: fold_cooldown(v, 40) for k, v in times.items()}
