@@ -6,8 +6,9 @@ every event that fills it, or is a risky call before, gives a window. Events of
 watermark had already passed when they arrived are late: they are put out as they are, marked, and
 do not change a window. A key without events for longer than its time to live leaves the store.
 
-State per key is the waiting buckets (in pieces as they arrived), the buffer as a list, and two
-numbers. A busy key is read piece by piece and released bucket by bucket, never as a whole.
+State is kept per shard, the keys that hash alike: the waiting buckets (in pieces as they arrived) and
+a table of the keys' buffers. A shard is read piece by piece and released bucket by bucket, never as
+a whole, with all its keys at once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from windrow.schema import EVENT_ORDER
 from windrow.storage import ship_package
+from windrow.streaming.buffers import SHARD, advance, in_shards, long_columns, pack, unpack, with_nulls
 from windrow.streaming.scoring import UNKNOWN_TOKEN
 from windrow.vocabulary import HIGH_RISK, Vocabulary
 
@@ -39,20 +40,8 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER_SETTING, ROCKSDB)
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(raw: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(raw).read_all().to_pandas()
-
-
 class ReleaseByWatermark(StatefulProcessor):
-    """Holds the events of a key until the watermark passes, then builds its windows."""
+    """Holds the events of a shard until the watermark passes, then builds the windows of its keys."""
 
     def __init__(self, keys, carried, order, risky, window, least, bucket_ms, idle_ms):
         self.keys, self.carried, self.order, self.risky = keys, carried, order, risky
@@ -62,8 +51,7 @@ class ReleaseByWatermark(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long, piece int", "rows binary")
         self.pieces = handle.getMapState("pieces", "bucket long", "n int")
-        self.tail = handle.getListState("tail", "token int")
-        self.place = handle.getValueState("place", "seen long, expires long")
+        self.place = handle.getValueState("place", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
@@ -73,11 +61,11 @@ class ReleaseByWatermark(StatefulProcessor):
             bucket = part["at_ms"].to_numpy(np.int64) // self.bucket_ms
             late = (bucket + 1) * self.bucket_ms <= mark
             if late.any():
-                yield self._out(key, part[late], np.full(int(late.sum()), -1), [None] * int(late.sum()), True)
+                yield self._out(part[late], np.full(int(late.sum()), -1), [None] * int(late.sum()), True)
             for b in np.unique(bucket[~late]).tolist():
                 known = self.pieces.getValue((b,))
                 n = known[0] if known else 0
-                self.waiting.updateValue((b, n), (_pack(part[bucket == b]),))
+                self.waiting.updateValue((b, n), (pack(part[bucket == b]),))
                 self.pieces.updateValue((b,), (n + 1,))
                 if n == 0:
                     self.handle.registerTimer((b + 1) * self.bucket_ms)
@@ -86,47 +74,44 @@ class ReleaseByWatermark(StatefulProcessor):
         now = expiredTimerInfo.getExpiryTimeInMs()
         bucket = now // self.bucket_ms - 1
         known = self.pieces.getValue((bucket,)) if now % self.bucket_ms == 0 else None
+        stored = self.place.get()
+        place = unpack(stored[0]) if stored else None
         if known:
-            yield from self._release(key, bucket, known[0], now)
-        if self.idle_ms is not None:
-            place = self.place.get()
-            if place and place[1] <= now:  # what still waits is later and begins a new buffer
-                self.place.clear()
-                self.tail.clear()
-
-    def _release(self, key, bucket: int, n: int, now: int) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([_unpack(self.waiting.getValue((bucket, i))[0]) for i in range(n)], ignore_index=True)
+            place = yield from self._release(place, bucket, known[0], now)
+        if self.idle_ms is not None and place is not None:
+            mark = timerValues.getCurrentWatermarkInMs()
+            if known and now + self.idle_ms > mark:
+                self.handle.registerTimer(now + self.idle_ms)
+            # What waits is later: it begins a new buffer. Buckets that are due are released before.
+            due = any((b[0] + 1) * self.bucket_ms <= mark for b in self.pieces.keys())
+            place = place[place["expires"] > (now if due else mark)]
+        if place is not None and len(place):
+            self.place.update((pack(place),))
+        elif stored:
+            self.place.clear()
+
+    def _release(self, place, bucket: int, n: int, now: int):
+        rows = pd.concat([unpack(self.waiting.getValue((bucket, i))[0]) for i in range(n)], ignore_index=True)
         for i in range(n):
             self.waiting.removeKey((bucket, i))
         self.pieces.removeKey((bucket,))
-        rows = rows.sort_values(self.order, kind="stable")
-        seen, expires = self.place.get() or (0, 0)
-        kept = [t[0] for t in self.tail.get()]
-        if self.idle_ms is not None and expires < now:
-            # The timer of a bucket released a moment ago has not run yet.
-            seen, kept = 0, []
-        new = rows["token"].to_numpy(np.int64)
-        buffer = np.concatenate([np.asarray(kept, np.int64), new])
-        end = np.arange(len(new)) + seen
-        fires = np.flatnonzero((end >= self.window - 1) | (np.isin(new, self.risky) & (end >= self.least - 1)))
+        if self.idle_ms is not None and place is not None:
+            place = place[place["expires"] >= now].reset_index(drop=True)
+        at, end, tokens, after = advance(place, rows, self.keys, self.order, self.window, self.least, self.risky)
+        for start in range(0, len(end), 5_000):
+            part = slice(start, start + 5_000)
+            yield self._out(at.iloc[part], end[part], tokens[part], False)
+        until = np.zeros(len(after), np.int64)
         if self.idle_ms is not None:
-            if expires > now:
-                self.handle.deleteTimer(expires)
-            expires = now + self.idle_ms
-            self.handle.registerTimer(expires)
-        self.place.update((seen + len(new), expires))
-        self.tail.put([(int(t),) for t in buffer[max(0, len(buffer) - self.window + 1):]])
-        for start in range(0, len(fires), 5_000):
-            at = fires[start:start + 5_000]
-            tokens = [buffer[max(0, len(kept) + i + 1 - self.window):len(kept) + i + 1].astype(np.int32) for i in at]
-            yield self._out(key, rows.iloc[at], end[at], tokens, False)
-
-    def _out(self, key, rows: pd.DataFrame, end, tokens, late: bool) -> pd.DataFrame:
-        out = rows[self.carried].reset_index(drop=True)
-        for name, value in zip(self.keys, key):
-            out[name] = value
+            until[:0 if place is None else len(place)] = [] if place is None else place["expires"]
+            until[after["touched"].to_numpy()] = now + self.idle_ms
+        after["expires"] = until
+        return after.drop(columns="touched")
+
+    def _out(self, rows: pd.DataFrame, end, tokens, late: bool) -> pd.DataFrame:
+        out = rows[[*self.keys, *self.carried]].reset_index(drop=True)
         out["end_seq"], out["tokens"], out["late"] = end, tokens, late
-        return out[[*self.keys, *self.carried, "end_seq", "tokens", "late"]]
+        return out
 
     def close(self) -> None:
         pass
@@ -159,7 +144,9 @@ def released_windows(
     high = [vocab.tokens.index(t) for t in risky if t in vocab.tokens]
     processor = ReleaseByWatermark(
         list(keys), carried, [c for c in order if c in carried], high, window, least, bucket_ms, idle_ms)
-    return slim.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    longs = long_columns(slim.schema, [*keys, *carried])
+    found = in_shards(slim, keys, longs).groupBy(SHARD).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    return with_nulls(found, longs)
 
 
 def start_released(windows: DataFrame, out: str, late: str, checkpoint: str):

@@ -30,7 +30,8 @@ from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
 from windrow.operators.ordered import ordered_scan
 from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
-from windrow.storage import scratch
+from windrow.storage import scratch, ship_package
+from windrow.streaming.buffers import SHARD, advance, in_shards, long_columns, pack, unpack, with_nulls
 from windrow.streaming.versions import Versions
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
 
@@ -48,38 +49,33 @@ def process_windows(
 
     ``tokens`` holds vocabulary indexes, -1 for unknown tokens.
     """
+    ship_package(stream.sparkSession)
     carried = [c for c in dict.fromkeys([*order, *carry]) if c not in keys]
     slim = vocab.with_index(stream, "syscall_name", "token").select(
         *keys, *carried, F.coalesce("token", F.lit(UNKNOWN_TOKEN)).alias("token")
     )
     high = np.array([vocab.tokens.index(t) for t in risky if t in vocab.tokens])
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, kept = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values([c for c in order if c in carried], kind="stable")
-        new = rows["token"].to_numpy(dtype=np.int64)
-        buffer = np.concatenate([np.asarray(kept, dtype=np.int64), new])
-        held = len(kept)
-        end = np.arange(len(new)) + seen
-        fires = (end >= window - 1) | (np.isin(new, high) & (end >= least - 1))
-        state.update((seen + len(new), [int(t) for t in buffer[max(0, len(buffer) - window + 1):]]))
-        at = np.flatnonzero(fires)
-        for start in range(0, len(at), ROWS_PER_YIELD):
-            part = at[start:start + ROWS_PER_YIELD]
-            out = rows.iloc[part][carried].reset_index(drop=True)
-            for name, value in zip(keys, key):
-                out[name] = value
-            out["end_seq"] = end[part]
-            out["tokens"] = [buffer[max(0, held + i + 1 - window):held + i + 1].astype(np.int32) for i in part]
-            yield out[[*keys, *carried, "end_seq", "tokens"]]
+    def run(shard: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        place = unpack(state.get[0]) if state.exists else None
+        rows, in_order = pd.concat(list(batches), ignore_index=True), [c for c in order if c in carried]
+        at, end, tokens, after = advance(place, rows, list(keys), in_order, window, least, high)
+        state.update((pack(after.drop(columns="touched")),))
+        for start in range(0, len(end), ROWS_PER_YIELD):
+            part = slice(start, start + ROWS_PER_YIELD)
+            out = at.iloc[part][[*keys, *carried]].reset_index(drop=True)
+            out["end_seq"], out["tokens"] = end[part], tokens[part]
+            yield out
 
     schema = T.StructType(
         [slim.schema[c] for c in (*keys, *carried)]
         + [T.StructField("end_seq", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     )
-    return slim.groupBy(*keys).applyInPandasWithState(
-        advance, schema, "seen long, tokens array<int>", "append", GroupStateTimeout.NoTimeout
+    longs = long_columns(slim.schema, [*keys, *carried])
+    found = in_shards(slim, keys, longs).groupBy(SHARD).applyInPandasWithState(
+        run, schema, "rows binary", "append", GroupStateTimeout.NoTimeout
     )
+    return with_nulls(found, longs)
 
 
 def token_bags(windows: DataFrame, vocab: Vocabulary, ngram: int) -> DataFrame:
