@@ -226,3 +226,16 @@ def test_pipeline_of_odd_tables(spark, folder):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, folder), "odd-stage")
         assert docs.count() == (1 if rows else 0)
+
+
+def test_links_of_a_block_are_fewer_than_its_rows():
+    a, b = (x.ravel() for x in np.triu_indices(200, 1))
+    # Two groups of near texts: all their pairs link, two joins fewer than texts are enough.
+    linked = (a % 2) == (b % 2)
+    a, b = a[linked], b[linked]
+    at = near_duplicates._joining(a, b)
+    assert len(at) == 198
+    root = list(range(200))
+    for x, y in zip(a[at].tolist(), b[at].tolist()):
+        root = [root[x] if r == root[y] else r for r in root]
+    assert len(set(root)) == 2 and len({root[i] for i in range(0, 200, 2)}) == 1

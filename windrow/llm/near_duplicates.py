@@ -216,6 +216,24 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Of links between whole numbers those that join two parts not joined before: fewer than there are numbers."""
+    parent, used = {}, []
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
+            x = up
+        return x
+
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[x] = y
+            used.append(i)
+    return used
+
+
 def bucket_links(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: links between texts of different labels in the same bucket, enough to join all such."""
     labelled = members.join(labels, "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root")
@@ -244,10 +262,10 @@ def bucket_links(members: DataFrame, labels: DataFrame, sigs: DataFrame, sets: D
             shared = _shared(sets_)
             size = np.array([len(s) for s in sets_], float)
             linked = apart & (shared >= similarity * (size[:, None] + size[None, :] - shared))
-            # One link for each member and label it reaches, no more.
+            # Rows of one label are joined already: fewer links than the block has labels do.
             a, b = np.nonzero(np.triu(linked))
             label = np.asarray(single_column(table, "label"))
-            _, at = np.unique(np.stack([a, label[b]]), axis=1, return_index=True) if len(a) else (None, a)
+            at = _joining(label[a], label[b])
             yield pa.RecordBatch.from_arrays([pa.array(v[a[at]]), pa.array(v[b[at]])], names=["a", "b"])
 
     return _cut(near.join(sets, "v"), similarity, ["shingles"]).mapInArrow(verify, "a long, b long")
