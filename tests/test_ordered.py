@@ -5,7 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 from support import frame, grouped, log
-from windrow.operators.ordered import CHUNK, cut_into_chunks, next_at_or_after, ordered_scan
+from windrow.operators import ordered
+from windrow.operators.ordered import CHUNK, cut_into_chunks, last_at_or_before, next_at_or_after, ordered_scan
 from windrow.schema import EVENT_ORDER
 
 
@@ -63,3 +64,21 @@ def test_forward_as_of_matches_binary_search(spark):
 def test_an_empty_input(spark):
     empty = frame(spark, log(5)).where("false")
     assert ordered_scan(empty, ["session_id"], EVENT_ORDER, seq="seq", chunks=4).count() == 0
+
+
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_rows_without_a_time_take_no_part_in_the_order(spark, monkeypatch, chunks):
+    cut = []
+
+    def spy(df, *rest):
+        cut.append(df.where("_t IS NULL").count())
+        return cut_into_chunks(df, *rest)
+
+    monkeypatch.setattr(ordered, "cut_into_chunks", spy)
+    left = spark.createDataFrame([(i, i if i % 10 == 0 else None, f"n{i}") for i in range(100)], "id long, t long, note string")
+    right = spark.createDataFrame([(5, "a"), (40, "b")], "at long, name string")
+    found = last_at_or_before(left, right, [], F.col("t"), "at", "last", chunks)
+    assert found.columns == ["id", "t", "note", "last"] and cut == [0]
+    got = sorted((r["id"], r["t"], r["note"], r["last"] and tuple(r["last"])) for r in found.collect())
+    last = lambda i: None if i % 10 or i < 5 else (5, "a") if i < 40 else (40, "b")
+    assert got == [(i, None if i % 10 else i, f"n{i}", last(i)) for i in range(100)]

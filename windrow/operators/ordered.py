@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.storage import CHUNKS_SETTING, file_bytes, materialize
 
@@ -218,11 +219,14 @@ def last_at_or_before(
     """Backward as-of join: ``out`` is the whole right row with the largest ``right_time`` not after the left time.
 
     Keeps every left row; ``out`` is NULL when nothing comes before, or the left time is NULL. Times
-    of the right side are different within a key.
+    of the right side are different within a key. Rows without a time take no part in the order, where
+    they would all be in one place; ``left`` is read once more for them.
     """
     lcols = [F.col(f"`{c}`") for c in left.columns if c not in keys]
     rcols = [c for c in right.columns if c not in keys]
-    both = left.select(*keys, left_time.alias("_t"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_row")).unionByName(
+    nothing = F.lit(None).cast(T.StructType([right.schema[c] for c in rcols]))
+    timeless = left.where(left_time.isNull()).select(*keys, *lcols, nothing.alias(out))
+    both = left.where(left_time.isNotNull()).select(*keys, left_time.alias("_t"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_row")).unionByName(
         right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*rcols).alias("_found")),
         allowMissingColumns=True,
     )
@@ -237,4 +241,4 @@ def last_at_or_before(
         lasts = both.groupBy(*part).agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("_t"))).alias("_last"))
         carried = lasts.select(*part, F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"))
         here, kept = here.join(carried, part, "left"), F.coalesce("_here", "_earlier")
-    return here.select(*keys, "_row.*", F.when(F.col("_t").isNotNull(), kept).alias(out))
+    return here.select(*keys, "_row.*", kept.alias(out)).union(timeless)
