@@ -71,6 +71,20 @@ def test_stream_windows_over_batches(spark, folder, parts, chunks, w, s):
     assert got == want
 
 
+def test_a_batch_is_cut_by_its_size(spark, folder, monkeypatch, setting):
+    cut, scan = [], scoring.ordered_scan
+
+    def spy(*args, **named):
+        cut.append(named["chunks"])
+        return scan(*args, **named)
+
+    monkeypatch.setattr(scoring, "ordered_scan", spy)
+    setting("spark.sql.shuffle.partitions", 500)
+    fold = scoring.StreamWindows(VOCAB, lambda windows, batch_id: None, state=f"{folder}/state", window=20, stride=10)
+    fold(frame(spark, log(50, seed=1)), 0)
+    assert cut == [4 * spark.sparkContext.defaultParallelism]
+
+
 def share(windows):
     n = F.coalesce(F.try_element_at("bag", F.lit(1)), F.lit(0))
     return windows.withColumn("probability", n / F.lit(10.0))

@@ -27,10 +27,10 @@ from windrow.functions.scalars import decide, drop_comms
 from windrow.functions.weights import raw_weights, vectorize
 from windrow.models.forest import Detector, score_forest
 from windrow.operators.cooldown import PROCESS_COOLDOWN_NS, fired_alerts
-from windrow.operators.ordered import ordered_scan
+from windrow.operators.ordered import default_chunks, ordered_scan
 from windrow.operators.windows import bag_of, bag_windows, close_times, early_windows, live_phase, number_events, top_features
 from windrow.schema import EVENT_ORDER
-from windrow.storage import scratch, ship_package
+from windrow.storage import materialize, scratch, ship_package
 from windrow.streaming.buffers import SHARD, advance, in_shards, long_columns, pack, unpack, with_nulls
 from windrow.streaming.versions import Versions
 from windrow.vocabulary import HIGH_RISK, TRAINING_DENYLIST, Vocabulary
@@ -106,16 +106,17 @@ class StreamWindows:
             self._advance(batch, batch_id)
 
     def _advance(self, batch: DataFrame, batch_id: int) -> None:
-        # The size of a batch is not known beforehand, so it is always cut.
-        chunks = self.chunks or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys, phase = self.keys, live_phase(self.window, self.stride)
         cols = [*keys, *self.order, *self.carry]
         new = self.vocab.with_index(batch, "syscall_name", "token").select(
             *cols, "token", F.lit(1).alias("_new"), F.lit(0).cast("long").alias("_base")
         )
         kept = self.state.before(batch, batch_id, new.schema)
+        # The size of a batch is not known beforehand: it is written once, then cut by its bytes.
+        rows = materialize(kept.unionByName(new), "batch")
+        chunks = self.chunks or max(default_chunks(rows), 4 * batch.sparkSession.sparkContext.defaultParallelism)
         scanned = ordered_scan(
-            kept.unionByName(new), keys, ["_new", *self.order], seq="_place", total="_rows", lags={"prev_token": "token"},
+            rows, keys, ["_new", *self.order], seq="_place", total="_rows", lags={"prev_token": "token"},
             # The first kept event of a key carries its position in the stream.
             totals={"_from": F.col("_base"), "_held": 1 - F.col("_new")}, chunks=chunks, keep_chunk=True,
         )
