@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.llm import collocations, spelling, substring_dedup
-from windrow.llm.tokens import text_bytes, text_column
+from windrow.llm.tokens import slices, text_bytes, text_column
 from windrow.llm.words import sliding
 
 DOCS = "doc_id long, text string, lang string"
@@ -236,6 +237,18 @@ def test_passages_removed_are_those_of_all_windows(spark, monkeypatch, seed, win
     assert sum(r[2] > 0 for r in got) > 20 and all(r[2] == 0 for r in got if r[0] in (3000, 3001, 3002))
 
 
+def test_a_slice_of_texts_is_cut_in_little_memory():
+    texts = text_column(pa.array([" ".join(f"w{(i * 7 + j) % 5000}" for j in range(400)) for i in range(1200)]))
+    tracemalloc.start()
+    try:
+        for part in slices(texts, substring_dedup.CUT_BYTES):
+            substring_dedup._Cut(part, 50, 26)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert collocations.mine_collocations(none).collect() == []

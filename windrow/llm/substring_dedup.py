@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from windrow.llm.common import discard, key_columns, ship, written
 from windrow.llm.tokens import give_back, run_hashes, runs, slices, text_bytes, text_column
-from windrow.llm.words import CUT_BYTES, byte_set, sliding, window_hashes
+from windrow.llm.words import byte_set, sliding, window_hashes
 
 BLANK = byte_set(0x20, (0x09, 0x0D))
+# Text cut at a time: its bytes and words take some fifty times its size, in every worker of an executor.
+CUT_BYTES = 500_000
 EARLIER, OWN, UNKNOWN = 1, 2, 0
 _KEYS = ["doc_id", "k1", "k2"]
 
@@ -199,16 +201,19 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     ship(docs.sparkSession)
     spans = duplicate_spans(docs, window).alias("s")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = docs.select(row, F.col("doc_id"), F.col("text"), *key_columns(F.col("text"))).alias("t")
+    # The text is read from its place in the row, which is all that moves.
+    names = docs.columns if "text" in docs.columns else [c.lower() for c in docs.columns]
+    place = names.index("text")
+    whole = docs.select(row, F.col("doc_id"), *key_columns(F.col("text"))).alias("t")
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _KEYS]
-    joined = whole.join(spans, same[0] & same[1] & same[2], "left").select("t.row", "t.text", "s.spans")
+    joined = whole.join(spans, same[0] & same[1] & same[2], "left").select("t.row", "s.spans")
     schema = f"row {whole.schema['row'].dataType.simpleString()}, kept_text string, n_words long, n_removed long"
 
     def run(batches):
         for batch in batches:
             at = 0
-            for part in slices(text_column(batch.column(1)), CUT_BYTES):
-                kept, words, removed = _kept(part, batch.column(2).slice(at, len(part)))
+            for part in slices(text_column(batch.column(0).field(place)), CUT_BYTES):
+                kept, words, removed = _kept(part, batch.column(1).slice(at, len(part)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), kept, pa.array(words), pa.array(removed)],
                     names=["row", "kept_text", "n_words", "n_removed"])
