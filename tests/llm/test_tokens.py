@@ -59,6 +59,16 @@ def test_a_text_longer_than_a_slice(file, monkeypatch):
     assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(file, t) for t in texts]
 
 
+def test_kept_words_take_little_room():
+    coder = Encoder(public_tokenizers.path(FILES[0]))
+    text = " ".join(f"w{i}" for i in range(40_000))
+    first = coder.encode(text_column(pa.array([text])))[0]
+    kept = np.count_nonzero(coder.slot_keys)
+    assert kept >= 39_999 and len(coder.slot_keys) <= 4 * kept
+    assert coder.encode(text_column(pa.array([text])))[0].tolist() == first.tolist()
+    assert np.count_nonzero(coder.slot_keys) == kept == coder.filled
+
+
 def test_word_hashes_tell_words_apart():
     a, _ = word_hashes(text_column(pa.array(["Ab c", "ab", "c!ab É é", None])))
     assert len(a) == 7 and len(set(a.tolist())) == 4 and a[0] == a[2] == a[4]

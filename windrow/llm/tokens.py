@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 # Words kept, and bytes of text put together at a time: the arrays of a slice are some thirty times its size.
 CACHED_WORDS = 1_200_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 CUT = re.compile(r"\s*\S+|\s+")
 # White space other than space and line feed: single bytes, and what follows a lead byte of UTF-8.
 ODD_BLANK = np.zeros(256, bool)
@@ -148,34 +148,33 @@ class Encoder:
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths, self.hits = (np.zeros(1 << 14, np.int32) for _ in range(2))
-        self.keys = np.zeros(1 << 14, np.uint64)
         self.others: dict[str, int] = {}  # pieces of texts with unusual white space
         self._new_table(1 << 16)
 
     def _new_table(self, size: int):
-        self.slot_keys, self.slot_words = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.slot_keys, self.slot_words, self.filled = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
 
     def _forget_rare(self):
         """Keep the words that were met at least twice, while they fill half the room at most."""
-        n = self.count
-        kept = np.flatnonzero((self.hits[:n] >= 2) & (self.keys[:n] > 0))
-        if len(kept) > CACHED_WORDS // 2:
+        held = np.flatnonzero(self.slot_keys)
+        held = held[self.hits[self.slot_words[held]] >= 2]
+        if len(held) > CACHED_WORDS // 2:
             return self._forget()
-        lengths, keys, hits = self.lengths[kept].astype(np.int64), self.keys[kept], self.hits[kept]
+        kept, keys = self.slot_words[held], self.slot_keys[held]
+        lengths, hits = self.lengths[kept].astype(np.int64), self.hits[kept]
         ids = self.flat[ragged(self.starts[kept], lengths)]
         self._forget()
         if len(kept):
             at = self._keep(lengths, ids)
-            self.hits[at], self.keys[at] = hits, keys
+            self.hits[at] = hits
             self._insert(keys, at)
 
     def _keep(self, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
         first, n = self.count, len(lengths)
         while len(self.starts) < first + n:
-            self.starts, self.lengths, self.hits, self.keys = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits, self.keys))
+            self.starts, self.lengths, self.hits = map(_doubled, (self.starts, self.lengths, self.hits))
         while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = _doubled(self.flat)
         self.lengths[first:first + n] = lengths
         self.starts[first:first + n] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used:self.used + len(ids)] = ids
@@ -185,11 +184,12 @@ class Encoder:
 
     def _insert(self, keys: np.ndarray, words: np.ndarray) -> None:
         """Put new keys, all different, into free slots."""
-        if 2 * (np.count_nonzero(self.slot_keys) + len(keys)) > len(self.slot_keys):
+        if 2 * (self.filled + len(keys)) > len(self.slot_keys):
             old = self.slot_keys > 0
             held, at = self.slot_keys[old], self.slot_words[old]
-            self._new_table(1 << int(4 * (len(held) + len(keys))).bit_length())
+            self._new_table(1 << int(2 * (len(held) + len(keys))).bit_length())
             keys, words = np.concatenate([held, keys]), np.concatenate([at, words])
+        self.filled += len(keys)
         mask = np.uint64(len(self.slot_keys) - 1)
         slot = keys & mask
         while len(keys):
@@ -325,7 +325,6 @@ class Encoder:
             at = new[at]
             strings = run_strings(raw, first[at], last[at]).to_pylist()
             place = self._learn([" " + w if s else w for w, s in zip(strings, spaced[at].tolist())], plain=True)
-            self.keys[place] = fresh
             self._insert(fresh, place)
             word[new] = place[back]
         # Line breaks inside a text are words of their own.
@@ -337,9 +336,8 @@ class Encoder:
         per_text = np.bincount(text, minlength=n) + np.bincount(text[broken], minlength=n)
         if slow.any():
             sequence, per_text = self._put_slow(texts, slow, sequence, per_text)
-        met = np.bincount(sequence)
-        self.hits[:len(met)] += np.minimum(met, 1 << 20).astype(np.int32)
-        np.minimum(self.hits, 1 << 30, out=self.hits)
+        np.add.at(self.hits, sequence, np.int32(1))
+        self.hits[sequence] = np.minimum(self.hits[sequence], 1 << 30)
         lengths = self.lengths[sequence].astype(np.int64)
         ids = self.flat[ragged(self.starts[sequence], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -362,6 +360,13 @@ class Encoder:
         return np.concatenate([*out, sequence[done:]]), counts
 
 
+def _doubled(values: np.ndarray) -> np.ndarray:
+    """The values with as much room again, which takes no memory before it is used."""
+    out = np.zeros(2 * len(values), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
 def _plain(word: str) -> bool:
     """No white space at the ends but one space in front, which is what the text had there."""
     first = word[1:2] if word[0] == " " else word[0]
@@ -405,7 +410,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int):
         if len(cls.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 19)
             cls.up, cls.down = (np.full(size, b, np.uint64) for b in (BASE, INVERSE))
             cls.up[0] = cls.down[0] = 1
             np.multiply.accumulate(cls.up, out=cls.up)
