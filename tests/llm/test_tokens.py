@@ -50,6 +50,28 @@ def test_words_kept_or_forgotten_give_the_same_ids(monkeypatch):
     assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(FILES[0], t) for t in texts]
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_a_known_word_with_a_mark_behind_it_is_not_learned_again(file):
+    coder, learned = Encoder(public_tokenizers.path(file)), []
+    learn = coder._learn
+    coder._learn = lambda words, plain=False: (learned.extend(words), learn(words, plain))[1]
+    coder.encode(text_column(pa.array(["so alpha beta2 it gamma", "alpha beta"])))
+    del learned[:]
+    texts = ["so alpha, beta2. it's gamma!?", "alpha...\nbeta", "so alpha&&&, beta2"]
+    flat, offsets = coder.encode(text_column(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(file, t) for t in texts]
+    assert not [w for w in learned if any(x in w for x in ("alpha", "beta2", "gamma", "it"))]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_marks_behind_words_are_cut_as_the_tokenizer_does(file):
+    words = ["a", "Zed", "9", "é", "ß", "_", "'s", "'LL", "<", "=", "\u0338", "Σ", "…", ",", "-", "&&", "\x01", "日", "0", "1"]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(words + [" "]) for _ in range(rnd.randint(1, 12))) for _ in range(600)]
+    flat, offsets = Encoder(public_tokenizers.path(file)).encode(text_column(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(file, t) for t in texts]
+
+
 @pytest.mark.parametrize("file", FILES)
 def test_a_text_longer_than_a_slice(file, monkeypatch):
     monkeypatch.setattr("windrow.llm.tokens.SLICE_BYTES", 500)

@@ -2,8 +2,8 @@
 
 Most texts repeat the same words, so an ``Encoder`` hands every different word to the tokenizer
 once and puts documents together from the ids kept. Words are cut where white space begins after
-other characters; no tokenizer used here joins characters across such a place, so the ids are those
-of the whole text. Texts with unusual white space take a slower cut, or go to the tokenizer whole.
+other characters, and where an ASCII mark follows an ASCII letter or digit; no tokenizer used here
+joins characters across such places, so the ids are those of the whole text. Texts with unusual white space take a slower cut, or go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ import pyarrow.compute as pc
 CACHED_WORDS = 1_200_000
 SLICE_BYTES = 500_000
 CUT = re.compile(r"\s*\S+|\s+")
-# White space other than space and line feed: single bytes, and what follows a lead byte of UTF-8.
-ODD_BLANK = np.zeros(256, bool)
-ODD_BLANK[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+# Slices between two calls that give freed memory back, as every page given back is faulted in again.
+SLICES_KEPT = 8
+# White space that is no single byte: what follows a lead byte of UTF-8.
 WIDE_BLANKS = {
     0xC2: [[(0x85, 0x85)], [(0xA0, 0xA0)]],
     0xE1: [[(0x9A, 0x9A), (0x80, 0x80)]],
@@ -120,10 +121,8 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         # Their first two bytes, in either case.
-        self.added_starts = np.zeros((2, 256), bool)
-        for form in (f for t in added for f in (t.lower(), t.upper())):
-            for i, byte in enumerate(form.encode()[:2]):
-                self.added_starts[i, byte] = True
+        self.added_starts = sorted({tuple(f.encode()[:2]) for t in added for f in (t.lower(), t.upper()) if len(f.encode()) > 1})
+        self.calls = 0
         self.mark, self.mark_id = self._find_mark()
         self._forget()
 
@@ -235,16 +234,19 @@ class Encoder:
             part = groups[i:i + 256]
             encoded = self.tokenizer.encode_batch_fast(
                 [self.mark.join([words[k] for k in g.tolist()]) for g in part], add_special_tokens=False)
-            lengths_in, ids_in, found = [], [], []
-            for group, e in zip(part, encoded):
-                ids = np.array(e.ids, np.int32)
-                cuts = np.flatnonzero(ids == self.mark_id)
-                if len(cuts) == len(group) - 1:
-                    found.append(group)
-                    lengths_in.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
-                    ids_in.append(ids[ids != self.mark_id])
-            if found:
-                place[np.concatenate(found)] = self._keep(np.concatenate(lengths_in), np.concatenate(ids_in))
+            # One mark between two words, and one put behind every group.
+            ids = np.fromiter(chain.from_iterable(e.ids + [self.mark_id] for e in encoded), np.int32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            stops = np.cumsum([len(e) + 1 for e in encoded])
+            words_in = np.diff(np.searchsorted(cuts, stops), prepend=0)
+            right = words_in == [len(g) for g in part]
+            if right.any():
+                lengths = np.diff(cuts, prepend=-1) - 1
+                inner = ids != self.mark_id
+                if not right.all():
+                    inner &= np.repeat(right, np.diff(stops, prepend=0))
+                    lengths = lengths[np.repeat(right, words_in)]
+                place[np.concatenate([g for g, good in zip(part, right) if good])] = self._keep(lengths, ids[inner])
         single = np.flatnonzero(place < 0)
         for i in range(0, len(single), 4096):
             part = single[i:i + 4096]
@@ -269,7 +271,9 @@ class Encoder:
             flat, per_text = self._encode_slice(part)
             ids.append(flat)
             counts.append(per_text)
-        give_back()
+            self.calls += 1
+            if self.calls % SLICES_KEPT == 0:
+                give_back()
         offsets = np.zeros(len(texts) + 1, np.int64)
         if counts:
             np.cumsum(np.concatenate(counts), out=offsets[1:])
@@ -280,7 +284,10 @@ class Encoder:
 
         Texts that may hold an added token count as well.
         """
-        odd = ODD_BLANK[raw]
+        # In bytes that wrap around: 9 to 13 but the line feed, and 0x1C to 0x1F.
+        odd = raw - np.uint8(9) < 5
+        odd &= raw != 10
+        odd |= raw - np.uint8(0x1C) < 4
         odd[1:] |= cut[1:] & cut[:-1]
         for lead, table in WIDE_BLANKS.items():
             at = np.flatnonzero(raw[:-2] == lead) if len(table[0]) == 2 else np.flatnonzero(raw[:-1] == lead)
@@ -289,8 +296,9 @@ class Encoder:
                 for i, (low, high) in enumerate(rest):
                     hit &= (raw[at + 1 + i] >= low) & (raw[at + 1 + i] <= high)
                 odd[at[hit]] = True
-        if self.added is not None:
-            odd[:-1] |= self.added_starts[0][raw[:-1]] & self.added_starts[1][raw[1:]]
+        for one, two in self.added_starts:
+            at = np.flatnonzero(raw[:-1] == one)
+            odd[at[raw[at + 1] == two]] = True
         begins = offsets[:-1]
         filled = offsets[1:] > begins
         at = np.flatnonzero(odd)
@@ -306,15 +314,16 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         cut = (raw == 32) | (raw == 10)
         slow = self._unusual(raw, offsets, cut)
-        inside = ~cut
-        first, last = runs(inside, offsets)
-        text = np.searchsorted(offsets, first, side="right") - 1
-        usual = ~slow[text]
-        first, last, text = first[usual], last[usual], text[usual]
-        # A word after a space is another word than one at the start of a line.
-        head = first == offsets[text]
-        broken = ~head & (raw[first - 1] == 10)
-        spaced = ~head & ~broken
+        first, last = runs(~cut, offsets, marks_after_words(raw))
+        text = np.repeat(np.arange(n), np.diff(np.searchsorted(first, offsets)))
+        if slow.any():
+            usual = ~slow[text]
+            first, last, text = first[usual], last[usual], text[usual]
+        # A word after a space is another word than one at the start of a line or behind a word.
+        inner = first != offsets[text]
+        before = raw[first - 1]
+        broken = inner & (before == 10)
+        spaced = inner & (before == 32)
         keys = run_hashes(raw, first, last)
         keys[spaced] = scramble(keys[spaced] + GOLDEN)
         keys = np.maximum(keys, np.uint64(1))
@@ -338,8 +347,8 @@ class Encoder:
             sequence, per_text = self._put_slow(texts, slow, sequence, per_text)
         np.add.at(self.hits, sequence, np.int32(1))
         self.hits[sequence] = np.minimum(self.hits[sequence], 1 << 30)
-        lengths = self.lengths[sequence].astype(np.int64)
-        ids = self.flat[ragged(self.starts[sequence], lengths)]
+        lengths = self.lengths.take(sequence).astype(np.int64)
+        ids = self.flat.take(ragged(self.starts.take(sequence), lengths))
         ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum(per_text)
         return ids, ends[stops] - ends[stops - per_text]
@@ -451,14 +460,29 @@ def word_hashes(texts: pa.Array, classes=WORD) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(first, offsets)
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the maximal runs of flagged bytes and the places behind them; no run crosses a text."""
+def marks_after_words(raw: np.ndarray) -> np.ndarray:
+    """Whether an ASCII mark stands here and an ASCII letter or digit before it."""
+    # In bytes that wrap around: letters in either case, digits, and what else is from 33 to 126.
+    word = (raw | np.uint8(32)) - np.uint8(97) < 26
+    word |= raw - np.uint8(48) < 10
+    out = raw - np.uint8(33) < 94
+    out &= ~word
+    out[1:] &= word[:-1]
+    out[:1] = False
+    return out
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the maximal runs of flagged bytes and the places behind them.
+
+    No run crosses a text, and one begins at every flagged byte that ``split`` holds.
+    """
     n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
+    begins[1:] &= ~inside[:-1] if split is None else ~inside[:-1] | split[1:]
+    ends[:-1] &= ~inside[1:] if split is None else ~inside[1:] | split[1:]
     edges = offsets[(offsets > 0) & (offsets < n)]
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
@@ -471,8 +495,10 @@ def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
         return np.zeros(0, np.uint64)
     up, down = _Powers.of(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * up[:-1], dtype=np.uint64, out=sums[1:])
-    return scramble((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * GOLDEN)
+    np.take(BYTE_VALUES, raw, out=sums[1:], mode="clip")
+    sums[1:] *= up[:-1]
+    np.cumsum(sums, out=sums)
+    return scramble((sums.take(last) - sums.take(first)) * down.take(first) + (last - first).astype(np.uint64) * GOLDEN)
 
 
 def run_strings(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
