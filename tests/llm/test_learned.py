@@ -264,6 +264,34 @@ def test_pseudo_likelihood_equals_a_plain_loop():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_contexts_of_some_places():
+    rnd = np.random.default_rng(2)
+    counts = np.array([0, 1, 1, 0, 2, 1, 3, 0, 0, 5, 1, 2, 0])
+    rows = rnd.integers(0, 90, counts.sum()).astype(np.int32)
+    places = rnd.permutation(len(rows))[:9]
+    ends, text = np.cumsum(counts), np.repeat(np.arange(len(counts)), counts)
+    want = [
+        [rows[p + d] if 0 <= p + d < len(rows) and text[p + d] == text[p] else pl.INPUTS for p in range(len(rows))]
+        for d in (-2, -1, 1, 2)]
+    assert ends[-1] == len(rows) and (pl.contexts(rows, counts) == np.array(want)).all()
+    assert (pl.contexts(rows, counts, places) == np.array(want)[:, places]).all()
+    assert pl.contexts(rows[:0], counts[:1]).shape == (4, 0)
+
+
+def test_scores_are_cut_only_where_they_can_be_high():
+    w, v = small_network()
+    ids, counts = np.array([0, 2, 5, 1]), np.array([4])
+    assert not pl._layer(w)[1]
+    w["out"] *= 5000
+    assert pl._layer(w)[1]
+    with np.errstate(over="raise", invalid="raise"):
+        assert np.isfinite(pl.log_probabilities(w, v, ids, counts)).all()
+    # A hidden value at either end is 1 or -1, whatever the sum.
+    w["embed"][0, pl.INPUTS] = np.where(np.arange(pl.HIDDEN) % 2, 1e4, -1e4)
+    h = pl._hidden(w, pl.contexts(v.row[ids], counts)[:, :1])
+    assert (h[0, :-1] == np.where(np.arange(pl.HIDDEN) % 2, 1, -1)).all() and h[0, -1] == 1
+
+
 def test_gradients_match_differences():
     w, v = small_network()
     around, cls = pl.contexts(v.row[np.array([0, 1, 2, 5, 5, 1])], np.array([4, 2])), v.cls[np.array([0, 1, 2, 5, 5, 1])]

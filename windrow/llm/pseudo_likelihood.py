@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import ship, written
-from windrow.llm.tokens import binary_rows, encoded_slices, encoder, ragged, release_encoders
+from windrow.llm.tokens import binary_rows, encoded_slices, encoder, release_encoders
 
 SIDE = 2
 HIDDEN = 16
@@ -78,44 +78,65 @@ def initial_weights(seed: int) -> dict[str, np.ndarray]:
     }
 
 
-def contexts(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The input rows around every token, one column per neighbour; INPUTS outside the text."""
-    wide = counts + 2 * SIDE
-    padded = np.full(int(wide.sum()), INPUTS, np.int32)
-    at = ragged(np.cumsum(wide) - wide + SIDE, counts)
-    padded[at] = rows
-    return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+def contexts(rows: np.ndarray, counts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """The input rows around every token, or those in ``places``, a row per neighbour; INPUTS outside the text."""
+    n, stops = len(rows), np.cumsum(counts)
+    padded = np.full(n + 2 * SIDE, INPUTS, np.int32)
+    padded[SIDE:SIDE + n] = rows
+    out = np.empty((2 * SIDE, n if places is None else len(places)), np.int32)
+    for i, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        shifted = padded[SIDE + d:SIDE + d + n].copy()
+        # The first places of a text have nothing that far before them, the last ones nothing behind. An edge
+        # that passes over a short text meets places of the next one which are as near to its own edge.
+        for k in range(abs(d)):
+            edge = stops - counts + k if d < 0 else stops - 1 - k
+            shifted[edge[(edge >= 0) & (edge < n)]] = INPUTS
+        out[i] = shifted if places is None else shifted.take(places)
+    return out
 
 
 def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
-    h = w["embed"][0][around[0]]
+    """The hidden layer, and a column of ones for the classes' bias."""
+    h = (w["embed"][0] + w["bias"]).take(around[0], axis=0)
     for i in range(1, 2 * SIDE):
-        h += w["embed"][i][around[i]]
-    h += w["bias"]
-    return np.tanh(h, out=h)
+        h += w["embed"][i].take(around[i], axis=0)
+    # tanh x = 2 / (1 + exp -2x) - 1, as numpy's exp is the faster one; where that is infinite, -1 is right.
+    h *= -2
+    with np.errstate(over="ignore"):
+        np.exp(h, out=h)
+    h += 1
+    np.divide(2, h, out=h)
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    np.subtract(h, 1, out=out[:, :-1])
+    return out
 
 
 def log_probabilities(w: dict, v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log-probability of every token given its neighbours; texts of ``counts`` ids one after the other."""
-    around, cls = contexts(v.row[ids], counts), v.cls[ids]
-    out = np.empty(len(ids), np.float64)
+    around, cls, (layer, high) = contexts(v.row[ids], counts), v.cls[ids], _layer(w)
+    out, room, ones = np.empty(len(ids), np.float64), np.empty((CHUNK, layer.shape[1]), layer.dtype), np.ones(layer.shape[1], layer.dtype)
     for at in range(0, len(ids), CHUNK):
-        p = _logits(w, _hidden(w, around[:, at:at + CHUNK]))
-        own = p[np.arange(len(p)), cls[at:at + CHUNK]]
-        out[at:at + CHUNK] = own - np.log(_exp_sums(p))
-    return out + v.log_share[ids]
+        p = _logits(layer, high, _hidden(w, around[:, at:at + CHUNK]), room)
+        own = p.ravel().take(_places(cls[at:at + CHUNK], p))
+        out[at:at + CHUNK] = own - np.log(np.exp(p, out=p) @ ones)
+    out += v.log_share.take(ids)
+    return out
+
+
+def _places(cls: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Where every row's own class is in the flat scores."""
+    return np.arange(0, p.size, p.shape[1]) + cls
 
 
-def _logits(w: dict, h: np.ndarray) -> np.ndarray:
-    p = h @ w["out"]
-    p += w["out_bias"]
-    return np.minimum(p, 80, out=p)
+def _layer(w: dict) -> tuple[np.ndarray, bool]:
+    """The classes' weights over their bias, and whether a score can pass 80, as hidden values are within 1."""
+    return np.vstack([w["out"], w["out_bias"]]), bool((np.abs(w["out"]).sum(axis=0) + w["out_bias"]).max() > 79)
 
 
-def _exp_sums(p: np.ndarray) -> np.ndarray:
-    """Row sums of exp(p), which replaces ``p``; a product with ones adds up faster than a sum by rows."""
-    np.exp(p, out=p)
-    return p @ np.ones(p.shape[1], p.dtype)
+def _logits(layer: np.ndarray, high: bool, h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Class scores of a chunk, in memory that all chunks share."""
+    p = np.matmul(h, layer, out=room[:len(h)])
+    return np.minimum(p, 80, out=p) if high else p
 
 
 def gradients(w: dict, around: np.ndarray, cls: np.ndarray) -> tuple[dict, float]:
@@ -124,30 +145,33 @@ def gradients(w: dict, around: np.ndarray, cls: np.ndarray) -> tuple[dict, float
     A few hundred positions are worked on at a time, so that their class scores stay in the cache.
     """
     n, loss = len(cls), 0.0
-    h = _hidden(w, around)
-    out, out_bias = np.zeros_like(w["out"]), np.zeros_like(w["out_bias"])
-    back = np.empty_like(h)
+    h, (layer, high) = _hidden(w, around), _layer(w)
+    both = np.zeros_like(layer.T)
+    room, ones = np.empty((CHUNK, layer.shape[1]), layer.dtype), np.ones(layer.shape[1], layer.dtype)
+    back = np.empty((n, len(w["out"])), h.dtype)
     turned = np.ascontiguousarray(w["out"].T)
     for at in range(0, n, CHUNK):
         part, mine = h[at:at + CHUNK], cls[at:at + CHUNK]
-        p = _logits(w, part)
-        rows = np.arange(len(mine))
-        own = p[rows, mine]
-        sums = _exp_sums(p)
+        p = _logits(layer, high, part, room)
+        flat, places = p.ravel(), _places(mine, p)
+        own = flat.take(places)
+        # A product with ones adds up faster than a sum by rows.
+        sums = np.exp(p, out=p) @ ones
         loss += float((np.log(sums) - own).sum())
-        p *= (1 / (sums * n)).astype(np.float32)[:, None]
-        p[rows, mine] -= np.float32(1 / n)
-        np.matmul(p, turned, out=back[at:at + CHUNK])
-        out += part.T @ p
-        out_bias += np.ones(len(mine), np.float32) @ p
-    back *= 1 - h * h
-    embed = np.zeros_like(w["embed"])
+        # The gradient by the scores is p over its row's sum and n: the narrow factors take that share, not p.
+        flat[places] -= sums
+        share = (1 / (sums * n))[:, None]
+        np.multiply(p @ turned, share, out=back[at:at + CHUNK])
+        both += p.T @ (part * share)
+    back *= 1 - np.square(h[:, :-1])
+    embed, pairs = np.zeros_like(w["embed"]), np.result_type(back.dtype, np.complex64)
     for i in range(2 * SIDE):
         order = np.argsort(around[i].astype(np.int16), kind="stable")
-        rows = around[i][order]
+        rows = around[i].take(order)
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        embed[i, rows[heads]] = np.add.reduceat(back[order], heads, axis=0)
-    return {"embed": embed, "bias": back.sum(axis=0), "out": out, "out_bias": out_bias}, loss / max(n, 1)
+        # Two columns at a time, as the parts of complex numbers.
+        embed[i, rows[heads]] = np.add.reduceat(back.take(order, axis=0).view(pairs), heads, axis=0).view(back.dtype)
+    return {"embed": embed, "bias": np.ones(n, back.dtype) @ back, "out": np.ascontiguousarray(both[:, :-1].T), "out_bias": both[:, -1].copy()}, loss / max(n, 1)
 
 
 class Adam:
@@ -157,11 +181,18 @@ class Adam:
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate = RATE * np.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
+        # A Python number keeps the arrays' 32 bits.
+        rate = float(RATE * np.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t))
         for k, x in self.w.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.s[k] += 0.001 * (g[k] * g[k] - self.s[k])
-            x -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
+            m, s, change = self.m[k], self.s[k], g[k] - self.m[k]
+            m += np.multiply(change, 0.1, out=change)
+            np.multiply(g[k], g[k], out=change)
+            change -= s
+            s += np.multiply(change, 0.001, out=change)
+            np.sqrt(s, out=change)
+            change += 1e-8
+            np.divide(m, change, out=change)
+            x -= np.multiply(change, rate, out=change)
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -225,11 +256,16 @@ def _unflatten(flat: np.ndarray, like: dict) -> dict:
 def parts_of(ids: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
     """A part from 0 to ``parts`` - 1 for every position, by a hash of its text and its place."""
     ends = np.cumsum(counts)
-    text = np.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - counts).tolist(), ends.tolist())], np.uint64)
-    mixed = (np.repeat(text, counts) << np.uint64(32)) + ragged(np.zeros(len(counts), np.int64), counts).astype(np.uint64)
+    whole = np.ascontiguousarray(ids, "<u4")
+    text = np.array([zlib.crc32(whole[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())], np.uint64)
+    # Text's hash and place in one number: places are counted on from where the text begins.
+    mixed = np.repeat((text << np.uint64(32)) - (ends - counts).astype(np.uint64), counts)
+    mixed += np.arange(len(mixed), dtype=np.uint64)
     for _ in range(2):
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed >>= np.uint64(40)
+    return (mixed.astype(np.uint32) % np.uint32(parts)).astype(np.int64)
 
 
 def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MASK, seed: int = 1) -> dict:
@@ -243,18 +279,21 @@ def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MA
     def one_round(r: int, start: dict):
         def run(batches: Iterable[pa.RecordBatch]):
             adam, used, held = Adam(start), 0, []
+            wanted = np.arange(mask) * rounds // mask == r
 
             def learn(parts):
-                around, cls = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+                # A position's neighbours side by side, as they are picked in any order.
+                around = np.ascontiguousarray(np.concatenate([p[0] for p in parts], axis=1).T)
+                cls = np.concatenate([p[1] for p in parts])
                 order = np.random.default_rng([seed, r, used]).permutation(len(cls))
                 for at in range(0, len(cls), BATCH):
                     pick = order[at:at + BATCH]
-                    adam.step(gradients(adam.w, around[:, pick], cls[pick])[0])
+                    adam.step(gradients(adam.w, around.take(pick, axis=0).T, cls.take(pick))[0])
                 return len(cls)
 
             for _, ids, counts in _texts(batches):
-                masked = np.flatnonzero(parts_of(ids, counts, mask) * rounds // mask == r)
-                held.append((contexts(v.row[ids], counts)[:, masked], v.cls[ids[masked]]))
+                masked = np.flatnonzero(wanted.take(parts_of(ids, counts, mask)))
+                held.append((contexts(v.row.take(ids), counts, masked), v.cls.take(ids.take(masked))))
                 if sum(len(p[1]) for p in held) >= 64 * BATCH:
                     used += learn(held)
                     held = []
