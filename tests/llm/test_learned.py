@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm import language, pseudo_likelihood as pl, quality, topk
 from windrow.llm.queries import held_out, learnable
-from windrow.llm.tokens import text_column
+from windrow.llm.tokens import encoder, text_column
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ver", "ein"], "cc": ["ñez", "ción", "os", "la"]}
 
@@ -334,6 +334,39 @@ def test_training_counts_every_position(spark):
     assert sum(used) == sum(map(len, texts))
 
 
+def test_ids_take_two_bytes_and_come_with_their_counts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "the cat sat on a mat"), (2, None), (3, ""), (None, "zq xv kk"), (1, "the cat " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kind = pl.id_kind(path)
+    assert kind == "<u2"
+    tokens = pl.token_rows(docs, path, kind).persist()
+    got, coder = tokens.collect(), encoder(path)
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert [np.frombuffer(r["ids"], kind).tolist() for r in got] == want
+    assert sum(r["seen"] is not None for r in got) == 1
+    counts = np.bincount(np.concatenate([np.array(w, np.int64) for w in want]))
+    found = pl.count_ids(tokens)
+    assert (found[:len(counts)] == counts).all() and found.sum() == counts.sum()
+    # The counts are all that is read: ids aren't there to be counted.
+    assert (pl.count_ids(tokens.select("seen")) == found).all()
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_runs_of_rows_from_the_middle_of_a_batch(kind, monkeypatch):
+    texts = [np.arange(n) + 60000 for n in (3, 0, 7, 1, 0, 0, 12, 2)]
+    batch = pa.record_batch({"doc_id": pa.array(range(8)), "ids": pa.array([t.astype(kind).tobytes() for t in texts], pa.binary())})
+    for most in (1, 8, 100):
+        monkeypatch.setattr(pl, "TOKENS_AT_ONCE", most)
+        for at, n in ((0, 8), (1, 6), (2, 3), (4, 2), (4, 0)):
+            parts = list(pl._texts([batch.slice(at, n)], kind))
+            assert [i for rows, _, _ in parts for i in rows.column(0).to_pylist()] == list(range(at, at + n))
+            assert [c for _, _, counts in parts for c in counts] == [len(t) for t in texts[at:at + n]]
+            assert [i for _, ids, _ in parts for i in ids.tolist()] == [i for t in texts[at:at + n] for i in t.tolist()]
+            assert all(len(ids) == counts.sum() and (len(ids) <= most or len(counts) == 1) for _, ids, counts in parts)
+
+
 def test_training_lowers_the_loss_and_odd_rows_have_scores(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(rnd.choice(["the cat sat", "on a mat", "and slept well"]) for _ in range(40))) for i in range(60)]

@@ -37,6 +37,8 @@ MASK = 16
 BATCH = 4096
 RATE = 0.01
 CHUNK = 1024
+SCORED = 2048
+HASHED = 16384
 TOKENS_AT_ONCE = 1_000_000
 PIECE = 4096
 
@@ -65,7 +67,7 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     total = np.bincount(cls, weight, CLASSES)
     # Rare tokens share the last rows, by rank.
     row = np.where(rank < INPUTS - 64, rank, INPUTS - 64 + rank % 64)
-    return Vocabulary(row.astype(np.int32), cls.astype(np.int32), np.log(weight / total[cls]).astype(np.float32))
+    return Vocabulary(row.astype(np.int16), cls.astype(np.int32), np.log(weight / total[cls]).astype(np.float32))
 
 
 def initial_weights(seed: int) -> dict[str, np.ndarray]:
@@ -81,9 +83,9 @@ def initial_weights(seed: int) -> dict[str, np.ndarray]:
 def contexts(rows: np.ndarray, counts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
     """The input rows around every token, or those in ``places``, a row per neighbour; INPUTS outside the text."""
     n, stops = len(rows), np.cumsum(counts)
-    padded = np.full(n + 2 * SIDE, INPUTS, np.int32)
+    padded = np.full(n + 2 * SIDE, INPUTS, rows.dtype)
     padded[SIDE:SIDE + n] = rows
-    out = np.empty((2 * SIDE, n if places is None else len(places)), np.int32)
+    out = np.empty((2 * SIDE, n if places is None else len(places)), rows.dtype)
     for i, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
         shifted = padded[SIDE + d:SIDE + d + n].copy()
         # The first places of a text have nothing that far before them, the last ones nothing behind. An edge
@@ -95,11 +97,17 @@ def contexts(rows: np.ndarray, counts: np.ndarray, places: np.ndarray | None = N
     return out
 
 
-def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
+def _tables(w: dict) -> list[np.ndarray]:
+    """Every neighbour's table of input rows; the first one has the bias."""
+    return [w["embed"][0] + w["bias"], *w["embed"][1:]]
+
+
+def _hidden(w: dict, around: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
     """The hidden layer, and a column of ones for the classes' bias."""
-    h = (w["embed"][0] + w["bias"]).take(around[0], axis=0)
+    tables = tables or _tables(w)
+    h = tables[0].take(around[0], axis=0)
     for i in range(1, 2 * SIDE):
-        h += w["embed"][i].take(around[i], axis=0)
+        h += tables[i].take(around[i], axis=0)
     # tanh x = 2 / (1 + exp -2x) - 1, as numpy's exp is the faster one; where that is infinite, -1 is right.
     h *= -2
     with np.errstate(over="ignore"):
@@ -113,12 +121,12 @@ def _hidden(w: dict, around: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: dict, v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log-probability of every token given its neighbours; texts of ``counts`` ids one after the other."""
-    around, cls, (layer, high) = contexts(v.row[ids], counts), v.cls[ids], _layer(w)
-    out, room, ones = np.empty(len(ids), np.float64), np.empty((CHUNK, layer.shape[1]), layer.dtype), np.ones(layer.shape[1], layer.dtype)
-    for at in range(0, len(ids), CHUNK):
-        p = _logits(layer, high, _hidden(w, around[:, at:at + CHUNK]), room)
-        own = p.ravel().take(_places(cls[at:at + CHUNK], p))
-        out[at:at + CHUNK] = own - np.log(np.exp(p, out=p) @ ones)
+    around, cls, tables, (layer, high) = contexts(v.row.take(ids), counts), v.cls.take(ids), _tables(w), _layer(w)
+    out, room, ones = np.empty(len(ids), np.float64), np.empty((SCORED, layer.shape[1]), layer.dtype), np.ones(layer.shape[1], layer.dtype)
+    for at in range(0, len(ids), SCORED):
+        p = _logits(layer, high, _hidden(w, around[:, at:at + SCORED], tables), room)
+        own = p.ravel().take(_places(cls[at:at + SCORED], p))
+        out[at:at + SCORED] = own - np.log(np.exp(p, out=p) @ ones)
     out += v.log_share.take(ids)
     return out
 
@@ -195,30 +203,53 @@ class Adam:
             x -= np.multiply(change, rate, out=change)
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def id_kind(tokenizer: str) -> str:
+    """The narrower little-endian type that holds every id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab().values(), default=0) < 1 << 16 else "<u4"
+
+
+def _texts(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with their ids one after the other, and the ids' number by row."""
     for batch in batches:
-        rows = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(batch.num_columns - 1)]
-        counts = np.array([len(r) for r in rows], np.int64)
-        ends, start = np.cumsum(counts), 0
-        while start < len(rows):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + TOKENS_AT_ONCE, side="right")))
-            yield batch.slice(start, stop - start), np.concatenate(rows[start:stop]), counts[start:stop]
+        column = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        # In ids; the values of a batch lie one after the other.
+        data, ends = column.buffers()[2], ends // np.dtype(kind).itemsize
+        ids, counts, start = np.frombuffer(data, kind, ends[-1]) if data else np.zeros(0, kind), np.diff(ends), 0
+        while start < len(counts):
+            stop = max(start + 1, int(np.searchsorted(ends[1:], ends[start] + TOKENS_AT_ONCE, side="right")))
+            yield batch.slice(start, stop - start), ids[ends[start]:ends[stop]], counts[start:stop]
             start = stop
 
 
-def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and the little-endian 32-bit ids of every text; NULL and empty texts have none."""
+def token_rows(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """doc_id and the ids of every text, each of them a ``kind``; NULL and empty texts have none.
+
+    One row of every batch also has ``seen``: how often each id occurs in the batch, as 64-bit numbers.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]):
         coder = encoder(tokenizer)
-        for batch, flat, offsets in (x for b in batches for x in encoded_slices(coder, b, 1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(flat.astype("<u4"), offsets[1:])], names=["doc_id", "ids"])
+        for whole in batches:
+            seen, made = np.zeros(0, np.int64), None
+            for batch, flat, offsets in encoded_slices(coder, whole, 1):
+                if made is not None:
+                    yield rows_of(*made, None)
+                found = np.bincount(flat, minlength=len(seen))
+                found[:len(seen)] += seen
+                seen, made = found, (batch.column(0), binary_rows(flat.astype(kind), offsets[1:]))
+            if made is not None:
+                yield rows_of(*made, seen.astype("<i8").tobytes())
+
+    def rows_of(doc_ids, ids, seen):
+        return pa.RecordBatch.from_arrays(
+            [doc_ids, ids, pa.array([seen] + [None] * (len(ids) - 1), pa.binary())], names=["doc_id", "ids", "seen"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids binary")
+        run, "doc_id long, ids binary, seen binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -226,15 +257,16 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]):
         release_encoders()
-        total = np.zeros(1 << 16, np.int64)
-        for _, ids, _ in _texts(batches):
-            found = np.bincount(ids, minlength=len(total))
-            found[:len(total)] += total
+        total = np.zeros(0, np.int64)
+        for seen in (np.frombuffer(x, "<i8") for b in batches for x in b.column(0).to_pylist()):
+            found = np.zeros(max(len(total), len(seen)), np.int64)
+            found[:len(total)] = total
+            found[:len(seen)] += seen
             total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("seen").where(F.col("seen").isNotNull()).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = (np.asarray(rows.column(c), np.int64) for c in ("id", "n"))
     counts = np.zeros(max(int(ids.max(initial=0)) + 1, OWN_CLASS), np.int64)
     counts[ids] = n
@@ -260,15 +292,20 @@ def parts_of(ids: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
     text = np.array([zlib.crc32(whole[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())], np.uint64)
     # Text's hash and place in one number: places are counted on from where the text begins.
     mixed = np.repeat((text << np.uint64(32)) - (ends - counts).astype(np.uint64), counts)
-    mixed += np.arange(len(mixed), dtype=np.uint64)
-    for _ in range(2):
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed >>= np.uint64(40)
-    return (mixed.astype(np.uint32) % np.uint32(parts)).astype(np.int64)
+    out, places, room = np.empty(len(mixed), np.int64), np.arange(min(HASHED, len(mixed)), dtype=np.uint64), np.empty(HASHED, np.uint64)
+    for at in range(0, len(mixed), HASHED):
+        x = mixed[at:at + HASHED]
+        x += places[:len(x)]
+        x += np.uint64(at)
+        for _ in range(2):
+            x ^= np.right_shift(x, np.uint64(31), out=room[:len(x)])
+            x *= np.uint64(0x9E3779B97F4A7C15)
+        x >>= np.uint64(40)
+        out[at:at + HASHED] = x.astype(np.uint32) % np.uint32(parts)
+    return out
 
 
-def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MASK, seed: int = 1) -> dict:
+def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MASK, seed: int = 1, kind: str = "<u4") -> dict:
     """Weights after ``rounds`` rounds, which mask every position of all documents once between them.
 
     Positions fall into ``mask`` parts, and every round takes its share of the parts.
@@ -291,7 +328,7 @@ def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MA
                     adam.step(gradients(adam.w, around.take(pick, axis=0).T, cls.take(pick))[0])
                 return len(cls)
 
-            for _, ids, counts in _texts(batches):
+            for _, ids, counts in _texts(batches, kind):
                 masked = np.flatnonzero(wanted.take(parts_of(ids, counts, mask)))
                 held.append((contexts(v.row.take(ids), counts, masked), v.cls.take(ids.take(masked))))
                 if sum(len(p[1]) for p in held) >= 64 * BATCH:
@@ -326,11 +363,11 @@ def train(tokens: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask: int = MA
     return weights
 
 
-def score(tokens: DataFrame, weights: dict, v: Vocabulary) -> DataFrame:
+def score(tokens: DataFrame, weights: dict, v: Vocabulary, kind: str = "<u4") -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token of every row of ``tokens``."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for rows, ids, counts in _texts(batches):
+        for rows, ids, counts in _texts(batches, kind):
             of = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(of, log_probabilities(weights, v, ids, counts), len(counts)) if len(ids) else np.zeros(len(counts))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"])
@@ -346,6 +383,8 @@ def score_documents(docs: DataFrame, tokenizer: str, rounds: int = ROUNDS, seed:
     NULL or repeat; rows with one text get one score. Other columns are not read. An empty table
     gives no rows. Texts are scored whole: a slice boundary never cuts one.
     """
-    tokens = written(token_rows(docs, tokenizer), "tokens", compression="zstd")
+    kind = id_kind(tokenizer)
+    # Read five times: a little more room for less time.
+    tokens = written(token_rows(docs, tokenizer, kind), "tokens", compression="snappy")
     v = vocabulary(count_ids(tokens))
-    return score(tokens, train(tokens, v, rounds, seed=seed), v)
+    return score(tokens, train(tokens, v, rounds, seed=seed, kind=kind), v, kind)
