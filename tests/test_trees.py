@@ -67,3 +67,71 @@ def test_a_search_starts_as_many_jobs_for_many_points(spark):
 
     many = {"numTrees": [3, 5], "maxDepth": [2, 10, 5], "minInstancesPerNode": [1, 4]}
     assert abs(jobs({"numTrees": [3]}) - jobs(many)) <= 4  # as files fall, not one or more a level and point
+
+
+def test_points_share_the_trees_they_have_in_common():
+    points = [{"trees": n, "depth": d, "leaf": k} for n in (100, 200, 300) for d in (30, 10, 20) for k in (1, 2, 5)]
+    jobs = trees._jobs(points, 3)
+    # One for every fold, leaf size and number, where each point by itself grows 16,200 in all.
+    assert len(jobs) == len({(j.fold, j.leaf, j.tree) for j in jobs}) == 3 * 3 * 300
+    assert {(j.depths, j.upto) for j in jobs if j.tree < 100} == {((10, 20, 30), 100)}
+    uneven = trees._jobs([{"trees": 3, "depth": 9, "leaf": 1}, {"trees": 5, "depth": 4, "leaf": 1}], 1)
+    assert [(j.tree, j.depths, j.upto) for j in uneven] == [(0, (4, 9), 3), (1, (4, 9), 3), (2, (4, 9), 3), (3, (4,), 5), (4, (4,), 5)]
+
+
+def test_a_tree_cut_off_is_the_tree_of_less_depth():
+    rnd = np.random.default_rng(0)
+    x = rnd.integers(0, 32, (3000, 5)).astype(np.uint8)
+    y, c = rnd.integers(0, 2, len(x)).astype(np.int8), rnd.integers(1, 4, len(x))
+    before = x.copy()
+    deep = trees.grow(x, y, c, (0.7, 1.9), 32, 30, 2, np.random.default_rng(1))[:4]
+    assert (x == before).all()
+    found = trees.values_at(deep, x, [0, 3, 8, 30, 40])
+    for depth, values in zip([0, 3, 8, 30, 40], found):
+        tree = trees.grow(x, y, c, (0.7, 1.9), 32, depth, 2, np.random.default_rng(1))[:4]
+        assert (trees.values_of(tree, x) == values).all()
+
+
+def test_runs_and_nodes_at_a_time_change_no_tree(monkeypatch):
+    rnd = np.random.default_rng(0)
+    x = rnd.integers(0, 32, (3000, 5)).astype(np.uint8)
+    y, c = rnd.integers(0, 2, len(x)).astype(np.int8), rnd.integers(1, 4, len(x))
+    whole = trees.grow(x, y, c, (0.7, 1.9), 32, 30, 1, np.random.default_rng(1))
+    monkeypatch.setattr(trees, "CELLS", 500)
+    monkeypatch.setattr(trees, "RUN", 7)
+    parts = trees.grow(x, y, c, (0.7, 1.9), 32, 30, 1, np.random.default_rng(1))
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert (trees.values_of(parts[:4], x) == trees.values_at(whole[:4], x, [30])[0]).all()
+
+
+def test_the_best_split_is_that_of_all_cuts():
+    rnd = np.random.default_rng(4)
+    x = rnd.integers(0, 6, (40, 3)).astype(np.uint8)
+    y, c = rnd.integers(0, 2, 40).astype(np.int8), rnd.integers(1, 4, 40)
+    for leaf in (1, 20):
+        def impurity(f, t):
+            sides = [[2.0 * c[side & (y == 1)].sum(), c[side & (y == 0)].sum()] for side in (x[:, f] <= t, x[:, f] > t)]
+            if min(c[x[:, f] <= t].sum(), c[x[:, f] > t].sum()) < leaf:
+                return np.inf
+            return sum(a * b / (a + b) for a, b in sides)
+
+        sums = trees._histograms(x, np.where(y == 1, c * trees.ATTACK, c).astype(float), np.array([0, 40]), np.arange(3)[None], 6)
+        counts = [np.array([float(c[y == label].sum())]) for label in (0, 1)]
+        feature, cut, gain, l0, l1 = trees._best_splits(sums, *counts, np.arange(3)[None], (1.0, 2.0), leaf)
+        least = min((impurity(f, t), f, t) for f in range(3) for t in range(5))
+        assert (feature[0], cut[0]) == least[1:]
+        assert gain[0] == pytest.approx(2 * counts[0][0] * counts[1][0] / (counts[0][0] + 2 * counts[1][0]) - least[0])
+        left = x[:, feature[0]] <= cut[0]
+        assert (l0[0], l1[0]) == (c[left & (y == 0)].sum(), c[left & (y == 1)].sum())
+
+
+def test_a_search_gives_what_its_points_give_by_themselves(spark):
+    v = planted(spark)
+    # Few and small trees, so that points differ.
+    many = {"numTrees": [2, 5, 3], "maxDepth": [1, 0, 3], "minInstancesPerNode": [1, 150]}
+    _, together = rf.cross_validate(v, ["id"], grid=many, folds=2)
+    assert len(together) == 18 and len({mean for _, mean, _ in together}) > 2
+    for point in (0, 3, 7, 16):
+        named = together[point][0]
+        _, alone = rf.cross_validate(v, ["id"], grid={n: [value] for n, value in named.items()}, folds=2)
+        assert alone[0] == together[point]
